@@ -97,13 +97,14 @@ def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
     return mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * _M1)
 
 
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, in order."""
+    out = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    for k in range(size):
+        out = mixed(out * _M1 + words[k : k + len(out)])
+    return mixed(out + np.uint64(size))
+
+
 def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
-    """Hashes of all runs of ``size`` words in order; of the whole sequence if it is shorter; none without words."""
-    if not len(words):
-        return words
-    size = min(size, len(words))
-    out = np.zeros(len(words) - size + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(size):
-            out = mixed(out * _M1 + words[k : k + len(out)])
-        return mixed(out + np.uint64(size))
+    """Hashes of all runs of ``size`` words; of the whole sequence if it is shorter; none without words."""
+    return run_hashes(words, min(size, len(words))) if len(words) else words
