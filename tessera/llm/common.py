@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,16 +19,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage of ``df`` in the shared folder that the session names.
+def _shared_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names.
 
     Where no folder is named (local tests), a temporary one is set: a single machine has no other.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint(eager)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` in the shared folder; Spark removes the files when nothing refers to them."""
+    _shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same as a compressed table, for more data; it stays until the shared folder is cleared."""
+    path = f"{_shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded(path: str, most: int = 64 << 20) -> bytes:
@@ -77,10 +91,18 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of byte * base**place, and the inverse powers: (sums[e] - sums[b]) * down[b] names bytes b to e."""
+    up, down = _power(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return sums, down
+
+
 def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each word of a UTF-8 text, A-Z lower-cased; equal words have equal hashes.
 
-    Prefix sums of byte * base**place give the hash of any stretch in constant time.
+    Prefix sums give the hash of any stretch in constant time.
     """
     data = np.frombuffer(text, np.uint8)
     if not len(data):
@@ -90,10 +112,7 @@ def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
     begin, end = edge[0::2], edge[1::2]
     if not len(begin):
         return np.zeros(0, np.uint64)
-    up, down = _power(len(data) + 1)
-    data = _LOWER[data] if lower else data
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    sums, down = prefix_sums(_LOWER[data] if lower else data)
     return mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * _M1)
 
 
