@@ -117,7 +117,7 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     """
     clash = [*MEASURES, "n_lines", "base_failed", "kept", *(f"{k}_{side}" for k in SLACK for side in ("low", "high"))]
     df = df.drop(*(c for c in clash if c not in (text, lang, source)))
-    limits = checkpointed(fences(sketches(with_counts(df.select(text, lang, source), text), lang, source)))
+    limits = checkpointed(fences(checkpointed(sketches(with_counts(df.select(text, lang, source), text), lang, source))))
     limits = limits.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     if limits.count() <= MOST_BROADCAST:
         limits = F.broadcast(limits)
