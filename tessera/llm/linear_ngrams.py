@@ -80,24 +80,26 @@ def encoded(texts, lower: bool) -> list[bytes]:
 
 def select(texts: list[bytes], labels: np.ndarray, orders: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Selected buckets, their log-count ratios, and the sample's indicators (row, place among the selected)."""
-    kept = [np.zeros((0, 2), np.int64)]
+    step = 100
     counts = np.zeros((2, 1 << BITS))
-    for first in range(0, len(texts), 500):
-        row, bucket = indicators(texts[first : first + 500], orders)
+    for first in range(0, len(texts), step):
+        row, bucket = indicators(texts[first : first + step], orders)
         for c in (0, 1):
             counts[c] += np.bincount(bucket[labels[first + row] == c], minlength=1 << BITS)
-        kept.append(np.stack((first + row, bucket), 1))
     n = np.array([(labels == c).sum() for c in (0, 1)])
     share = (counts + 0.5) / (n + 1)[:, None]
     ratio = np.log(share[1] / share[0])
     error = np.sqrt(1 / (counts + 0.5) - 1 / (n + 1)[:, None]).clip(1e-3)
-    chosen = np.abs(ratio) > STANDARD_ERRORS * np.hypot(*error)
-    buckets = np.flatnonzero(chosen)
+    buckets = np.flatnonzero(np.abs(ratio) > STANDARD_ERRORS * np.hypot(*error))
     place = np.full(1 << BITS, -1, np.int64)
     place[buckets] = np.arange(len(buckets))
-    row, bucket = np.concatenate(kept).T
-    inside = chosen[bucket]
-    return buckets, ratio[buckets], row[inside], place[bucket[inside]]
+    # the texts are read again for the selected n-grams: all n-grams of a sample are too many to keep
+    kept = [np.zeros((2, 0), np.int32)]
+    for first in range(0, len(texts), step):
+        row, feature = indicators(texts[first : first + step], orders, place)
+        kept.append(np.stack((first + row, feature)).astype(np.int32))
+    row, feature = np.concatenate(kept, axis=1)
+    return buckets, ratio[buckets], row, feature
 
 
 def margins(model: Model, texts: list[bytes], place: np.ndarray) -> np.ndarray:
