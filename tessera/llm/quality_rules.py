@@ -61,7 +61,9 @@ def with_repeats(df: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
     empty = F.array().cast("array<struct<h:bigint,i:int>>")
     out = df.withColumn("__words", words).withColumn("__hashes", hashes)
     out = out.withColumn("__sorted", F.when(F.size(F.array_distinct("__hashes")) < F.size("__hashes"), rows).otherwise(empty))
-    return out.withColumn("__places", places).withColumn("n_repeat_words", covered).drop("__words", "__hashes", "__sorted", "__places")
+    # the row's number makes the count one that no filter is pushed below: there it would be worked out anew for each word
+    counted = F.when(F.monotonically_increasing_id() >= 0, covered)
+    return out.withColumn("__places", places).withColumn("n_repeat_words", counted).drop("__words", "__hashes", "__sorted", "__places")
 
 
 def shares() -> dict[str, Column]:
