@@ -76,3 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_parity_join": op9_parity_join,
     "op10_token_count": op10_token_count,
 }
+
+#: DuckDB SQL for those queries that SQL can express.
+SQL: dict[str, str] = {}
