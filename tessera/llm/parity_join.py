@@ -10,9 +10,11 @@ as a size band needs to leave, by pigeonhole, blocks alike and not empty; docume
    sample of hash space. For a pair at the threshold a block is alike and not empty with a chance over 0.41 and
    independent of the others, so that none of 56 is with a chance below 1e-12.
 
-Meetings stay linear: members of a bucket are compared with its first member, and verified exactly. Only buckets whose
-members are then still in different components have their other pairs compared; large ones by their sketches, in tasks
-of bounded size. What is in one component already is never compared again, so groups of copies don't cost their square.
+Meetings stay linear: members of a bucket are compared with its first member. Only buckets whose members are then still in
+different components have other pairs looked at, in tiles of bounded size: each set's ``SAMPLE`` smallest hashes stand
+for it there, and pairs must share one of the values that are rare in the tile. What is in one component already is
+never compared again, so neither groups of copies nor documents around a common passage cost their square. All pairs
+that pass are verified on the whole texts.
 """
 
 from __future__ import annotations
@@ -25,14 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, mixed, shingle_hashes, word_hashes
+from tessera.llm.common import checkpointed, mixed, shingle_hashes, word_hashes, written
 from tessera.llm.components import components
 
 SHINGLE, SMALL, BLOCKS = 5, 64, 56
 #: The threshold as a fraction: OVER * intersection >= UNDER * union.
 OVER, UNDER = 100, 75
-#: Members that a task compares at once; ids that are broadcast at most.
-TILE, MOST_BROADCAST = 512, 1_000_000
+#: Members of a tile; ids that are broadcast at most; hashes of a sample, and by how many (over six standard deviations)
+#: a pair at the threshold may share fewer than expected.
+TILE, MOST_BROADCAST, SAMPLE, SLACK = 2048, 1_000_000, 128, 30
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -76,7 +79,7 @@ def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        n, digest, keys, own = [], [], [], []
+        n, digest, keys, own, sample = [], [], [], [], []
         for text in batch["text"]:
             s = shingle_set(text)
             k, o = sketch(s)
@@ -84,14 +87,89 @@ def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             keys.append(k.tobytes())
             own.append(o.tobytes())
-        yield pd.DataFrame({"id": batch["id"], "n": n, "digest": digest, "keys": keys, "own": own})
+            sample.append((s[:SAMPLE] >> np.uint64(32)).astype(np.uint32).tobytes())
+        yield pd.DataFrame({"id": batch["id"], "n": n, "digest": digest, "keys": keys, "own": own, "sample": sample})
+
+
+def likely(na: int, sa: np.ndarray, nb: int, sb: np.ndarray) -> bool:
+    """Whether sets of these sizes and samples may be similar: the samples share about as much as sets at the threshold."""
+    large = max(na, nb)
+    if min(na, nb) * OVER < large * UNDER:
+        return False
+    common = len(np.intersect1d(sa, sb))
+    expected = (na + nb) * UNDER / (OVER + UNDER) * min(1.0, SAMPLE / large)
+    return common >= expected - (SLACK if large > SAMPLE else 1)
+
+
+def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        keep = [likely(na, np.frombuffer(sa, np.uint32), nb, np.frombuffer(sb, np.uint32)) for na, sa, nb, sb in zip(batch["na"], batch["sa"], batch["nb"], batch["sb"])]
+        yield batch.loc[np.array(keep, bool), ["a", "b"]]
+
+
+def close_pairs(n: np.ndarray, samples: list[np.ndarray], group: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Rows that may be similar and are of different groups (and sides): each row's rarest values are looked up, so many
+    that a pair at the threshold must share one of them."""
+    size = np.array([len(s) for s in samples])
+    row = np.repeat(np.arange(len(samples)), size)
+    value, number, count = np.unique(np.concatenate(samples), return_inverse=True, return_counts=True)
+    rare = size - np.maximum(0, size * UNDER // OVER - np.where(n > SAMPLE * UNDER // OVER, SLACK, 1)) + 1
+    order = np.lexsort((number, count[number], row))
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    ahead = (place < rare[row]) & (count[number[order]] > 1)
+    row, number = row[order][ahead], number[order][ahead]
+    order = np.argsort(number, kind="stable")
+    row, number = row[order], number[order]
+    edge = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]) if len(number) else np.zeros(1, np.int64)
+    seen: set[int] = set()
+    out = []
+    for first, last in zip(edge.tolist(), edge[1:].tolist()):
+        rows = row[first:last]
+        if last - first < 2:
+            continue
+        near = group[rows][:, None] != group[rows][None, :]
+        near &= np.minimum(n[rows][:, None], n[rows][None, :]) * OVER >= np.maximum(n[rows][:, None], n[rows][None, :]) * UNDER
+        if side is not None:
+            near &= side[rows][:, None] != side[rows][None, :]
+        i, j = np.nonzero(np.triu(near, 1))
+        for a, b in zip(rows[i].tolist(), rows[j].tolist()):
+            a, b = min(a, b), max(a, b)
+            if (key := a * len(samples) + b) not in seen:
+                seen.add(key)
+                if likely(n[a], samples[a], n[b], samples[b]):
+                    out.append((a, b))
+    return out
+
+
+def _tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of each tile, or of two tiles of a bucket; a tile's rows come one after another."""
+
+    def told(rows: pd.DataFrame) -> pd.DataFrame:
+        side = None if rows["x"].iloc[0] == rows["y"].iloc[0] else (rows["own_tile"] == rows["y"]).to_numpy()
+        ids = rows["id"].to_numpy()
+        found = close_pairs(rows["n"].to_numpy(), [np.frombuffer(s, np.uint32) for s in rows["sample"]], rows["c"].to_numpy(), side)
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": ids[pairs].min(axis=1), "b": ids[pairs].max(axis=1)}) if len(pairs) else pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+
+    waiting: list[pd.DataFrame] = []
+    for batch in batches:
+        key = batch[["key", "x", "y"]].to_numpy()
+        cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+        for first, last in zip(cut, cut[1:]):
+            part = batch.iloc[first:last]
+            if waiting and tuple(waiting[0][["key", "x", "y"]].iloc[0]) != tuple(part[["key", "x", "y"]].iloc[0]):
+                yield told(pd.concat(waiting))
+                waiting = []
+            waiting.append(part)
+    if waiting:
+        yield told(pd.concat(waiting))
 
 
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row for each bucket that a set falls into."""
     for batch in batches:
         times = batch["own"].str.len().to_numpy(np.int64)
-        yield pd.DataFrame({"key": np.frombuffer(b"".join(batch["keys"]), np.int64), "id": np.repeat(batch["id"].to_numpy(), times), "n": np.repeat(batch["n"].to_numpy(), times), "own": np.frombuffer(b"".join(batch["own"]), bool)})
+        yield pd.DataFrame({"key": np.frombuffer(b"".join(batch["keys"]), np.int64), "id": np.repeat(batch["id"].to_numpy(), times), "own": np.frombuffer(b"".join(batch["own"]), bool)})
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,11 +183,6 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
 
-def _fits(na: str, nb: str):
-    """Sizes that the threshold allows."""
-    return F.least(na, nb) * OVER >= F.greatest(na, nb) * UNDER
-
-
 def _few(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """A broadcast hint if the (checkpointed) rows are few enough, else none: then Spark shuffles both sides."""
     return F.broadcast(df) if df.count() <= most else df
@@ -124,46 +197,16 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInPandas(_verified, "a long, b long")
 
 
-def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a tile in different components that share more of their sketches than chance gives."""
-    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    if not len(left) or not len(right):
-        return none
-    ks = [np.frombuffer(k, np.uint64) for k in [*left["keys"], *right["keys"]]]
-    # a set's keys as bits of a small signature: a pair that shares few bits shares few keys
-    seen, number = np.unique(np.concatenate(ks), return_inverse=True)
-    row = np.repeat(np.arange(len(ks)), [len(k) for k in ks])
-    shared = np.bincount(number) > 1
-    column = np.cumsum(shared) - 1
-    at = shared[number]
-    has = np.zeros((len(ks), int(shared.sum())), np.float32)
-    has[row[at], column[number[at]]] = 1
-    common = has[: len(left)] @ has[len(left) :].T
-    nl, nr = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-    fits = np.minimum(nl, nr) * OVER >= np.maximum(nl, nr) * UNDER
-    # a pair at the threshold shares 20 of 56 blocks on average, fewer than 4 with a chance below 1e-7 ...
-    least = np.where(np.minimum(nl, nr) > 2 * SMALL, 4, 1)
-    i, j = np.nonzero((common >= least) & fits & (left["c"].to_numpy()[:, None] != right["c"].to_numpy()[None, :]))
-    a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}) if len(a) else none
-
-
-def _rest(members: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of buckets with members in several components, less those with the bucket's first member."""
-    labelled = members.join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+def _rest(members: DataFrame, groups: DataFrame, samples: DataFrame) -> DataFrame:
+    """Likely pairs of buckets with members in several components."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labelled = members.filter("size > 2").join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     spread = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    open_ = checkpointed(labelled.filter("size > 2").join(spread, "key"))
-    few = open_.filter(F.col("size") <= 64).select("key", "id", "n", "own", "c", "first")
-    mate = few.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("c").alias("cb"))
-    near = few.filter("id <> first").join(mate, "key").filter((F.col("id") < F.col("b")) & (F.col("c") != F.col("cb")) & (F.col("own") | F.col("ob")) & _fits("n", "nb")).select(F.col("id").alias("a"), "b")
-    # large buckets: members are dealt to tiles, and each pair of tiles is one bounded group
-    many = open_.filter(F.col("size") > 64).join(sets.select("id", "keys"), "id").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    met = many.select("key", "id", "n", "c", "keys", F.col("tile").alias("own_tile"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    met = met.withColumns({"x": F.least("own_tile", "other"), "y": F.greatest("own_tile", "other")})
-    sides = met.withColumn("side", F.explode(F.when(F.col("x") == F.col("y"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("own_tile") == F.col("y")).cast("int")))))
-    far = sides.groupBy("key", "x", "y").applyInPandas(_compared, "a long, b long")
-    return near.unionByName(far.filter("a <> b")).distinct()
+    many = labelled.join(spread, "key").join(samples, "id").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("own_tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    # members of a large bucket are dealt to tiles, and each pair of tiles is looked at by itself
+    met = many.select("key", "id", "n", "c", "sample", "own_tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    met = met.select("*", F.least("own_tile", "other").alias("x"), F.greatest("own_tile", "other").alias("y")).drop("other")
+    return met.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(_tiles, "a long, b long").distinct()
 
 
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,21 +219,22 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     null component. Other columns aren't returned. An empty table gives an empty one.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = checkpointed(rows.mapInPandas(_sketched, "id long, n long, digest binary, keys binary, own binary"))
+    base = written(rows.mapInPandas(_sketched, "id long, n long, digest binary, keys binary, own binary, sample binary"))
     some = base.filter("n > 0 AND id IS NOT NULL")
     # equal sets are one class, met by its smallest id
-    classes = checkpointed(some.groupBy("digest").agg(F.min("id").alias("head"), F.min("n").alias("n")))
-    heads = classes.select(F.col("head").alias("id"), "digest")
-    sets = some.select("id", "digest", "n", "keys", "own").join(heads, ["id", "digest"]).dropDuplicates(["id", "digest"])
-    entries = sets.select("id", "n", "keys", "own").mapInPandas(_entries, "key long, id long, n long, own boolean")
-    entries = checkpointed(entries)
-    buckets = entries.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("top"), F.max("own").alias("any")).filter("size > 1 AND any").select("key", "size", F.col("top.id").alias("first"), F.col("top.n").alias("nf"))
-    members = checkpointed(entries.join(buckets, "key"))
+    classes = checkpointed(some.groupBy("digest").agg(F.min("id").alias("head")))
+    sets = written(some.join(classes.select(F.col("head").alias("id"), "digest"), ["id", "digest"]).dropDuplicates(["id", "digest"]))
+    entries = written(sets.select("id", "n", "keys", "own").mapInPandas(_entries, "key long, id long, own boolean"))
+    buckets = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.max(F.col("own").cast("int")).alias("any")).filter("size > 1 AND any = 1").drop("any")
+    members = written(entries.select("key", "id").join(buckets, "key"))
+    samples = sets.select("id", "n", "sample").dropDuplicates(["id"])
     candidate = rows.filter("id IS NOT NULL")
-    star = members.filter((F.col("id") != F.col("first")) & _fits("n", "nf")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    star = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    of = lambda x: samples.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sample").alias(f"s{x}"))
+    star = star.join(of("b"), "b").join(of("a"), "a").mapInPandas(_likely, "a long, b long")
     links = checkpointed(_verify(checkpointed(star), candidate))
     groups = components(links)
-    rest = checkpointed(_rest(members, groups, base.filter("id IS NOT NULL").select("id", "keys").dropDuplicates(["id"])))
+    rest = checkpointed(_rest(members, groups, samples))
     if not rest.isEmpty():
         links = checkpointed(links.unionByName(_verify(rest, candidate)))
         groups = components(links)
