@@ -25,9 +25,9 @@ from tessera.llm.common import checkpointed, mixed, prefix_sums, written
 from tessera.llm.suffix_array import suffix_array
 
 LENGTH, ANCHOR = 100, 32
-#: Contexts of a tile, bytes that are suffix-sorted at once, documents of which one is looked at for hot anchors, and
-#: the contexts in that sample that make an anchor hot.
-TILE, SORTED, ONE_IN, HOT = 256, 32_768, 64, 32
+#: Contexts of a tile, bytes that are suffix-sorted at once, documents of which one is looked at for hot anchors,
+#: the contexts in that sample that make an anchor hot, and characters that a task works on at once.
+TILE, SORTED, ONE_IN, HOT, PIECE = 256, 32_768, 64, 32, 4 << 20
 #: Hot anchors that are told to the tasks at most, and rows that are broadcast at most.
 MOST_HOT, MOST_BROADCAST = 100_000, 2_000_000
 _PLACE = np.uint64((1 << 24) - 1)
@@ -70,6 +70,14 @@ def _gathered(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return doc[order], rows[:, order]
 
 
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows in pieces of about PIECE characters of text, which bounds what a task holds of them."""
+    for batch in batches:
+        at = batch["text"].str.len().cumsum().to_numpy() // PIECE
+        for first, last in zip(*(lambda e: (e, [*e[1:], len(batch)]))(np.flatnonzero(np.r_[True, at[1:] != at[:-1]]).tolist() if len(batch) else [])):
+            yield batch.iloc[first:last]
+
+
 def _firsts(rows: np.ndarray) -> np.ndarray:
     """Whether each row begins a new (anchor, context)."""
     new = np.ones(rows.shape[1], bool)
@@ -81,7 +89,7 @@ def _hot(docs: DataFrame) -> dict[int, int]:
     """Anchors with very many contexts, from a sample of the documents, and about how many. Only the dealing depends on it."""
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _pieces(batches):
             _, rows = _gathered(batch)
             rows = rows[:, _firsts(rows)]
             yield pd.DataFrame({"anchor": rows[0].view(np.int64), "context": rows[1].view(np.int64)})
@@ -98,7 +106,7 @@ def _dealt(docs: DataFrame, hot: dict[int, int], parts: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(keys)
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _pieces(batches):
             doc, rows = _gathered(batch)
             new = _firsts(rows)
             out = []
@@ -164,15 +172,19 @@ def _matched(packed: DataFrame, hot: dict[int, int]) -> DataFrame:
 
 def _fetched(found: DataFrame, docs: DataFrame) -> DataFrame:
     """The bytes of the contexts that are to be sorted."""
-    own = found.filter("kind = 0").groupBy("doc").agg(F.collect_list(F.struct("anchor", "tile", "start", "stop", "at")).alias("places"))
+    # three numbers a context: the anchor, the tile, and start * 2**16 + length * 2**8 + place of the anchor
+    where = F.col("start") * 65536 + (F.col("stop") - F.col("start")) * 256 + (F.col("at") - F.col("start"))
+    own = found.filter("kind = 0").groupBy("doc").agg(F.flatten(F.collect_list(F.array("anchor", F.col("tile").cast("long"), where))).alias("places"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, text, places in zip(batch["doc"], batch["text"], batch["places"]):
-                raw = text.encode("utf-8")
-                rows += [(p["anchor"], p["tile"], doc, p["start"], p["at"] - p["start"], raw[p["start"] : p["stop"]]) for p in places]
-            yield pd.DataFrame(rows, columns=["anchor", "tile", "doc", "start", "ahead", "body"])
+        for batch in _pieces(batches):
+            places = [np.asarray(p, np.int64).reshape(-1, 3) for p in batch["places"]]
+            rows = np.concatenate(places)
+            start, size = rows[:, 2] >> 16, (rows[:, 2] >> 8) & 255
+            raw = [t.encode("utf-8") for t in batch["text"]]
+            of = np.repeat(np.arange(len(raw)), [len(p) for p in places])
+            bodies = [raw[i][a : a + n] for i, a, n in zip(of.tolist(), start.tolist(), size.tolist())]
+            yield pd.DataFrame({"anchor": rows[:, 0], "tile": rows[:, 1].astype(np.int32), "doc": batch["doc"].to_numpy()[of], "start": start, "ahead": (rows[:, 2] & 255).astype(np.int32), "body": bodies})
 
     side = own if found.filter("kind = 0").count() > MOST_BROADCAST else F.broadcast(own)
     return docs.join(side, docs["id"] == side["doc"]).select("doc", "text", "places").mapInPandas(cut, "anchor long, tile int, doc long, start long, ahead int, body binary")
