@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import chat_format, decontaminate, packing, parity_join, quality_model, quality_rules, suffix_dedup, token_count, toxicity, url_filter
 from tessera.llm.common import table
+from tessera.llm.sql import SQL  # noqa: F401 (with the queries)
 
 
 def tokenizer(name: str) -> str:
@@ -76,6 +77,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_parity_join": op9_parity_join,
     "op10_token_count": op10_token_count,
 }
-
-#: DuckDB SQL for those queries that SQL can express.
-SQL: dict[str, str] = {}
