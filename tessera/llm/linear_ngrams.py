@@ -105,9 +105,9 @@ def select(texts: list[bytes], labels: np.ndarray, orders: tuple[int, int]) -> t
 def margins(model: Model, texts: list[bytes], place: np.ndarray) -> np.ndarray:
     """The linear score of each text."""
     row, feature = indicators(texts, model.orders, place)
-    out = np.bincount(row, model.weights[feature], len(texts))
+    out = np.bincount(row, model.weights[feature], len(texts)).astype(np.float64)
     if model.unit:
-        out /= np.sqrt(np.bincount(row, model.ratios[feature] ** 2, len(texts))).clip(1e-9)
+        out /= np.sqrt(np.bincount(row, model.ratios[feature] ** 2, len(texts)).astype(np.float64)).clip(1e-9)
     return out + model.bias
 
 

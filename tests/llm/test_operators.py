@@ -253,8 +253,8 @@ def test_quality_rules_are_native(spark, messy_df):
 # Chat formatting
 
 
-def test_roles_are_recovered(spark, data):
-    conversations = spark.read.parquet(f"{data}/conversations.parquet")
+def test_roles_are_recovered(spark):
+    conversations = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     found = chat_format.format_chats(conversations).withColumnRenamed("role", "found")
     rows = conversations.join(found, ["conv_id", "turn"]).filter(F.pmod(F.xxhash64("conv_id"), F.lit(4)) == 0).collect()
     assert rows and sum(r["role"] == r["found"] for r in rows) >= 0.95 * len(rows)
