@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, mixed, shingle_hashes, word_hashes, written
+from tessera.llm.common import checkpointed, discard, mixed, shingle_hashes, word_hashes, written
 from tessera.llm.components import components
 
 SHINGLE, SMALL, BLOCKS = 5, 64, 56
@@ -238,6 +238,7 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     if not rest.isEmpty():
         links = checkpointed(links.unionByName(_verify(rest, candidate)))
         groups = components(links)
+    discard(sets, entries, members)
     tops = classes.join(groups, classes["head"] == groups["id"], "left").select("digest", F.coalesce("component", "head").alias("component"))
     # an id with several texts joins what its texts are in
     own = some.select("id", "digest", "n").join(tops, "digest")

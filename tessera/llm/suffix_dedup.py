@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import checkpointed, mixed, prefix_sums, written
+from tessera.llm.common import checkpointed, discard, mixed, prefix_sums, written
 from tessera.llm.suffix_array import suffix_array
 
 LENGTH, ANCHOR = 100, 32
@@ -295,7 +295,9 @@ def covered(docs: DataFrame) -> DataFrame:
     least = across.groupBy("anchor", "window").agg(F.min(F.struct("doc", "start")).alias("least"), F.count("*").alias("n")).filter("n > 1")
     late = across.join(least, ["anchor", "window"]).filter(F.struct("doc", "start") != F.col("least")).select("doc", "start", "stop")
     spans = found.filter("kind = 1").select("doc", "start", "stop").unionByName(ordered.filter("kind = 1").select("doc", "start", "stop")).unionByName(late)
-    return checkpointed(spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumn("spans", _merged("spans")))
+    out = checkpointed(spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumn("spans", _merged("spans")))
+    discard(found, ordered)
+    return out
 
 
 def with_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
