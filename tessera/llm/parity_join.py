@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -107,47 +108,64 @@ def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
 
-def close_pairs(n: np.ndarray, samples: list[np.ndarray], group: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Rows that may be similar and are of different groups (and sides): each row's rarest values are looked up, so many
-    that a pair at the threshold must share one of them."""
+def close_pairs(n: np.ndarray, samples: list[np.ndarray], group: np.ndarray, side: np.ndarray | None = None, brief: bool = False) -> list[tuple[int, int]]:
+    """All pairs of rows that may be similar and are of different groups (and sides). Each row's rarest values are looked
+    up, so many that a pair at the threshold must share one of them. ``brief``: two groups count as one once they have a
+    pair, so that groups of copies give as many pairs as members."""
+    m, group = len(samples), group.copy()
     size = np.array([len(s) for s in samples])
-    row = np.repeat(np.arange(len(samples)), size)
-    value, number, count = np.unique(np.concatenate(samples), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    _, number, count = np.unique(np.concatenate(samples), return_inverse=True, return_counts=True)
+    codes = np.full((m, SAMPLE), len(count), np.int64)  # the last code is no value
+    codes[row, place] = number
     rare = size - np.maximum(0, size * UNDER // OVER - np.where(n > SAMPLE * UNDER // OVER, SLACK, 1)) + 1
     order = np.lexsort((number, count[number], row))
-    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
     ahead = (place < rare[row]) & (count[number[order]] > 1)
     row, number = row[order][ahead], number[order][ahead]
-    order = np.argsort(number, kind="stable")
+    order = np.lexsort((number, count[number]))
     row, number = row[order], number[order]
     edge = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]) if len(number) else np.zeros(1, np.int64)
-    seen: set[int] = set()
-    out = []
-    for first, last in zip(edge.tolist(), edge[1:].tolist()):
+    if len(edge) < 2:
+        return []
+    mixed_groups = np.minimum.reduceat(group[row], edge[:-1]) < np.maximum.reduceat(group[row], edge[:-1])
+    mark, seen, out = np.zeros(len(count) + 1, bool), np.zeros((m, m), bool), []
+    for first, last in zip(edge[:-1][mixed_groups].tolist(), edge[1:][mixed_groups].tolist()):
         rows = row[first:last]
-        if last - first < 2:
+        own = group[rows]
+        if (own == own[0]).all():
             continue
-        near = group[rows][:, None] != group[rows][None, :]
-        near &= np.minimum(n[rows][:, None], n[rows][None, :]) * OVER >= np.maximum(n[rows][:, None], n[rows][None, :]) * UNDER
-        if side is not None:
-            near &= side[rows][:, None] != side[rows][None, :]
-        i, j = np.nonzero(np.triu(near, 1))
-        for a, b in zip(rows[i].tolist(), rows[j].tolist()):
-            a, b = min(a, b), max(a, b)
-            if (key := a * len(samples) + b) not in seen:
-                seen.add(key)
-                if likely(n[a], samples[a], n[b], samples[b]):
-                    out.append((a, b))
+        names, times = np.unique(own, return_counts=True)
+        for r in rows[own != names[times.argmax()]].tolist():
+            with_r = rows[(group[rows] != group[r]) & ~seen[r, rows]]
+            if side is not None:
+                with_r = with_r[side[with_r] != side[r]]
+            if not len(with_r):
+                continue
+            seen[r, with_r] = seen[with_r, r] = True
+            large, small = np.maximum(n[with_r], n[r]), np.minimum(n[with_r], n[r])
+            mark[codes[r, : size[r]]] = True
+            common = mark[codes[with_r]].sum(axis=1)
+            mark[codes[r, : size[r]]] = False
+            expected = (large + small) * UNDER / (OVER + UNDER) * np.minimum(1.0, SAMPLE / large)
+            slack = np.where(large > SAMPLE, SLACK, 1)
+            fits = small * OVER >= large * UNDER
+            near = np.flatnonzero(fits & (common >= expected - slack))
+            for x in with_r[near[np.argsort(-common[near], kind="stable")]].tolist():
+                if not brief or group[x] != group[r]:
+                    out.append((min(r, x), max(r, x)))
+                if brief:
+                    group[group == group[x]] = group[r]
     return out
 
 
-def _tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _tiles(batches: Iterator[pd.DataFrame], brief: bool) -> Iterator[pd.DataFrame]:
     """Pairs of each tile, or of two tiles of a bucket; a tile's rows come one after another."""
 
     def told(rows: pd.DataFrame) -> pd.DataFrame:
         side = None if rows["x"].iloc[0] == rows["y"].iloc[0] else (rows["own_tile"] == rows["y"]).to_numpy()
         ids = rows["id"].to_numpy()
-        found = close_pairs(rows["n"].to_numpy(), [np.frombuffer(s, np.uint32) for s in rows["sample"]], rows["c"].to_numpy(), side)
+        found = close_pairs(rows["n"].to_numpy(), [np.frombuffer(s, np.uint32) for s in rows["sample"]], rows["c"].to_numpy(), side, brief)
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": ids[pairs].min(axis=1), "b": ids[pairs].max(axis=1)}) if len(pairs) else pd.DataFrame({"a": ids[:0], "b": ids[:0]})
 
@@ -197,16 +215,17 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInPandas(_verified, "a long, b long")
 
 
-def _rest(members: DataFrame, groups: DataFrame, samples: DataFrame) -> DataFrame:
-    """Likely pairs of buckets with members in several components."""
+def _rest(members: DataFrame, groups: DataFrame, samples: DataFrame, brief: bool) -> DataFrame:
+    """Likely pairs of buckets with members in several components; if ``brief``, enough to join them all."""
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labelled = members.filter("size > 2").join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    spread = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    spread = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("size").alias("size"), F.bit_xor(F.xxhash64("id")).alias("of")).filter("lo < hi")
+    spread = spread.groupBy("size", "of").agg(F.min("key").alias("key")).select("key")  # of buckets with the same members one
     many = labelled.join(spread, "key").join(samples, "id").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("own_tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     # members of a large bucket are dealt to tiles, and each pair of tiles is looked at by itself
     met = many.select("key", "id", "n", "c", "sample", "own_tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     met = met.select("*", F.least("own_tile", "other").alias("x"), F.greatest("own_tile", "other").alias("y")).drop("other")
-    return met.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(_tiles, "a long, b long").distinct()
+    return met.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(partial(_tiles, brief=brief), "a long, b long").distinct()
 
 
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -234,8 +253,10 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     star = star.join(of("b"), "b").join(of("a"), "a").mapInPandas(_likely, "a long, b long")
     links = checkpointed(_verify(checkpointed(star), candidate))
     groups = components(links)
-    rest = checkpointed(_rest(members, groups, samples))
-    if not rest.isEmpty():
+    for brief in (True, False):  # large groups are joined first; then every pair that is left is looked at
+        rest = checkpointed(_rest(members, groups, samples, brief))
+        if rest.isEmpty():
+            break
         links = checkpointed(links.unionByName(_verify(rest, candidate)))
         groups = components(links)
     discard(sets, entries, members)
