@@ -20,7 +20,7 @@ from tessera.llm.common import SPACES, WORD, checkpointed
 ACCURACY, LEAST, ENOUGH = 0.01, 1e-6, 20
 #: Fences stand at a quartile -/+ WIDTH interquartile ranges, and at least so far from it.
 WIDTH = 3.0
-SLACK = {"word_length": 2.0, "symbol_share": 0.15, "dup_line_share": 0.3}
+SLACK = {"word_length": 2.0, "symbol_share": 0.15, "dup_line_share": 0.5}
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
 #: Fixed values of the base rule.
 LEAST_WORDS, MOST_REPEATED = 50, 50
