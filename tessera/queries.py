@@ -14,6 +14,8 @@ from tessera.functions import text as tx
 from tessera.operators import bm25, context, duplicates, embedding, extract, filters, incremental, links, stats, vectors
 from tessera.plans import boolean, patterns
 from tessera.sources import corpus
+from tessera.sources.scratch import scratch
+from tessera.streaming import reindex
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -610,3 +612,46 @@ def summarize_groups(spark, d):
 @query(f"WITH {o.SEC} SELECT path, string_agg(content, chr(10) || chr(10) ORDER BY ordinal) AS text FROM sec WHERE heading <> 'user' GROUP BY path")
 def sections_to_text(spark, d):
     return context.sections_to_text(sections(spark, d).filter("heading <> 'user'"))
+
+
+# Sources, sinks and streams
+
+
+@query(f"WITH {o.SEC} SELECT section_id, path, number, content FROM sec")
+def index_round_trip(spark, d):
+    folder = scratch(spark)
+    corpus.save_index(incremental.build_tables(conv_md(spark, d)), f"{folder}/index")
+    return corpus.load_index(spark, f"{folder}/index")["sections"].select("section_id", "path", "number", "content")
+
+
+@query("SELECT vec_id AS section_id, [round(CAST(embedding[1] AS DOUBLE), 6), round(CAST(embedding[64] AS DOUBLE), 6)] AS ends FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id")
+def vector_round_trip(spark, d):
+    folder = f"{scratch(spark)}/store"
+    corpus.save_vectors(doc_vec(spark, d), folder)
+    end = lambda i: F.round(F.col("embedding")[i].cast("double"), 6)
+    return corpus.load_vectors(spark, folder, "given_64", 64).select("section_id", F.array(end(0), end(63)).alias("ends"))
+
+
+@query("SELECT source || '/' || doc_id || '.md' AS path, 'ValueError: not wanted' AS error FROM documents WHERE contains(text, 'idiot')")
+def extraction_errors(spark, d):
+    def parse(text: str) -> int:
+        if "idiot" in text:
+            raise ValueError("not wanted")
+        return len(text)
+
+    return extract.split_errors(doc_plain(spark, d), parse, "int")[1]
+
+
+@query(SQL["apply_changes"])
+def stream_index(spark, d):
+    """Two bursts of a change feed through Structured Streaming; the index then equals that of the second version."""
+    folder = scratch(spark)
+    one, two = feed(spark, d)
+    gone = one.join(two.select("path"), "path", "left_anti").select("path", F.lit(None).cast("string").alias("text"), F.timestamp_seconds(F.lit(60)).alias("mtime"), F.lit("delete").alias("op"))
+    edits = two.filter(F.col("mtime") > F.timestamp_seconds(F.lit(0))).withColumn("op", F.lit("change"))
+    added = two.join(one.select("path"), "path", "left_anti").withColumn("op", F.lit("add"))
+    for burst in (one.withColumn("op", F.lit("add")), edits.unionByName(added).unionByName(gone)):
+        burst.write.mode("append").parquet(f"{folder}/feed")
+        source = spark.readStream.schema("path string, text string, mtime timestamp, op string").parquet(f"{folder}/feed")
+        reindex.stream_index(source, f"{folder}/index", f"{folder}/progress", {"availableNow": True}, preamble=True).awaitTermination()
+    return reindex.current(spark, f"{folder}/index")[1]["sections"].select("path", "heading", "content")
