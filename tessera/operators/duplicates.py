@@ -20,13 +20,13 @@ def hashed(sections: DataFrame, min_length: int = MIN_LENGTH, path: str | None =
     return some.withColumn("hash", F.sha2(tx.normalized(F.col("content")), 256))
 
 
-def exact_duplicates(sections: DataFrame, min_length: int = MIN_LENGTH, path: str | None = None, members: int = 1000) -> DataFrame:
+def exact_duplicates(sections: DataFrame, min_length: int = MIN_LENGTH, path: str | None = None) -> DataFrame:
     """(hash, size, primary, duplicates) of groups of equal sections; primary is the first by (path, start_line).
 
-    size counts the whole group. duplicates lists the first ``members`` others in order; duplicate_members() has
-    all of them as rows, which a group of any size allows.
+    duplicates lists all others in order, an array in one row; duplicate_members() has them as rows, which a group of
+    any size allows.
     """
-    rows = duplicate_members(sections, min_length, path).filter(F.col("place") <= members + 1)
+    rows = duplicate_members(sections, min_length, path)
     where = F.struct(*MEMBER)
     out = rows.groupBy("hash", "size").agg(F.min(F.when(F.col("place") == 1, where)).alias("primary"), F.sort_array(F.collect_list(F.when(F.col("place") > 1, where))).alias("duplicates"))
     return out.select("hash", "size", "primary", "duplicates")

@@ -495,6 +495,11 @@ def exact_duplicates(spark, d):
     return found.select("hash", "size", F.col("primary.path").alias("first_path"), F.col("duplicates.path").alias("others"))
 
 
+@query(_HASH + " SELECT hash, size, CAST(row_number() OVER (PARTITION BY hash ORDER BY path) AS INTEGER) AS place, path FROM h JOIN g USING (hash) WHERE size > 1")
+def duplicate_members(spark, d):
+    return duplicates.duplicate_members(plain(spark, d)).select("hash", "size", "place", "path")
+
+
 @query(_HASH + " SELECT CAST(sum(size) AS BIGINT) AS analyzed, count(*) FILTER (WHERE size > 1) AS groups, CAST(coalesce(sum(size - 1) FILTER (WHERE size > 1), 0) AS BIGINT) AS pairs, CAST(coalesce(sum(size) FILTER (WHERE size > 1), 0) AS BIGINT) AS involved FROM g")
 def duplicate_summary(spark, d):
     return duplicates.duplicate_summary(plain(spark, d))
