@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from tessera.plans.patterns import path_matches
 #: The shortest content that counts, locations told of a group, and the similarity of near duplicates.
 MIN_LENGTH, MAX_LOCATIONS, SIMILAR = 50, 3, 0.85
 MEMBER = ("path", "start_line", "section_id", "heading")
+#: Vectors that are multiplied with as many others in one task.
+BLOCK = 4096
 
 
 def hashed(sections: DataFrame, min_length: int = MIN_LENGTH, path: str | None = None) -> DataFrame:
@@ -58,15 +64,46 @@ def collapse(results: DataFrame, sections: DataFrame, max_locations: int = MAX_L
     return out.withColumn("duplicate_count", F.coalesce(F.col("size") - 1, F.lit(0))).drop("hash", "size", "places")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = SIMILAR, tables: int = 12) -> DataFrame:
-    """(a, b, similarity) of vectors whose cosine is at least the threshold, a < b: candidates by random projections,
-    all verified exactly. Equal vectors meet as one, by their smallest id."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
+def vector_classes(vectors: DataFrame) -> DataFrame:
+    """A row for every vector: section_id, class_id (the smallest id of the vectors equal to it) and size of the class.
+    Rows without a vector have no class."""
+    some = vectors.filter(F.col("embedding").isNotNull()).select("section_id", "embedding")
+    classes = some.groupBy("embedding").agg(F.min("section_id").alias("class_id"), F.count("*").alias("size"))
+    return some.join(classes, "embedding").select("section_id", "class_id", "size")
+
 
-    once = vectors.groupBy("embedding").agg(F.min("section_id").alias("section_id"))
-    unit = Normalizer(inputCol="v", outputCol="unit").transform(once.select("section_id", array_to_vector("embedding").alias("v")))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=1.0, numHashTables=tables, seed=11).fit(unit)
-    far = (2 - 2 * threshold) ** 0.5
-    pairs = model.approxSimilarityJoin(unit, unit, far + 1e-9, "distance").select(F.col("datasetA.section_id").alias("a"), F.col("datasetB.section_id").alias("b"), (1 - F.col("distance") ** 2 / 2).alias("similarity"))
-    return pairs.filter(F.col("a") < F.col("b")).distinct()
+def near_duplicates(vectors: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """(a, b, similarity) of vectors whose cosine is at least the threshold, a < b. Equal vectors meet as one, by their
+    smallest id; vector_classes() has who they are. Zero vectors and ones of another dimension have no similarity.
+
+    Exact: vectors are dealt into blocks, and each two blocks are multiplied in one task, so all tasks are alike.
+    """
+    some = vectors.filter(F.col("embedding").isNotNull())
+    once = some.groupBy("embedding").agg(F.min("section_id").alias("section_id"))
+    blocks = -(-vectors.count() // BLOCK) or 1
+    own, other = F.pmod(F.xxhash64("section_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    dealt = once.withColumn("own", own).select("section_id", "embedding", "own", other)
+    dealt = dealt.select("section_id", "embedding", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    kind = vectors.schema["section_id"].dataType.simpleString()
+    return dealt.groupBy("i", "j").applyInPandas(_near(threshold), f"a {kind}, b {kind}, similarity double")
+
+
+def _near(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def near(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = rows["i"].iat[0], rows["j"].iat[0]
+        found = [pd.DataFrame({"a": rows["section_id"].iloc[:0], "b": rows["section_id"].iloc[:0], "similarity": np.zeros(0)})]
+        for _, same in rows.groupby(rows["embedding"].map(len)):
+            m = np.stack(same["embedding"].to_numpy()).astype(np.float64)
+            norm = np.linalg.norm(m, axis=1) if m.shape[1] else np.zeros(len(m))
+            ids, own, m = same["section_id"].to_numpy()[norm > 0], same["own"].to_numpy()[norm > 0], m[norm > 0] / norm[norm > 0][:, None]
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            for k in range(0, len(left), 256):  # what is held at once is 256 rows of the products
+                some = left[k : k + 256]
+                sims = m[some] @ m[right].T
+                x, y = np.nonzero(sims >= threshold - 1e-12)
+                p, q, sims = ids[some[x]], ids[right[y]], sims[x, y]
+                kept = p < q if i == j else np.ones(len(p), bool)
+                found.append(pd.DataFrame({"a": np.where(p < q, p, q)[kept], "b": np.where(p < q, q, p)[kept], "similarity": sims[kept]}))
+        return pd.concat(found)
+
+    return near

@@ -515,7 +515,12 @@ def collapse(spark, d):
 @query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), u AS (SELECT min(vec_id) AS id, x FROM v GROUP BY x) SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.x, b.x), 6) AS similarity FROM u a JOIN u b ON a.id < b.id WHERE list_cosine_similarity(a.x, b.x) >= 0.85")
 def near_duplicates(spark, d):
     own = table(spark, d, "embeddings").select(F.col("vec_id").alias("section_id"), "embedding")
-    return duplicates.near_duplicates(own, tables=40).withColumn("similarity", F.round("similarity", 6))
+    return duplicates.near_duplicates(own).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings) SELECT vec_id AS section_id, min(vec_id) OVER (PARTITION BY x) AS class_id, count(*) OVER (PARTITION BY x) AS size FROM v")
+def vector_classes(spark, d):
+    return duplicates.vector_classes(table(spark, d, "embeddings").select(F.col("vec_id").alias("section_id"), "embedding"))
 
 
 # Summaries and budgets

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
+
 from tessera.operators import duplicates
 
 
@@ -10,3 +13,18 @@ def test_exact_duplicates_of_a_large_group_are_all_told(spark):
     found = duplicates.exact_duplicates(own).selectExpr("size", "primary.path AS first", "duplicates.path AS others").first()
     assert (found.size, found.first, found.others) == (1203, "00000", [f"{i:05d}" for i in range(1, 1203)])
     assert sorted(r.place for r in duplicates.duplicate_members(own).collect()) == list(range(1, 1204))
+
+
+@pytest.mark.parametrize("block", [64, 4096])
+def test_near_duplicates_lose_no_pair_and_no_copy(spark, monkeypatch, block):
+    monkeypatch.setattr(duplicates, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(150, 16))
+    some = np.concatenate([base, base[:50] + 0.25 * rng.normal(size=(50, 16)), base[:30], np.zeros((2, 16))]).astype(np.float32)
+    own = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(some)] + [(900, [1.0]), (901, None)], "section_id long, embedding array<float>")
+    unit = some[:200].astype(float) / np.linalg.norm(some[:200].astype(float), axis=1)[:, None]
+    want = {(a, b) for a, b in zip(*map(lambda x: x.tolist(), np.nonzero(unit @ unit.T >= duplicates.SIMILAR))) if a < b}
+    found = [(r.a, r.b) for r in duplicates.near_duplicates(own).collect()]
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 30
+    classes = {r.section_id: (r.class_id, r["size"]) for r in duplicates.vector_classes(own).collect()}
+    assert classes == {i: (i - 200, 2) if 200 <= i < 230 else (230, 2) if i in (230, 231) else (i, 2 if i < 30 else 1) for i in (*range(232), 900)}
