@@ -75,3 +75,15 @@ v AS (SELECT e.vec_id AS section_id, d.source || '/' || d.doc_id || '.md' AS pat
 qv AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS y FROM embeddings WHERE vec_id IN {ids}),
 sim AS (SELECT query_id, section_id, path, heading, list_cosine_similarity(x, y) AS similarity FROM v, qv),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, section_id) AS rank FROM sim) WHERE rank <= {k})"""
+
+
+def nearest_each(k: int) -> str:
+    """The same for every vector whose id is divisible by 100."""
+    return nearest((), k).replace("vec_id IN ()", "vec_id % 100 = 0")
+
+
+def bm25_documents(queries: list[tuple[int, str]], limit: int) -> str:
+    """bm25() over doc_plain, its sections named by the number of the document."""
+    own = f"""{PLAIN},
+sec AS (SELECT CAST(regexp_extract(path, '/(\\d+)\\.md$', 1) AS BIGINT) AS section_id, heading, content, {tokens("content")} AS token_count FROM plain)"""
+    return bm25(queries, limit).replace(SEC, own)

@@ -360,9 +360,23 @@ def vector_search_stats(spark, d):
     return vectors.vector_search_stats(doc_vec(spark, d), _asked_vectors(spark, d), NEAR, 0.9).withColumns({c: F.round(c, 9) for c in ("highest", "suggested")})
 
 
+def _each_vector(spark, d):
+    return table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(f"WITH {o.nearest_each(NEAR)} SELECT query_id, section_id, round(similarity, 9) AS similarity, CAST(rank AS INTEGER) AS rank FROM near WHERE round(similarity, 9) >= 0.35")
+def vector_search_whole(spark, d):
+    return vectors.vector_search(doc_vec(spark, d), _each_vector(spark, d), NEAR).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(f"WITH {o.nearest_each(NEAR)} SELECT query_id, count(*) FILTER (WHERE round(similarity, 9) < 0.9) AS below, round(max(similarity) FILTER (WHERE round(similarity, 9) < 0.9), 9) AS highest, round(greatest(0.1, max(similarity) FILTER (WHERE round(similarity, 9) < 0.9) - 0.05), 9) AS suggested FROM near GROUP BY query_id")
+def vector_search_stats_whole(spark, d):
+    return vectors.vector_search_stats(doc_vec(spark, d), _each_vector(spark, d), NEAR, 0.9).withColumns({c: F.round(c, 9) for c in ("highest", "suggested")})
+
+
 @query()
 def approximate_search(spark, d):
-    return vectors.vector_search(doc_vec(spark, d), _asked_vectors(spark, d), NEAR, quality="thorough")
+    return vectors.vector_search(doc_vec(spark, d), _each_vector(spark, d), NEAR, quality="thorough")
 
 
 def _vector_texts(spark, d):
@@ -383,6 +397,23 @@ def semantic_search(spark, d):
     return out.select("query_id", "section_id", "path", "heading", F.round("similarity", 9).alias("similarity"), F.round("boosted", 9).alias("boosted"), "rank")
 
 
+#: The texts that go with the vectors whose ids are divisible by 100, in turns.
+TURNS = [(0, "the of"), (1, "and er"), (2, "der que")]
+_TURN = "CAST(floor(query_id / 100) AS BIGINT) % 3"
+_EACH_BOOSTED = _BOOSTED.replace(f"(VALUES {_TEXTS}) w(query_id, query)", f"(SELECT query_id, query FROM qv JOIN (VALUES {', '.join(f'({i}, {o.q(w)})' for i, w in TURNS)}) w(turn, query) ON turn = {_TURN})")
+
+
+def _turns(spark, d):
+    return _each_vector(spark, d).withColumn("turn", F.expr(_TURN).cast("int"))
+
+
+@query(f"WITH {o.nearest_each(2 * TOP)}, {_EACH_BOOSTED} SELECT query_id, section_id, path, heading, round(similarity, 9) AS similarity, round(boosted, 9) AS boosted, CAST(r AS INTEGER) AS rank FROM sem")
+def semantic_search_whole(spark, d):
+    texts = _turns(spark, d).join(asked(spark, TURNS).withColumnRenamed("query_id", "turn"), "turn").drop("turn")
+    out = vectors.semantic_search(doc_vec(spark, d), texts, TOP)
+    return out.select("query_id", "section_id", "path", "heading", F.round("similarity", 9).alias("similarity"), F.round("boosted", 9).alias("boosted"), "rank")
+
+
 #: Fusion of the vector list with one of the same documents by BM25-like counts.
 _OVERLAP = "kw AS (SELECT * FROM (SELECT query_id, d.doc_id AS section_id, row_number() OVER (PARTITION BY query_id ORDER BY (d.doc_id * 7919 + query_id) % 1009, d.doc_id) AS rank FROM documents d, qv) WHERE rank <= 20)"
 
@@ -401,6 +432,18 @@ def rank_fusion(spark, d):
     return vectors.rrf(near, bm25.top(told, 20), limit=TOP).withColumn("score", F.round("score", 9))
 
 
+@query(
+    f"""WITH {o.nearest_each(NEAR)}, {o.bm25_documents(TURNS, 20)}, kw AS (SELECT qv.query_id, section_id, rank FROM qv JOIN bm ON bm.query_id = {_TURN.replace("query_id", "qv.query_id")}), """
+    + SQL["rank_fusion"][SQL["rank_fusion"].index("f AS (SELECT coalesce(near") :]
+)
+def rank_fusion_whole(spark, d):
+    """Every vector asked for, fused with BM25 over the documents by the text of its turn."""
+    near = vectors.nearest(doc_vec(spark, d), _each_vector(spark, d), NEAR)
+    own = plain(spark, d).withColumn("section_id", F.regexp_extract("path", r"/(\d+)\.md$", 1).cast("long"))
+    told = bm25.bm25_search(bm25.build_postings(own), asked(spark, TURNS), 20).withColumnRenamed("query_id", "turn")
+    return vectors.rrf(near, _turns(spark, d).join(told, "turn"), limit=TOP).withColumn("score", F.round("score", 9))
+
+
 @query()
 def hybrid_search(spark, d):
     """Vectors of sections by the hashing provider, fused with BM25 over the same sections."""

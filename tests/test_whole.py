@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from tessera.operators import duplicates
+from tessera import queries
+from tessera.corpora import table
+from tessera.operators import duplicates, vectors
 
 
 def test_exact_duplicates_of_a_large_group_are_all_told(spark):
@@ -28,3 +30,23 @@ def test_near_duplicates_lose_no_pair_and_no_copy(spark, monkeypatch, block):
     assert len(found) == len(set(found)) and set(found) == want and len(want) > 30
     classes = {r.section_id: (r.class_id, r["size"]) for r in duplicates.vector_classes(own).collect()}
     assert classes == {i: (i - 200, 2) if 200 <= i < 230 else (230, 2) if i in (230, 231) else (i, 2 if i < 30 else 1) for i in (*range(232), 900)}
+
+
+@pytest.mark.parametrize("name", ["vector_search_whole", "vector_search_stats_whole", "approximate_search", "semantic_search_whole", "rank_fusion_whole"])
+def test_every_hundredth_vector_is_searched_for(spark, data, name):
+    want = {r.vec_id for r in table(spark, data, "embeddings").filter("vec_id % 100 = 0").collect()}
+    known = want & {r.doc_id for r in table(spark, data, "documents").collect()}  # the others may miss the threshold
+    found = {r.query_id for r in queries.QUERIES[name](spark, data).select("query_id").distinct().collect()}
+    assert known <= found <= want and len(known) > 1
+    if name in ("vector_search_stats_whole", "rank_fusion_whole"):
+        assert found == want
+
+
+def test_approximate_search_has_recall_at_the_limit_in_use(spark, data):
+    v = table(spark, data, "embeddings").selectExpr("vec_id AS section_id", "embedding")
+    q = table(spark, data, "embeddings").filter("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding")
+    others = lambda df: {(r.query_id, r.section_id) for r in df.filter("query_id <> section_id").collect()}
+    exact = others(vectors.nearest(v, q, queries.NEAR + 1))
+    found = others(vectors.vector_search(v, q, queries.NEAR + 1, -1.0, "thorough"))
+    print("recall", len(exact & found), len(exact))
+    assert len(exact) == 10 * queries.NEAR and len(exact & found) >= 0.9 * len(exact)
