@@ -78,6 +78,18 @@ def query_normal_forms(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.preprocess_query(head).alias("query"), tx.should_expand(head).alias("expand"))
 
 
+@query(SQL["identities"].replace("left(text, 40)", "text"))
+def identities_whole(spark, d):
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return table(spark, d, "documents").select("doc_id", tx.doc_id(path).alias("path_id"), tx.slug(F.col("text")).alias("slug"), tx.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query(SQL["query_normal_forms"].replace("left(text, 60)", "text"))
+def query_normal_forms_whole(spark, d):
+    text = F.col("text")
+    return table(spark, d, "documents").select("doc_id", tx.preprocess_query(text).alias("query"), tx.should_expand(text).alias("expand"))
+
+
 @query("SELECT page_id, regexp_matches(url, '(?i)^https?://[^/]*/en/[^/]*$') AS en, regexp_matches(url, '(?is)^.*example\\.net/.*$') AS net FROM pages")
 def path_globs(spark, d):
     url = F.col("url")

@@ -50,3 +50,14 @@ def test_approximate_search_has_recall_at_the_limit_in_use(spark, data):
     found = others(vectors.vector_search(v, q, queries.NEAR + 1, -1.0, "thorough"))
     print("recall", len(exact & found), len(exact))
     assert len(exact) == 10 * queries.NEAR and len(exact & found) >= 0.9 * len(exact)
+
+
+def test_whole_texts_are_named_and_asked(spark, tmp_path):
+    word = "abcdefghi "
+    rows = [(1, word * 7 + "end -- here!", "src0"), (2, "one" * 30 + " two three four five six", "src0"), (3, "x" * 70 + " y z?", "src0"), (4, "x" * 70 + " y z", "src0")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    slugs = {r.doc_id: r.slug for r in queries.identities_whole(spark, str(tmp_path)).collect()}
+    assert slugs[1] == "abcdefghi-" * 7 + "end-here" and slugs[2].endswith("-two-three-four-five-six")
+    forms = {r.doc_id: (r.query, r.expand) for r in queries.query_normal_forms_whole(spark, str(tmp_path)).collect()}
+    assert forms[1] == (word * 7 + "end here", True)
+    assert [forms[i][1] for i in (2, 3, 4)] == [True, True, False]
