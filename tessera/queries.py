@@ -157,6 +157,13 @@ def extract_code_blocks(spark, d):
     return found.select(F.col("path").cast("long").alias("doc_id"), "language", "content", "start_line", "end_line")
 
 
+@query(SQL["extract_code_blocks"].removesuffix(" WHERE lang = 'en'"))
+def extract_code_blocks_whole(spark, d):
+    text = F.concat(F.lit("# Code\n\n````"), "source", F.lit("\n"), "text", F.lit("\n````\n"))
+    found = extract.extract_code_blocks(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), text.alias("text")))
+    return found.select(F.col("path").cast("long").alias("doc_id"), "language", "content", "start_line", "end_line")
+
+
 @query("SELECT doc_id, lang AS language, [source, lang] AS tags, text AS body FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, NULL, CAST([] AS VARCHAR[]), text FROM documents WHERE doc_id % 2 = 1")
 def split_frontmatter(spark, d):
     front = F.concat(F.lit("---\nlanguage: '"), "lang", F.lit("'\ntags: ["), "source", F.lit(", "), "lang", F.lit("]\n---\n"))

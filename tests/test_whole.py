@@ -61,3 +61,9 @@ def test_whole_texts_are_named_and_asked(spark, tmp_path):
     forms = {r.doc_id: (r.query, r.expand) for r in queries.query_normal_forms_whole(spark, str(tmp_path)).collect()}
     assert forms[1] == (word * 7 + "end here", True)
     assert [forms[i][1] for i in (2, 3, 4)] == [True, True, False]
+
+
+def test_code_blocks_of_every_language_are_extracted(spark, tmp_path):
+    spark.createDataFrame([(1, "a\nb", "en", "src0"), (2, "c", "fr", "src0"), (3, "d", None, "src1")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.extract_code_blocks_whole(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in found] == [(1, "src0", "a\nb", 3, 6), (2, "src0", "c", 3, 5), (3, "src1", "d", 3, 5)]
