@@ -56,6 +56,16 @@ def heading_index(sections: DataFrame) -> DataFrame:
     return sections.groupBy(F.lower("heading").alias("heading")).agg(F.sort_array(F.collect_list("section_id")).alias("section_ids"))
 
 
+def heading_rows(sections: DataFrame) -> DataFrame:
+    """(heading, section_id): the same as rows, sorted by both, so that a frequent heading is dealt over tasks."""
+    return sections.select(F.lower("heading").alias("heading"), "section_id").orderBy("heading", "section_id")
+
+
+def heading_counts(sections: DataFrame) -> DataFrame:
+    """(heading, sections): how many sections a lower-cased heading has."""
+    return sections.groupBy(F.lower("heading").alias("heading")).agg(F.count("*").alias("sections"))
+
+
 def document_index(sections: DataFrame) -> DataFrame:
     """(path, section_ids) in order of the document."""
     return sections.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "section_id"))), lambda x: x["section_id"]).alias("section_ids"))

@@ -201,6 +201,16 @@ def heading_index(spark, d):
     return incremental.heading_index(sections(spark, d))
 
 
+@query(f"WITH {o.SEC} SELECT lower(heading) AS heading, section_id FROM sec")
+def heading_rows(spark, d):
+    return incremental.heading_rows(sections(spark, d))
+
+
+@query(f"WITH {o.SEC} SELECT lower(heading) AS heading, count(*) AS sections FROM sec GROUP BY 1")
+def heading_counts(spark, d):
+    return incremental.heading_counts(sections(spark, d))
+
+
 @query(f"WITH {o.SEC} SELECT path, list(section_id ORDER BY ordinal) AS section_ids FROM sec GROUP BY path")
 def document_index(spark, d):
     return incremental.document_index(sections(spark, d))

@@ -7,7 +7,7 @@ import pytest
 
 from tessera import queries
 from tessera.corpora import table
-from tessera.operators import duplicates, vectors
+from tessera.operators import duplicates, incremental, vectors
 
 
 def test_exact_duplicates_of_a_large_group_are_all_told(spark):
@@ -67,3 +67,15 @@ def test_code_blocks_of_every_language_are_extracted(spark, tmp_path):
     spark.createDataFrame([(1, "a\nb", "en", "src0"), (2, "c", "fr", "src0"), (3, "d", None, "src1")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     found = queries.extract_code_blocks_whole(spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [tuple(r) for r in found] == [(1, "src0", "a\nb", 3, 6), (2, "src0", "c", 3, 5), (3, "src1", "d", 3, 5)]
+
+
+def test_a_frequent_heading_is_dealt_over_tasks(spark):
+    own = spark.range(20000).selectExpr("'User' AS heading", "format_string('s%05d', id) AS section_id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would put small partitions together
+    try:
+        found = incremental.heading_rows(own).rdd.glom().map(lambda rows: [tuple(r) for r in rows]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert [x for part in found for x in part] == [("user", f"s{i:05d}") for i in range(20000)]
+    assert max(map(len, found)) < 10000
+    assert [tuple(r) for r in incremental.heading_counts(own).collect()] == [("user", 20000)]
