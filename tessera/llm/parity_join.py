@@ -1,20 +1,21 @@
 """Similarity join of documents on word shingles by parity sketches.
 
-A document's set is split by hash into blocks; a block's entry is the XOR of its shingles' hashes. Where two sets
-differ in d shingles, at most d blocks differ (the Hamming distance of the sketches over blocks is at most the
-symmetric difference), and a Jaccard similarity of 3/4 bounds d by a seventh of both sizes together. Blocks are as many
-as a size band needs to leave, by pigeonhole, blocks alike and not empty; documents that share one meet.
-
- * Up to ``SMALL`` shingles, a block is one shingle, and the first n // 4 + 1 in order of hash must share one.
- * Above, bands double in size. A band of least size L has L blocks, of which the first ``BLOCKS`` are looked at, a
-   sample of hash space. For a pair at the threshold a block is alike and not empty with a chance over 0.41 and
-   independent of the others, so that none of 56 is with a chance below 1e-12.
-
-Meetings stay linear: members of a bucket are compared with its first member. Only buckets whose members are then still in
-different components have other pairs looked at, in tiles of bounded size: each set's ``SAMPLE`` smallest hashes stand
-for it there, and pairs must share one of the values that are rare in the tile. What is in one component already is
-never compared again, so neither groups of copies nor documents around a common passage cost their square. All pairs
-that pass are verified on the whole texts.
+A shingle flips one bit of a document's sketch, so the Hamming distance of two sketches never exceeds the symmetric
+difference of the sets; a Jaccard similarity of 3/4 bounds that by a seventh of both sizes together. Sketches serve twice.
+
+ * Pigeonhole join. A long sketch is cut into blocks, each known by the XOR of the 64-bit names of its odd bits. Sets that
+   differ in d shingles differ in at most d blocks, so sets of a size band that may be linked share a block that isn't
+   empty. Up to ``SMALL`` shingles a block is one shingle, and the first n // 4 + 1 in order of hash must share one. Above,
+   bands double in size; a band of least size L has L blocks, of which the first ``BLOCKS`` are looked at, a sample of hash
+   space: for a pair at the threshold each is alike and not empty with a chance over 0.41, so that none of 56 is with a
+   chance below 1e-12. Documents that share a block meet in a bucket.
+ * Rejection. A short sketch of 1024 bits, doubled with each band, travels to the buckets. A pair whose Hamming distance is
+   over the bound is no link, exactly; what passes has a similarity of about 0.73 or more, and is verified on the texts.
+
+Meetings stay linear: each document is first compared with the smallest one that opens a bucket of its own. Then the buckets
+whose members are in different components are looked at in tiles of bounded size, and a tile emits only as many pairs as
+join its components; a bucket of which a pair fails verification is looked at once more for all pairs that are left. So
+neither groups of copies nor documents around a common passage emit their square, and no link is lost.
 """
 
 from __future__ import annotations
@@ -34,9 +35,8 @@ from tessera.llm.components import components
 SHINGLE, SMALL, BLOCKS = 5, 64, 56
 #: The threshold as a fraction: OVER * intersection >= UNDER * union.
 OVER, UNDER = 100, 75
-#: Members of a tile; ids that are broadcast at most; hashes of a sample, and by how many (over six standard deviations)
-#: a pair at the threshold may share fewer than expected.
-TILE, MOST_BROADCAST, SAMPLE, SLACK = 2048, 1_000_000, 128, 30
+#: Members of a tile, rows that are broadcast at most, and bits of the shortest sketch.
+TILE, MOST_BROADCAST, BITS = 4096, 1_000_000, 1024
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -53,7 +53,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return OVER * common >= UNDER * (len(a) + len(b) - common)
 
 
-def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def block_keys(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket keys of a set, and whether each is of the band of its own size (else of the band below)."""
     n, keys, own = len(s), [], []
     if 0 < n <= SMALL * 4 // 3:
@@ -78,116 +78,111 @@ def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(own)
 
 
+def digest(s: np.ndarray) -> bytes:
+    """The name of a set."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set as 64-bit words: each shingle flips a bit."""
+    size = BITS << max(0, int(len(s) // (SMALL + 1)).bit_length() - 1)
+    odd = np.bincount((s >> np.uint64(32)) & np.uint64(size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(bool)).view(np.uint64)
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """The same set's sketch of fewer words."""
+    while len(words) > size:
+        half = len(words) // 2
+        words = words[:half] ^ words[half:]
+    return words
+
+
+def may_link(na: int, sa: np.ndarray, nb: int, sb: np.ndarray) -> bool:
+    """Whether two sets may be linked by their sizes and sketches; all that are do."""
+    if min(na, nb) * OVER < max(na, nb) * UNDER:
+        return False
+    size = min(len(sa), len(sb))
+    apart = int(np.bitwise_count(folded(sa, size) ^ folded(sb, size)).sum())
+    return apart * (OVER + UNDER) <= (na + nb) * (OVER - UNDER)
+
+
+def close_pairs(n: np.ndarray, sketches: list[np.ndarray], group: np.ndarray, side: np.ndarray | None = None, brief: bool = False) -> list[tuple[int, int]]:
+    """Pairs of rows that may be linked and are of different groups (and sides).
+
+    ``brief``: two groups count as one once they have a pair, so that there are fewer pairs than rows.
+    """
+    size = min(map(len, sketches))
+    words, group, out = np.stack([folded(s, size) for s in sketches]), group.copy(), []
+    for r in range(len(n) - 1):
+        other = np.flatnonzero(group[r + 1 :] != group[r]) + r + 1
+        if side is not None:
+            other = other[side[other] != side[r]]
+        other = other[np.minimum(n[other], n[r]) * OVER >= np.maximum(n[other], n[r]) * UNDER]
+        if not len(other):
+            continue
+        apart = np.bitwise_count(words[other] ^ words[r]).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero(apart * (OVER + UNDER) <= (n[other] + n[r]) * (OVER - UNDER))
+        for x in other[near[np.argsort(apart[near], kind="stable")]].tolist():
+            if not brief:
+                out.append((r, x))
+            elif group[x] != group[r]:
+                out.append((r, x))
+                group[group == group[x]] = group[r]
+    return out
+
+
 def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        n, digest, keys, own, sample = [], [], [], [], []
+        n, names, keys, own, sketches = [], [], [], [], []
         for text in batch["text"]:
             s = shingle_set(text)
-            k, o = sketch(s)
+            k, o = block_keys(s)
             n.append(len(s))
-            digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+            names.append(digest(s))
             keys.append(k.tobytes())
             own.append(o.tobytes())
-            sample.append((s[:SAMPLE] >> np.uint64(32)).astype(np.uint32).tobytes())
-        yield pd.DataFrame({"id": batch["id"], "n": n, "digest": digest, "keys": keys, "own": own, "sample": sample})
+            sketches.append(sketch(s).tobytes())
+        yield pd.DataFrame({"id": batch["id"], "n": n, "digest": names, "keys": keys, "own": own, "sketch": sketches})
 
 
-def likely(na: int, sa: np.ndarray, nb: int, sb: np.ndarray) -> bool:
-    """Whether sets of these sizes and samples may be similar: the samples share about as much as sets at the threshold."""
-    large = max(na, nb)
-    if min(na, nb) * OVER < large * UNDER:
-        return False
-    common = len(np.intersect1d(sa, sb))
-    expected = (na + nb) * UNDER / (OVER + UNDER) * min(1.0, SAMPLE / large)
-    return common >= expected - (SLACK if large > SAMPLE else 1)
-
-
-def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        keep = [likely(na, np.frombuffer(sa, np.uint32), nb, np.frombuffer(sb, np.uint32)) for na, sa, nb, sb in zip(batch["na"], batch["sa"], batch["nb"], batch["sb"])]
+        keep = [may_link(na, np.frombuffer(sa, np.uint64), nb, np.frombuffer(sb, np.uint64)) for na, sa, nb, sb in zip(batch["na"], batch["sa"], batch["nb"], batch["sb"])]
         yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
 
-def close_pairs(n: np.ndarray, samples: list[np.ndarray], group: np.ndarray, side: np.ndarray | None = None, brief: bool = False) -> list[tuple[int, int]]:
-    """All pairs of rows that may be similar and are of different groups (and sides). Each row's rarest values are looked
-    up, so many that a pair at the threshold must share one of them. ``brief``: two groups count as one once they have a
-    pair, so that groups of copies give as many pairs as members."""
-    m, group = len(samples), group.copy()
-    size = np.array([len(s) for s in samples])
-    row = np.repeat(np.arange(m), size)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    _, number, count = np.unique(np.concatenate(samples), return_inverse=True, return_counts=True)
-    codes = np.full((m, SAMPLE), len(count), np.int64)  # the last code is no value
-    codes[row, place] = number
-    rare = size - np.maximum(0, size * UNDER // OVER - np.where(n > SAMPLE * UNDER // OVER, SLACK, 1)) + 1
-    order = np.lexsort((number, count[number], row))
-    ahead = (place < rare[row]) & (count[number[order]] > 1)
-    row, number = row[order][ahead], number[order][ahead]
-    order = np.lexsort((number, count[number]))
-    row, number = row[order], number[order]
-    edge = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]) if len(number) else np.zeros(1, np.int64)
-    if len(edge) < 2:
-        return []
-    mixed_groups = np.minimum.reduceat(group[row], edge[:-1]) < np.maximum.reduceat(group[row], edge[:-1])
-    mark, seen, out = np.zeros(len(count) + 1, bool), np.zeros((m, m), bool), []
-    for first, last in zip(edge[:-1][mixed_groups].tolist(), edge[1:][mixed_groups].tolist()):
-        rows = row[first:last]
-        own = group[rows]
-        if (own == own[0]).all():
-            continue
-        names, times = np.unique(own, return_counts=True)
-        for r in rows[own != names[times.argmax()]].tolist():
-            with_r = rows[(group[rows] != group[r]) & ~seen[r, rows]]
-            if side is not None:
-                with_r = with_r[side[with_r] != side[r]]
-            if not len(with_r):
-                continue
-            seen[r, with_r] = seen[with_r, r] = True
-            large, small = np.maximum(n[with_r], n[r]), np.minimum(n[with_r], n[r])
-            mark[codes[r, : size[r]]] = True
-            common = mark[codes[with_r]].sum(axis=1)
-            mark[codes[r, : size[r]]] = False
-            expected = (large + small) * UNDER / (OVER + UNDER) * np.minimum(1.0, SAMPLE / large)
-            slack = np.where(large > SAMPLE, SLACK, 1)
-            fits = small * OVER >= large * UNDER
-            near = np.flatnonzero(fits & (common >= expected - slack))
-            for x in with_r[near[np.argsort(-common[near], kind="stable")]].tolist():
-                if not brief or group[x] != group[r]:
-                    out.append((min(r, x), max(r, x)))
-                if brief:
-                    group[group == group[x]] = group[r]
-    return out
-
-
 def _tiles(batches: Iterator[pd.DataFrame], brief: bool) -> Iterator[pd.DataFrame]:
     """Pairs of each tile, or of two tiles of a bucket; a tile's rows come one after another."""
+    names = ["key", "x", "y", "cls", "n", "c", "own_tile"]
 
-    def told(rows: pd.DataFrame) -> pd.DataFrame:
-        side = None if rows["x"].iloc[0] == rows["y"].iloc[0] else (rows["own_tile"] == rows["y"]).to_numpy()
-        ids = rows["id"].to_numpy()
-        found = close_pairs(rows["n"].to_numpy(), [np.frombuffer(s, np.uint32) for s in rows["sample"]], rows["c"].to_numpy(), side, brief)
-        pairs = np.array(found, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": ids[pairs].min(axis=1), "b": ids[pairs].max(axis=1)}) if len(pairs) else pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+    def told(parts: list[tuple[np.ndarray, list[bytes]]]) -> list[tuple[int, int, int]]:
+        rows = np.concatenate([p for p, _ in parts]) if len(parts) > 1 else parts[0][0]
+        key, x, y = rows[0, :3].tolist()
+        side = None if x == y else rows[:, 6] == y
+        cls = rows[:, 3].tolist()
+        found = close_pairs(rows[:, 4], [np.frombuffer(s, np.uint64) for _, own in parts for s in own], rows[:, 5], side, brief)
+        return [(key, min(cls[i], cls[k]), max(cls[i], cls[k])) for i, k in found]
 
-    waiting: list[pd.DataFrame] = []
+    waiting: list[tuple[np.ndarray, list[bytes]]] = []
     for batch in batches:
-        key = batch[["key", "x", "y"]].to_numpy()
-        cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+        rows, sketches, out = batch[names].to_numpy(np.int64), batch["sketch"].tolist(), []
+        cut = [0, *(np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1).tolist(), len(rows)]
         for first, last in zip(cut, cut[1:]):
-            part = batch.iloc[first:last]
-            if waiting and tuple(waiting[0][["key", "x", "y"]].iloc[0]) != tuple(part[["key", "x", "y"]].iloc[0]):
-                yield told(pd.concat(waiting))
+            if waiting and (waiting[0][0][0, :3] != rows[first, :3]).any():
+                out += told(waiting)
                 waiting = []
-            waiting.append(part)
+            waiting.append((rows[first:last], sketches[first:last]))
+        yield pd.DataFrame(np.array(out, np.int64).reshape(-1, 3), columns=["key", "a", "b"])
     if waiting:
-        yield told(pd.concat(waiting))
+        yield pd.DataFrame(np.array(told(waiting), np.int64).reshape(-1, 3), columns=["key", "a", "b"])
 
 
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row for each bucket that a set falls into."""
     for batch in batches:
         times = batch["own"].str.len().to_numpy(np.int64)
-        yield pd.DataFrame({"key": np.frombuffer(b"".join(batch["keys"]), np.int64), "id": np.repeat(batch["id"].to_numpy(), times), "own": np.frombuffer(b"".join(batch["own"]), bool)})
+        yield pd.DataFrame({"key": np.frombuffer(b"".join(batch["keys"]), np.int64), "cls": np.repeat(batch["cls"].to_numpy(), times), "own": np.frombuffer(b"".join(batch["own"]), bool)})
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,31 +196,74 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
 
+def _own_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of several texts of an id those whose set is the class's."""
+    for batch in batches:
+        keep = [digest(shingle_set(t)) == d for t, d in zip(batch["text"], batch["digest"])]
+        yield batch.loc[np.array(keep, bool)]
+
+
 def _few(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """A broadcast hint if the (checkpointed) rows are few enough, else none: then Spark shuffles both sides."""
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose texts are similar; texts travel for candidates alone."""
-    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
-    texts = docs.join(_few(ids), docs["id"] == ids["cid"]).groupBy("cid").agg(F.min("text").alias("text"))
-    texts = checkpointed(texts)
-    ta, tb = (texts.select(F.col("cid").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInPandas(_verified, "a long, b long")
-
-
-def _rest(members: DataFrame, groups: DataFrame, samples: DataFrame, brief: bool) -> DataFrame:
-    """Likely pairs of buckets with members in several components; if ``brief``, enough to join them all."""
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    labelled = members.filter("size > 2").join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    spread = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("size").alias("size"), F.bit_xor(F.xxhash64("id")).alias("of")).filter("lo < hi")
-    spread = spread.groupBy("size", "of").agg(F.min("key").alias("key")).select("key")  # of buckets with the same members one
-    many = labelled.join(spread, "key").join(samples, "id").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("own_tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    # members of a large bucket are dealt to tiles, and each pair of tiles is looked at by itself
-    met = many.select("key", "id", "n", "c", "sample", "own_tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    met = met.select("*", F.least("own_tile", "other").alias("x"), F.greatest("own_tile", "other").alias("y")).drop("other")
-    return met.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(partial(_tiles, brief=brief), "a long, b long").distinct()
+class _Join:
+    """What the steps share: the documents (id, text), the classes of equal sets (digest, head, cls) and their sketches."""
+
+    def __init__(self, rows: DataFrame, classes: DataFrame, sets: DataFrame, members: DataFrame, several: bool):
+        self.rows, self.classes, self.members, self.several = rows, classes, members, several
+        self.sketches = sets.select("cls", "n", "sketch")
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) of classes that their sketches don't reject."""
+        of = lambda x: self.sketches.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        return pairs.join(of("b"), "b").join(of("a"), "a").mapInPandas(_near, "a long, b long")
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs whose texts are linked; texts travel for candidates alone, one for each class."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.classes, "cls")
+        texts = self.rows.join(_few(checkpointed(wanted)), self.rows["id"] == F.col("head")).select("cls", "digest", "text")
+        if self.several:
+            texts = texts.mapInPandas(_own_texts, texts.schema)
+        texts = checkpointed(texts.groupBy("cls").agg(F.min("text").alias("text")))
+        ta, tb = (texts.select(F.col("cls").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+        return checkpointed(pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInPandas(_verified, "a long, b long"))
+
+    def unmet(self, groups: DataFrame, brief: bool, keys: DataFrame | None = None) -> DataFrame:
+        """Pairs (key, a, b) that may be linked in the buckets with members in several components; if ``brief``, enough to
+        join them all."""
+        parts = int(self.members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        labelled = self.members.join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn("c", F.coalesce("component", "cls")).drop("component")
+        spread = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("size").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("of")).filter("lo < hi")
+        if keys is not None:
+            spread = spread.join(keys, "key", "left_semi")
+        spread = spread.groupBy("size", "of").agg(F.min("key").alias("key")).select("key")  # of buckets with the same members one
+        many = labelled.join(spread, "key").join(self.sketches, "cls").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("own_tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+        # members of a bucket larger than a tile are dealt to tiles, and each pair of tiles is looked at by itself
+        met = many.select("key", "cls", "n", "c", "sketch", "own_tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+        met = met.select("*", F.least("own_tile", "other").alias("x"), F.greatest("own_tile", "other").alias("y")).drop("other")
+        return checkpointed(met.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(partial(_tiles, brief=brief), "key long, a long, b long"))
+
+    def links(self) -> DataFrame:
+        """(id, component) of the classes that are linked with others."""
+        star = self.members.groupBy("cls").agg(F.min("first").alias("a")).filter("a <> cls").select("a", F.col("cls").alias("b"))
+        links = self.verify(checkpointed(self.near(star)))
+        groups = components(links)
+        keys = None
+        for brief in (True, False):
+            rest = self.unmet(groups, brief, keys)
+            pairs = checkpointed(rest.select("a", "b").distinct())
+            if pairs.isEmpty():
+                break
+            found = self.verify(pairs)
+            links = links.unionByName(found)
+            groups = components(links)
+            # pairs that a false one stood for are only in its bucket
+            keys = checkpointed(rest.join(found, ["a", "b"], "left_anti").select("key").distinct())
+            if keys.isEmpty():
+                break
+        return groups
 
 
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,36 +276,28 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     null component. Other columns aren't returned. An empty table gives an empty one.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = written(rows.mapInPandas(_sketched, "id long, n long, digest binary, keys binary, own binary, sample binary"))
-    some = base.filter("n > 0 AND id IS NOT NULL")
-    # equal sets are one class, met by its smallest id
-    classes = checkpointed(some.groupBy("digest").agg(F.min("id").alias("head")))
-    sets = written(some.join(classes.select(F.col("head").alias("id"), "digest"), ["id", "digest"]).dropDuplicates(["id", "digest"]))
-    entries = written(sets.select("id", "n", "keys", "own").mapInPandas(_entries, "key long, id long, own boolean"))
-    buckets = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.max(F.col("own").cast("int")).alias("any")).filter("size > 1 AND any = 1").drop("any")
-    members = written(entries.select("key", "id").join(buckets, "key"))
-    samples = sets.select("id", "n", "sample").dropDuplicates(["id"])
-    candidate = rows.filter("id IS NOT NULL")
-    star = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    of = lambda x: samples.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sample").alias(f"s{x}"))
-    star = star.join(of("b"), "b").join(of("a"), "a").mapInPandas(_likely, "a long, b long")
-    links = checkpointed(_verify(checkpointed(star), candidate))
-    groups = components(links)
-    for brief in (True, False):  # large groups are joined first; then every pair that is left is looked at
-        rest = checkpointed(_rest(members, groups, samples, brief))
-        if rest.isEmpty():
-            break
-        links = checkpointed(links.unionByName(_verify(rest, candidate)))
-        groups = components(links)
-    discard(sets, entries, members)
-    tops = classes.join(groups, classes["head"] == groups["id"], "left").select("digest", F.coalesce("component", "head").alias("component"))
-    # an id with several texts joins what its texts are in
-    own = some.select("id", "digest", "n").join(tops, "digest")
-    twice = own.groupBy("id").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("a", "b")
-    if not twice.isEmpty():
-        merged = components(twice).withColumnsRenamed({"id": "was", "component": "now"})
+    base = written(rows.mapInPandas(_sketched, "id long, n long, digest binary, keys binary, own binary, sketch binary"))
+    names = checkpointed(base.select("id", "n", "digest"))
+    some = names.filter("n > 0 AND id IS NOT NULL")
+    # equal sets are one class with a number of its own; its smallest id has its text
+    classes = checkpointed(some.groupBy("digest").agg(F.min("id").alias("head")).withColumn("cls", F.monotonically_increasing_id()))
+    twice = checkpointed(some.groupBy("id").agg((F.min("digest") != F.max("digest")).alias("several")).filter("several").select("id"))
+    sets = written(base.join(classes.select(F.col("head").alias("id"), "digest", "cls"), ["id", "digest"]).dropDuplicates(["cls"]).select("cls", "n", "keys", "own", "sketch"))
+    discard(base)
+    entries = written(sets.select("cls", "keys", "own").mapInPandas(_entries, "key long, cls long, own boolean"))
+    buckets = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("cls").alias("first"), F.max(F.col("own").cast("int")).alias("any")).filter("size > 1 AND any = 1").drop("any")
+    members = written(entries.select("key", "cls").join(buckets, "key"))
+    discard(entries)
+    groups = _Join(rows.filter("id IS NOT NULL"), classes, sets, members, not twice.isEmpty()).links()
+    discard(sets, members)
+    tops = classes.join(groups, classes["cls"] == groups["id"], "left").withColumn("top", F.coalesce("component", "cls")).select("digest", "head", "top")
+    least = tops.groupBy("top").agg(F.min("head").alias("component"))
+    own = some.join(tops.join(least, "top").select("digest", "component"), "digest")
+    if not twice.isEmpty():  # an id with several texts joins what its texts are in
+        joint = own.join(twice, "id").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        merged = components(joint).withColumnsRenamed({"id": "was", "component": "now"})
         own = own.join(merged, own["component"] == merged["was"], "left").withColumn("component", F.coalesce("now", "component"))
-    out = own.select("id", "n", "component").unionByName(base.filter("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component")))
+    out = own.select("id", "n", "component").unionByName(names.filter("n = 0 OR id IS NULL").select("id", "n", F.when(F.col("id").isNotNull(), F.col("id")).alias("component")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
