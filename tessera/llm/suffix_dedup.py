@@ -5,8 +5,11 @@
     are one context. Equal contexts, known by 64-bit hashes of anchor and context both, are resolved at once: all
     but the earliest are covered. Each task does so with its own rows first, so hot passages shrink before the shuffle.
  2. Anchors that remain in one context alone repeat nothing. The others' contexts are fetched, and a suffix
-    array (see suffix_array) of each bounded tile of contexts shows the windows that they share.
- 3. An anchor with more contexts than a tile holds is dealt to several; its windows then meet across tiles by hash.
+    array (see suffix_array) of each group of contexts around an anchor shows the windows that they share.
+ 3. An anchor with more contexts than a group holds is split by content: windows that begin further before the anchor than
+    half of what is possible all hold the same stretch before it, the others the same stretch after it, so each half is
+    grouped by its stretch. Contexts cut to a half that are equal as a whole are resolved there, all but the earliest; halves
+    that are still too many are split again, until a group is a single window. Equal windows never part.
  4. What is covered is merged for each document.
 """
 
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,14 +29,17 @@ from tessera.llm.common import checkpointed, discard, mixed, prefix_sums, writte
 from tessera.llm.suffix_array import suffix_array
 
 LENGTH, ANCHOR = 100, 32
-#: Contexts of a tile, bytes that are suffix-sorted at once, documents of which one is looked at for hot anchors,
+#: Contexts of a group, bytes that are suffix-sorted at once, documents of which one is looked at for hot anchors,
 #: the contexts in that sample that make an anchor hot, and characters that a task works on at once.
 TILE, SORTED, ONE_IN, HOT, PIECE = 256, 32_768, 64, 32, 4 << 20
-#: Hot anchors that are told to the tasks at most, and rows that are broadcast at most.
+#: Hot anchors that are told to the tasks at most; contexts (of 24 bytes each), or numbers, that are broadcast at most.
 MOST_HOT, MOST_BROADCAST = 100_000, 2_000_000
+#: How far before its anchor a window may begin.
+WIDEST = LENGTH - ANCHOR
 _PLACE = np.uint64((1 << 24) - 1)
 _WHERE = np.uint64(0x9E3779B97F4A7C15)
-FLAT = "kind int, anchor long, tile int, doc long, start long, stop long, at long"
+FLAT = "kind int, anchor long, hot int, doc long, start long, stop long, at long"
+BODIES = "key long, low int, high int, doc long, start long, ahead int, body binary"
 
 
 def contexts(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> np.ndarray:
@@ -85,8 +92,8 @@ def _firsts(rows: np.ndarray) -> np.ndarray:
     return new
 
 
-def _hot(docs: DataFrame) -> dict[int, int]:
-    """Anchors with very many contexts, from a sample of the documents, and about how many. Only the dealing depends on it."""
+def _hot(docs: DataFrame) -> np.ndarray:
+    """Anchors with very many contexts, from a sample of the documents, in order. Only the dealing depends on it."""
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _pieces(batches):
@@ -96,14 +103,13 @@ def _hot(docs: DataFrame) -> dict[int, int]:
 
     some = docs.filter(F.pmod(F.xxhash64("id"), F.lit(ONE_IN)) == 0).mapInPandas(pairs, "anchor long, context long")
     many = some.distinct().groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT)
-    return {r["anchor"]: r["n"] * ONE_IN for r in many.orderBy(F.desc("n"), "anchor").limit(MOST_HOT).collect()}
+    found = [r["anchor"] for r in many.orderBy(F.desc("n"), "anchor").limit(MOST_HOT).collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
 
 
-def _dealt(docs: DataFrame, hot: dict[int, int], parts: int) -> DataFrame:
+def _dealt(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
     """The contexts of all documents, the earliest of equal ones in each batch, packed by the part they go to."""
-    keys = np.array(sorted(hot), np.int64).view(np.uint64)
-    keys = np.sort(keys)
-    shared = docs.sparkSession.sparkContext.broadcast(keys)
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _pieces(batches):
@@ -128,13 +134,13 @@ def _dealt(docs: DataFrame, hot: dict[int, int], parts: int) -> DataFrame:
     return docs.mapInPandas(dealt, "part int, kind int, anchor binary, context binary, doc binary, a binary, b binary")
 
 
-def _flat(kind: int, doc, start, stop, anchor=None, tile=None, at=None) -> pd.DataFrame:
+def _flat(kind: int, doc, start, stop, anchor=None, hot=None, at=None) -> pd.DataFrame:
     none = np.zeros(len(doc), np.int64)
-    return pd.DataFrame({"kind": np.full(len(doc), kind, np.int32), "anchor": none if anchor is None else anchor, "tile": none.astype(np.int32) if tile is None else tile, "doc": doc, "start": start, "stop": stop, "at": none if at is None else at})
+    return pd.DataFrame({"kind": np.full(len(doc), kind, np.int32), "anchor": none if anchor is None else anchor, "hot": none.astype(np.int32) if hot is None else hot, "doc": doc, "start": start, "stop": stop, "at": none if at is None else at})
 
 
-def _matched(packed: DataFrame, hot: dict[int, int]) -> DataFrame:
-    """kind 1: what is covered; kind 0: contexts of anchors with several, tile 0 if a single tile holds them all."""
+def _matched(packed: DataFrame, hot: np.ndarray) -> DataFrame:
+    """kind 1: what is covered; kind 0: contexts of anchors with several, hot if they may be too many for a group."""
     shared = packed.sparkSession.sparkContext.broadcast(hot)
 
     def matched(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -149,45 +155,71 @@ def _matched(packed: DataFrame, hot: dict[int, int]) -> DataFrame:
         stop = at - (where & np.uint64(255)).astype(np.int64) + LENGTH
         new = _firsts(np.stack((anchor, context)))
         out.append(_flat(1, doc[~new], start[~new], stop[~new]))
-        anchor, context, doc, at, start, stop = (x[new] for x in (anchor, context, doc, at, start, stop))
+        anchor, doc, at, start, stop = (x[new] for x in (anchor, doc, at, start, stop))
         head = np.r_[True, anchor[1:] != anchor[:-1]] if len(anchor) else np.zeros(0, bool)
         number = np.cumsum(head) - 1
-        count = np.bincount(number) if len(number) else np.zeros(0, np.int64)
-        tiles = -(-count // TILE)
-        rank = np.arange(len(anchor)) - np.flatnonzero(head)[number] if len(anchor) else number
-        tile = np.where(tiles[number] > 1, 1 + rank % np.maximum(1, tiles[number]), 0)
-        keep = count[number] > 1
-        if shared.value:
-            known = np.array(sorted(shared.value), np.int64)
-            times = np.array([shared.value[k] for k in known.tolist()])
-            place = np.searchsorted(known, anchor.view(np.int64)).clip(max=len(known) - 1)
-            is_hot = known[place] == anchor.view(np.int64)
-            tile = np.where(is_hot, 1 + (mixed(context) % (times[place] * 2 // TILE + 1).astype(np.uint64)).astype(np.int64), tile)
-            keep |= is_hot
-        out.append(_flat(0, doc[keep], start[keep], stop[keep], anchor[keep].view(np.int64), tile[keep].astype(np.int32), at[keep]))
+        count = (np.bincount(number) if len(number) else number)[number]
+        dealt = np.isin(anchor, shared.value) if len(shared.value) else np.zeros(len(anchor), bool)
+        keep = (count > 1) | dealt  # contexts of a dealt anchor are in other parts too
+        out.append(_flat(0, doc[keep], start[keep], stop[keep], anchor[keep].view(np.int64), (dealt | (count > TILE))[keep].astype(np.int32), at[keep]))
         return pd.concat(out)
 
     return packed.groupBy("part").applyInPandas(matched, FLAT)
 
 
 def _fetched(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """The bytes of the contexts that are to be sorted."""
-    # three numbers a context: the anchor, the tile, and start * 2**16 + length * 2**8 + place of the anchor
+    """The bytes of the contexts that are to be sorted, keyed by their anchors; low 0 and high -1 unless hot."""
+    # three numbers a context: the anchor, whether it is hot, and start * 2**16 + length * 2**8 + place of the anchor
     where = F.col("start") * 65536 + (F.col("stop") - F.col("start")) * 256 + (F.col("at") - F.col("start"))
-    own = found.filter("kind = 0").groupBy("doc").agg(F.flatten(F.collect_list(F.array("anchor", F.col("tile").cast("long"), where))).alias("places"))
+    piece = F.floor(F.col("start") / PIECE)  # a very long text has its contexts in several rows
+    own = found.filter("kind = 0").groupBy("doc", piece).agg(F.flatten(F.collect_list(F.array("anchor", F.col("hot").cast("long"), where))).alias("places")).select("doc", "places")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _pieces(batches):
-            places = [np.asarray(p, np.int64).reshape(-1, 3) for p in batch["places"]]
-            rows = np.concatenate(places)
-            start, size = rows[:, 2] >> 16, (rows[:, 2] >> 8) & 255
-            raw = [t.encode("utf-8") for t in batch["text"]]
-            of = np.repeat(np.arange(len(raw)), [len(p) for p in places])
-            bodies = [raw[i][a : a + n] for i, a, n in zip(of.tolist(), start.tolist(), size.tolist())]
-            yield pd.DataFrame({"anchor": rows[:, 0], "tile": rows[:, 1].astype(np.int32), "doc": batch["doc"].to_numpy()[of], "start": start, "ahead": (rows[:, 2] & 255).astype(np.int32), "body": bodies})
+        for batch in batches:
+            for rows in _pieces(iter([batch])):
+                places = [np.asarray(p, np.int64).reshape(-1, 3) for p in rows["places"]]
+                all_of = np.concatenate(places)
+                start, size = all_of[:, 2] >> 16, (all_of[:, 2] >> 8) & 255
+                raw = [t.encode("utf-8") for t in rows["text"]]
+                of = np.repeat(np.arange(len(raw)), [len(p) for p in places])
+                bodies = [raw[i][a : a + n] for i, a, n in zip(of.tolist(), start.tolist(), size.tolist())]
+                yield pd.DataFrame({"key": all_of[:, 0], "low": np.zeros(len(of), np.int32), "high": np.where(all_of[:, 1] > 0, WIDEST, -1).astype(np.int32), "doc": rows["doc"].to_numpy()[of], "start": start, "ahead": (all_of[:, 2] & 255).astype(np.int32), "body": bodies})
 
     side = own if found.filter("kind = 0").count() > MOST_BROADCAST else F.broadcast(own)
-    return docs.join(side, docs["id"] == side["doc"]).select("doc", "text", "places").mapInPandas(cut, "anchor long, tile int, doc long, start long, ahead int, body binary")
+    return docs.join(side, docs["id"] == side["doc"]).select("doc", "text", "places").mapInPandas(cut, BODIES)
+
+
+def _halved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each context's windows by how far they begin before the anchor: those of [low, middle] and those beyond. A half's key
+    is of the bytes that all its windows hold."""
+    for batch in batches:
+        out = []
+        for key, low, high, doc, start, ahead, body in batch[["key", "low", "high", "doc", "start", "ahead", "body"]].itertuples(index=False):
+            middle = (low + high) // 2
+            for a, b in ((low, middle), (middle + 1, high)):
+                least, most = max(a, ahead + LENGTH - len(body)), min(b, ahead)
+                if least <= most:
+                    core = body[ahead - a : ahead - b + LENGTH]
+                    name = hashlib.blake2b(b"%d,%d,%d," % (key, a, b) + core, digest_size=8).digest()
+                    out.append((int.from_bytes(name, "little", signed=True), a, b, doc, start + ahead - most, most, body[ahead - most : ahead - least + LENGTH]))
+        yield pd.DataFrame(out, columns=["key", "low", "high", "doc", "start", "ahead", "body"])
+
+
+def _split(hot: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Groups of bounded size (as BODIES) and spans (doc, start, stop), from contexts that may be too many for a group."""
+    groups, spans = [], []
+    while not hot.isEmpty():
+        rows = checkpointed(hot.mapInPandas(_halved, BODIES))
+        same = ["key", "ahead", "body"]
+        first = rows.groupBy(*same).agg(F.min(F.struct("doc", "start")).alias("least"), F.count("*").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"))
+        first = checkpointed(first)
+        late = rows.join(first.filter("n > 1").select(*same, "least"), same).filter(F.struct("doc", "start") != F.col("least"))
+        spans.append(late.select("doc", "start", (F.col("start") + F.length("body")).alias("stop")))
+        sizes = first.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        left = checkpointed(first.join(sizes, "key").select("key", "low", "high", "least.doc", "least.start", "ahead", "body", (F.col("size") > TILE).alias("many")))
+        groups.append(left.filter("NOT many OR low = high").drop("many"))
+        hot = left.filter("many AND low < high").drop("many")
+    return groups, spans
 
 
 def _promising(rows: pd.DataFrame) -> np.ndarray:
@@ -195,7 +227,7 @@ def _promising(rows: pd.DataFrame) -> np.ndarray:
     before, after = (LENGTH - ANCHOR) // 2, ANCHOR + (LENGTH - ANCHOR) // 2
     seen: dict[tuple, int] = {}
     keys = []
-    for anchor, ahead, body in zip(rows["anchor"], rows["ahead"], rows["body"]):
+    for anchor, ahead, body in zip(rows["key"], rows["ahead"], rows["body"]):
         pair = []
         if ahead >= before:
             pair.append((anchor, 0, body[ahead - before : ahead + ANCHOR]))
@@ -240,32 +272,29 @@ def _spans(doc: np.ndarray, start: np.ndarray) -> pd.DataFrame:
 
 
 def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
-    """kind 1: what is covered; kind 2: windows (hash in ``at``) of anchors that other tiles hold too."""
-    pdf = pdf.sort_values(["anchor", "tile", "doc", "start"], kind="stable")
-    pdf = pdf[_promising(pdf) | (pdf["tile"].to_numpy() > 0)]
-    if not len(pdf):
-        return _flat(1, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    key = pdf[["anchor", "tile"]].to_numpy()
-    head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+    """What is covered in the groups of a part."""
+    pdf = pdf.sort_values(["key", "doc", "start"], kind="stable")
+    pdf = pdf[_promising(pdf)]
+    out, first = [_spans(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    key = pdf["key"].to_numpy()
+    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     ends = np.r_[head[1:], len(pdf)]
-    sizes = np.cumsum(np.r_[0, pdf["body"].str.len().to_numpy()])
-    out, first = [], 0
-    for g in range(len(head)):  # tiles are sorted together while they are small; their anchors keep their windows apart
+    sizes = np.cumsum(np.r_[0, pdf["body"].str.len().to_numpy(np.int64)])
+    for g in range(len(head)):  # groups are sorted together while they are small; their anchors keep their windows apart
         if g + 1 < len(head) and sizes[ends[g + 1]] - sizes[head[first]] <= SORTED:
             continue
         rows = pdf.iloc[head[first] : ends[g]]
         first = g + 1
         body, inside, number = _shared_windows(list(rows["body"]))
-        doc, start, tile, anchor = rows["doc"].to_numpy()[body], rows["start"].to_numpy()[body] + inside, rows["tile"].to_numpy()[body], rows["anchor"].to_numpy()[body]
+        doc, start = rows["doc"].to_numpy()[body], rows["start"].to_numpy()[body] + inside
         order = np.lexsort((start, doc, number))
-        number, doc, start, tile, anchor, body, inside = (x[order] for x in (number, doc, start, tile, anchor, body, inside))
+        number, doc, start = number[order], doc[order], start[order]
+        # a place may be in several contexts of a hot anchor's halves: only another place is a repeat
         new = np.r_[True, number[1:] != number[:-1]]
-        out.append(_spans(doc[~new], start[~new]))
-        across = np.flatnonzero(new & (tile > 0))
-        if len(across):
-            names = [int.from_bytes(hashlib.blake2b(rows["body"].iloc[b][i : i + LENGTH], digest_size=8).digest(), "little", signed=True) for b, i in zip(body[across].tolist(), inside[across].tolist())]
-            out.append(_flat(2, doc[across], start[across], start[across] + LENGTH, anchor[across], None, np.array(names, np.int64)))
-    return pd.concat(out)
+        lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int64)
+        late = (doc != doc[lead]) | (start != start[lead])
+        out.append(_spans(doc[late], start[late]))
+    return pd.concat(out)[["doc", "start", "stop"]]
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -284,19 +313,18 @@ def _merged(spans: pd.Series) -> pd.Series:
 def covered(docs: DataFrame) -> DataFrame:
     """(doc, spans) of the documents (id, text; ids unique and not null) with a covered byte; spans is flat."""
     spark = docs.sparkSession
-    parts = 2 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a part holds about as much as a split of the input, so that it stays the same when the input grows
+    parts = 2 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     hot = _hot(docs)
     found = written(_matched(_dealt(docs, hot, parts), hot))
-    bodies = _fetched(found, docs)
-    groups = max(parts, found.filter("kind = 0").count() // 4096)
-    ordered = written(bodies.withColumn("part", F.pmod(F.xxhash64("anchor", "tile"), F.lit(groups))).groupBy("part").applyInPandas(_sorted, FLAT))
-    # windows that several tiles hold: all but the earliest are covered
-    across = ordered.filter("kind = 2").select("anchor", F.col("at").alias("window"), "doc", "start", "stop")
-    least = across.groupBy("anchor", "window").agg(F.min(F.struct("doc", "start")).alias("least"), F.count("*").alias("n")).filter("n > 1")
-    late = across.join(least, ["anchor", "window"]).filter(F.struct("doc", "start") != F.col("least")).select("doc", "start", "stop")
-    spans = found.filter("kind = 1").select("doc", "start", "stop").unionByName(ordered.filter("kind = 1").select("doc", "start", "stop")).unionByName(late)
+    bodies = written(_fetched(found, docs))
+    groups, spans = _split(bodies.filter("high >= 0"))
+    ready = reduce(DataFrame.unionByName, [bodies.filter("high < 0"), *groups])
+    tasks = max(parts, ready.count() // 4096)
+    ordered = ready.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(tasks))).groupBy("part").applyInPandas(_sorted, "doc long, start long, stop long")
+    spans = reduce(DataFrame.unionByName, [found.filter("kind = 1").select("doc", "start", "stop"), ordered, *spans])
     out = checkpointed(spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumn("spans", _merged("spans")))
-    discard(found, ordered)
+    discard(found, bodies)
     return out
 
 
@@ -311,7 +339,8 @@ def with_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     if plain:
         spans = covered(rows)
         few = F.broadcast(spans) if spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n")).first()["n"] + spans.count() <= MOST_BROADCAST else spans
-        return df.join(few.withColumnRenamed("spans", "__spans"), F.col(id_col) == few["doc"], "left").drop("doc")
+        few = few.withColumnsRenamed({"doc": "__doc", "spans": "__spans"})
+        return df.join(few, F.col(id_col) == F.col("__doc"), "left").drop("__doc")
     once = rows.distinct().withColumn("name", F.sha2("text", 256)).orderBy(F.asc_nulls_first("id"), "name").withColumn("number", F.monotonically_increasing_id())
     once = written(once)
     spans = covered(once.select(F.col("number").alias("id"), "text"))
