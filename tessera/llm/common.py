@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The characters that part words, as in the class [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -22,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _shared_dir(spark: SparkSession) -> str:
     """The shared folder that the session names.
 
-    Where no folder is named (local tests), a temporary one is set: a single machine has no other.
+    Where no folder is named, a single machine (local tests) gets a temporary one; on a cluster that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -40,8 +43,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """The same as a compressed table in the shared folder, for more data; it stays until it is discarded."""
     path = f"{_shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    empty = [c for c, kind in df.dtypes if kind == "void"]  # Parquet has no such columns
+    df.drop(*empty).write.parquet(path)
+    out = df.sparkSession.read.schema(df.drop(*empty).schema).parquet(path)
+    out = out.select(*(F.lit(None).alias(c) if c in empty else f"`{c}`" for c in df.columns)) if empty else out
     _paths[id(out)] = (out, path)
     return out
 
@@ -65,13 +70,6 @@ def bounded(path: str, most: int = 64 << 20) -> bytes:
         return file.read()
 
 
-def joined_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts one after another as unsigned bytes, and where each begins (one entry more than texts)."""
-    starts = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(t) for t in texts], out=starts[1:])
-    return np.frombuffer(b"".join(texts), np.uint8), starts
-
-
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 

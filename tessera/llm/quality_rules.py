@@ -1,10 +1,14 @@
 """Quality rules with adaptive thresholds, in DataFrame operations alone.
 
-Cheap measures of each document are gathered into quantile sketches with logarithmic buckets of relative
-error ``ACCURACY`` (after Masson, Rim and Lee, "DDSketch", 2019). A sketch is a table of (bucket, count),
-so sketches merge by adding counts: those of (lang, source) merge into those of a language and of all
-documents, which stand in where a source has few documents. From the quartiles come outlier fences,
-which replace fixed cutoffs; the fences are joined to the documents and filter them.
+Measures of each document are gathered into quantile sketches with logarithmic buckets of relative error ``ACCURACY``
+(after Masson, Rim and Lee, "DDSketch", 2019). A sketch is a table of (bucket, count), so sketches merge by adding counts:
+those of (lang, source) merge into those of a language and of all documents, which stand in where a source has few
+documents. From their quartiles come fences, which replace fixed cutoffs; these are joined to the documents and filter them.
+
+A fence stands ``WIDTH`` interquartile ranges beyond a quartile (for n_words, of the logarithm). Where most documents of a
+group share a value, as with no symbol at all, that range is 0; a range therefore counts as no less than what one event
+makes in the group's median document: a line more, a symbol, an equal line, or the six words of a window that comes twice.
+The error of a quantile counts in a document's favour.
 """
 
 from __future__ import annotations
@@ -14,13 +18,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, WORD, checkpointed
+from tessera.llm.common import SPACES, WORD, checkpointed, written
 
 #: Relative error of a quantile, the smallest value kept apart from 0, and the documents a source needs.
 ACCURACY, LEAST, ENOUGH = 0.01, 1e-6, 20
-#: Fences stand at a quartile -/+ WIDTH interquartile ranges, and at least so far from it.
-WIDTH = 3.0
-SLACK = {"word_length": 2.0, "symbol_share": 0.15, "dup_line_share": 0.5}
+#: Interquartile ranges between a quartile and its fence.
+WIDTH = 4.0
+#: What the smallest event adds to a share's count, and the size that the share is of.
+EVENTS = {"symbol_share": (1, "n_words"), "dup_line_share": (1, "n_lines"), "repeat_share": (6, "n_words")}
+FENCED = ("n_words", "word_length", "symbol_share", "dup_line_share", "repeat_share")
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
 #: Fixed values of the base rule.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -39,11 +45,11 @@ def _without(c: Column, characters: str) -> Column:
 
 
 def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines and n_lines (lines with a word)."""
+    """Add n_words, word_chars, n_symbols, n_dup_lines and __n_lines (lines with a word)."""
     t = _text(text)
     lines = F.filter(F.split(t, "\n"), lambda line: _without(line, SPACES) != "")
     out = df.withColumns({"n_words": F.regexp_count(t, F.lit(WORD)).cast("long"), "word_chars": F.char_length(_without(t, SPACES)).cast("long"), "n_symbols": (F.char_length(t) - F.char_length(_without(t, SYMBOLS))).cast("long"), "__lines": lines})
-    return out.withColumns({"n_lines": F.size("__lines").cast("long"), "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")}).drop("__lines")
+    return out.withColumns({"__n_lines": F.size("__lines").cast("long"), "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")}).drop("__lines")
 
 
 def with_repeats(df: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
@@ -66,10 +72,11 @@ def with_repeats(df: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
     return out.withColumn("__places", places).withColumn("n_repeat_words", counted).drop("__words", "__hashes", "__sorted", "__places")
 
 
-def shares() -> dict[str, Column]:
-    """The measures with adaptive thresholds."""
+def measures() -> dict[str, Column]:
+    """What is sketched: the measures with adaptive thresholds, and the sizes that shares are of."""
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return {"word_length": per("word_chars", "n_words"), "symbol_share": per("n_symbols", "n_words"), "dup_line_share": per("n_dup_lines", "n_lines")}
+    sizes = {"n_words": F.col("n_words").cast("double"), "n_lines": F.col("__n_lines").cast("double")}
+    return {**sizes, "word_length": per("word_chars", "n_words"), "symbol_share": per("n_symbols", "n_words"), "dup_line_share": per("n_dup_lines", "__n_lines"), "repeat_share": per("n_repeat_words", "n_words")}
 
 
 def bucket(value: Column) -> Column:
@@ -79,13 +86,13 @@ def bucket(value: Column) -> Column:
 
 def sketches(counts: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """Mergeable sketches (lang, source, measure, bucket, n) of the documents with enough words."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), bucket(v).alias("bucket")) for k, v in shares().items())))
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), bucket(v).alias("bucket")) for k, v in measures().items())))
     rows = counts.filter(F.col("n_words") >= LEAST_WORDS).select(F.col(lang).alias("lang"), F.col(source).alias("source"), pairs.alias("m"))
     return rows.groupBy("lang", "source", "m.measure", "m.bucket").agg(F.count("*").alias("n"))
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """One row for each (lang, source) with a lower and an upper fence of every measure."""
+    """One row for each (lang, source) with a lower and an upper fence of every measure, named __{measure}_low and _high."""
     # a level's sketch is the sum of those below it: level 0 a source, 1 a language, 2 all
     keys = sketch.select("lang", "source").distinct()
     wide = lambda level, *by: sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n")).withColumns({k: F.lit(None).cast("string") for k in ("lang", "source") if k not in by}).withColumn("level", F.lit(level))
@@ -94,45 +101,61 @@ def fences(sketch: DataFrame) -> DataFrame:
     ranked = levels.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "total": F.sum("n").over(group)})
     value = F.when(F.col("bucket") == -1_000_000, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1))
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, value))
-    quartiles = ranked.groupBy("level", "lang", "source", "measure").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("total").alias("total"))
-    width = F.greatest((F.col("q3") - F.col("q1")) * WIDTH, F.create_map(*(F.lit(x) for k, v in SLACK.items() for x in (k, v)))[F.col("measure")])
-    made = quartiles.filter((F.col("total") >= ENOUGH) | (F.col("level") == 2)).select("level", "lang", "source", "measure", (F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))
+    quartiles = ranked.groupBy("level", "lang", "source", "measure").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"), F.max("total").alias("total"))
+    made = quartiles.filter((F.col("total") >= ENOUGH) | (F.col("level") == 2))
     best = None
     for level, by in ((0, ("lang", "source")), (1, ("lang",)), (2, ())):
-        side = made.filter(F.col("level") == level).groupBy(*(F.col(k).alias(f"__{k}") for k in by)).agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("low", "high")))).alias(f"__f{level}"))
+        side = made.filter(F.col("level") == level).groupBy(*(F.col(k).alias(f"__{k}") for k in by)).agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("q1", "q2", "q3")))).alias(f"__f{level}"))
         on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]
         best = (best if best is not None else keys).join(side, on or F.lit(True), "left").drop(*(f"__{k}" for k in by))
     pick = F.coalesce("__f0", "__f1", "__f2")
-    return best.select("lang", "source", *(pick[k][side].alias(f"{k}_{side}") for k in SLACK for side in ("low", "high")))
-
-
-def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    out = {}
+    for k in FENCED:
+        q1, q3 = pick[k]["q1"] * (1 - ACCURACY), pick[k]["q3"] * (1 + ACCURACY)
+        if k == "n_words":
+            far = F.pow(F.greatest(q3 / q1, 1 + 1 / pick["n_lines"]["q2"]), F.lit(WIDTH))
+            out |= {f"__{k}_low": q1 / far, f"__{k}_high": q3 * far}
+            continue
+        events, size = EVENTS.get(k, (0, "n_words"))
+        far = WIDTH * F.greatest(q3 - q1, events / pick[size]["q2"])
+        out |= {f"__{k}_low": q1 - far, f"__{k}_high": q3 + far}
+    return best.select("lang", "source", *(v.alias(k) for k, v in out.items()))
+
+
+def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep_text: bool = True) -> DataFrame:
     """Add the five measures, base_failed and kept to each row.
 
     base_failed: fewer than 50 words, or more than half of them in repeated three-word windows. kept: not
     base_failed, and every measure within the fences of the row's (lang, source). A null text counts as empty
     and fails. Null languages and sources form groups of their own. Equal rows get equal verdicts; extra
-    columns are kept, and columns with the names of the results are replaced; an empty table stays empty.
+    columns are kept (the text unless ``keep_text`` is false), and columns with the names of the results are replaced;
+    an empty table stays empty.
 
-    The documents are read twice: for the sketches and for the verdicts, so their texts are never
-    shuffled. The fences are a row for each source; they are broadcast only after they are counted.
+    The measures are taken once and written with the rows to the shared folder, for the sketches and the verdicts both;
+    nothing but sketches is shuffled. The fences are a row for each source; they are broadcast only after they are counted.
     """
-    clash = [*MEASURES, "n_lines", "base_failed", "kept", *(f"{k}_{side}" for k in SLACK for side in ("low", "high"))]
-    df = df.drop(*(c for c in clash if c not in (text, lang, source)))
-    limits = checkpointed(fences(checkpointed(sketches(with_counts(df.select(text, lang, source), text), lang, source))))
+    df = df.drop(*(c for c in (*MEASURES, "base_failed", "kept") if c not in (text, lang, source)))
+    counted = with_repeats(with_counts(df, text), text)
+    counted = written(counted if keep_text else counted.drop(text))
+    limits = checkpointed(fences(checkpointed(sketches(counted, lang, source))))
     limits = limits.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     if limits.count() <= MOST_BROADCAST:
         limits = F.broadcast(limits)
-    out = with_repeats(with_counts(df, text), text)
-    out = out.join(limits, F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source")), "left")
+    out = counted.join(limits, F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source")), "left")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     inside = F.lit(True)
-    for k, v in shares().items():
-        inside &= F.coalesce(v.between(F.col(f"{k}_low"), F.col(f"{k}_high")), F.lit(True))
+    for k in FENCED:
+        inside &= F.coalesce(measures()[k].between(F.col(f"__{k}_low"), F.col(f"__{k}_high")), F.lit(True))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & inside)
-    return out.drop("__lang", "__source", "n_lines", *(f"{k}_{side}" for k in SLACK for side in ("low", "high")))
+    return out.drop("__lang", "__source", "__n_lines", *(f"__{k}_{side}" for k in FENCED for side in ("low", "high")))
 
 
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows that the rules keep, with their own columns."""
-    return judge(df, text, lang, source).filter("kept").select(*df.columns)
+    """The rows that the rules keep, with their own columns.
+
+    A column with the name of a measure is the row's own: it is set aside while the rules are applied.
+    """
+    clash = {c: f"__own_{c}" for c in df.columns if c in (*MEASURES, "base_failed", "kept")}
+    own = df.withColumnsRenamed(clash)
+    found = judge(own, text, lang, source).filter("kept").select(*own.columns)
+    return found.withColumnsRenamed({v: k for k, v in clash.items()})

@@ -50,7 +50,7 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
+    return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep_text=False).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
