@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -18,10 +19,23 @@ def connection(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def plain(x):
+    """A value as Python has it, so that equal values have equal texts."""
+    if isinstance(x, np.ndarray):
+        x = x.tolist()
+    if isinstance(x, (list, tuple)):
+        return tuple(map(plain, x))
+    if isinstance(x, dict):
+        return tuple((k, plain(v)) for k, v in x.items())
+    if pd.isna(x):
+        return None
+    x = x.item() if isinstance(x, np.generic) else x
+    return int(x) if isinstance(x, float) and x.is_integer() else x  # integers beside nulls come as either
+
+
 def rows(pdf) -> list[str]:
-    plain = lambda x: tuple(x) if isinstance(x, (list, np.ndarray)) else None if x is None or x != x else x
     pdf = pdf[sorted(pdf.columns)]
-    return sorted(repr(tuple(plain(x) for x in r)) for r in zip(*(pdf[c].tolist() for c in pdf.columns)))
+    return sorted(repr(tuple(map(plain, r))) for r in zip(*(pdf[c].tolist() for c in pdf.columns)))
 
 
 def same(df, sql: str, con) -> None:
