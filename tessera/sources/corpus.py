@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from tessera import schemas
 from tessera.plans.patterns import IGNORED, ignored
 
+#: Files of ignore rules in a root, the later outranking the earlier. And the bytes read of one at most.
+IGNORE_FILES, MOST_RULES = (".gitignore", ".mdmignore"), 1 << 20
 
-def read_corpus(spark: SparkSession, roots: str | list[str], exclude: list[str] | None = None) -> DataFrame:
+
+def read_corpus(spark: SparkSession, roots: str | list[str], exclude: list[str] | None = None, ignore_files: tuple[str, ...] = IGNORE_FILES) -> DataFrame:
     """(path, text, mtime) of every .md and .mdx file below the roots; hidden files and folders are left out.
 
-    ``path`` is relative to its root. Later rules outrank earlier: built-in ones, then ``exclude``.
+    ``path`` is relative to its root. Later rules outrank earlier: built-in ones, those of the root's ``ignore_files`` in
+    their order, then ``exclude``.
     """
     found = None
     for root in [roots] if isinstance(roots, str) else roots:
@@ -20,8 +24,23 @@ def read_corpus(spark: SparkSession, roots: str | list[str], exclude: list[str]
         full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
         base = root.split("://", 1)[-1].rstrip("/")
         part = files.select(F.regexp_replace(full, f"^.*?{_literal(base)}/", "").alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("mtime"))
+        rules = [*IGNORED, *(r for name in ignore_files for r in _rules(spark, f"{root.rstrip('/')}/{name}")), *(exclude or [])]
+        part = filter_ignored(part.filter(~F.col("path").rlike(r"(?:^|/)\.")), rules)
         found = part if found is None else found.unionByName(part)
-    return filter_ignored(found.filter(~F.col("path").rlike(r"(?:^|/)\.")), [*IGNORED, *(exclude or [])])
+    return found
+
+
+def _rules(spark: SparkSession, file: str) -> list[str]:
+    """The lines of a small file of rules; none where there is no such file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return []
+    stream = store.open(path)
+    try:
+        return bytes(stream.readNBytes(MOST_RULES)).decode("utf-8", "replace").splitlines()
+    finally:
+        stream.close()
 
 
 def _literal(s: str) -> str:
@@ -33,6 +52,13 @@ def filter_ignored(df: DataFrame, patterns: list[str], path: str = "path") -> Da
     return df.filter(~ignored(F.col(path), patterns))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores where an input has fewer splits than there are cores, as small tables do; else as they
+    are: then nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus_from_table(df: DataFrame, path: Column | str, text: Column | str, mtime: Column | None = None) -> DataFrame:
     """Any table as a corpus: (path, text, mtime)."""
     as_column = lambda c: F.col(c) if isinstance(c, str) else c
@@ -40,6 +66,7 @@ def corpus_from_table(df: DataFrame, path: Column | str, text: Column | str, mti
 
 
 def save_index(tables: dict[str, DataFrame], folder: str, mode: str = "errorifexists") -> None:
+    """Write each table of an index below the folder."""
     for name, df in tables.items():
         df.write.mode(mode).parquet(f"{folder}/{name}.parquet")
 
@@ -50,7 +77,7 @@ def load_index(spark: SparkSession, folder: str, names: tuple[str, ...] = tuple(
     for name in names:
         df = spark.read.parquet(f"{folder}/{name}.parquet")
         have = dict(df.dtypes)
-        want = dict(spark.createDataFrame([], schemas.TABLES[name]).dtypes)
+        want = dict(spark.createDataFrame([], (schemas.TABLES | schemas.SEARCH_TABLES)[name]).dtypes)
         if wrong := {k: v for k, v in want.items() if have.get(k) != v}:
             raise ValueError(f"{folder}/{name}: columns missing or of another type: {wrong}")
         out[name] = df

@@ -68,22 +68,23 @@ def test_path_globs(spark, glob, path, fits):
     assert value(spark, patterns.path_matches(F.lit(path), glob)) is fits
 
 
-@pytest.mark.parametrize("pattern", ["(a+)+", "(a|a)+", "(.|x)*", "(", "a" * 201])
+@pytest.mark.parametrize("pattern", ["(a+)+", "(a+)+$", "(.*a){20}", "(a|a)+", "(a|ab)*", "(.|x)*", r"(.|\s)+", "((a+)b?)+$", "((a*))*x", "(?:a|[a-c]x)+", "(x(y|yz)){2,}", "(?i)(?:A1|a2|b)+", "(", "a" * 201])
 def test_regex_guard_rejects(pattern):
     with pytest.raises(ValueError):
         patterns.check_regex(pattern)
 
 
 def test_regex_guard_takes_plain_patterns():
-    assert patterns.check_regex(r"^err(or)?s? \d+") == r"^err(or)?s? \d+"
+    for pattern in (r"^err(or)?s? \d+", "a+", "test.*file", "(ab|cd)+", "(abc){3}", r"(\d{4}-)+", "(a|b)*", "x(y+)z?", "[a-z]+@[a-z]+"):
+        assert patterns.check_regex(pattern) == pattern
 
 
 @pytest.mark.parametrize(
     "path, gone",
-    [("node_modules/x.md", True), ("a/node_modules/x.md", True), ("drafts/x.md", True), ("drafts/keep.md", False), ("a/notes.tmp.md", True), ("a/b.md", False), ("top/only.md", True), ("x/top/only.md", False)],
+    [("node_modules/x.md", True), ("a/node_modules/x.md", True), ("drafts/x.md", True), ("drafts/keep.md", False), ("a/notes.tmp.md", True), ("a/b.md", False), ("top/only.md", True), ("x/top/only.md", False), ("gone/keep.md", True), ("a/b/gone/x/keep.md", True), ("log/a/b/x.log.md", True), ("log/a.md", False)],
 )
 def test_ignore_rules(spark, path, gone):
-    rules = ["node_modules", "# comment", "", "drafts/*", "!drafts/keep.md", "*.tmp.md", "/top/"]
+    rules = ["node_modules", "# comment", "", "drafts/*", "!drafts/keep.md", "*.tmp.md", "/top/", "gone/", "!gone/keep.md", "!keep.md", "log/**/*.log.md"]
     assert value(spark, patterns.ignored(F.lit(path), rules)) is gone
 
 
@@ -107,3 +108,13 @@ def test_boolean_queries(spark, query, text, fits):
 def test_highlights(spark):
     assert value(spark, boolean.highlight(F.lit("Authority and auth"), "auth")) == "Authority and **auth**"
     assert value(spark, boolean.highlights(F.lit("x"), "")) == []
+
+
+def test_highlighted_words(spark):
+    from tessera.operators import filters
+
+    df = spark.createDataFrame([(1, "Running, runs; outrun RUN $5"), (2, "none"), (3, None)], "section_id int, content string")
+    marked = lambda **more: {r.section_id: r.marked for r in filters.highlight_words(df, "run", **more).collect()}
+    assert marked(stems=True) == {1: "**Running**, **runs**; outrun **RUN** $5", 2: "none", 3: None}
+    assert marked() == {1: "Running, runs; outrun **RUN** $5", 2: "none", 3: None}
+    assert marked(distance=1, before="<$", after="\\>")[1] == "Running, <$runs\\>; outrun <$RUN\\> $5"
