@@ -1,14 +1,26 @@
-"""Folders for tables that live as long as a run."""
+"""Folders and tables that live as long as a run."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the one that the session shares (spark.checkpoint.dir); on a single machine, a temporary one."""
     shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/index-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tessera-index-")
+    if shared:
+        return f"{shared}/index-{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tessera-index-")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same as a table in a folder of its own, worked out once."""
+    folder = f"{scratch(df.sparkSession)}/table"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -27,6 +27,17 @@ def test_read_corpus(spark, tmp_path):
     assert sorted((r.path, r.text) for r in found.collect()) == [("a.md", "# A"), ("drafts/keep.md", "# K"), ("sub dir/b.mdx", "# B")]
 
 
+def test_ignore_files(spark, tmp_path):
+    for name, text in {".gitignore": "*.md\n!important.md\n# none\n", ".mdmignore": "!a.md\ndrafts/\n", "a.md": "# A", "b.md": "x", "important.md": "# I", "drafts/important.md": "x", "more/important.md": "# M"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    names = lambda **more: sorted(r.path for r in corpus.read_corpus(spark, str(tmp_path), **more).collect())
+    assert names() == ["a.md", "important.md", "more/important.md"]
+    assert names(exclude=["more"]) == ["a.md", "important.md"]
+    assert names(ignore_files=(".mdmignore",)) == ["a.md", "b.md", "important.md", "more/important.md"]
+    assert len(names(ignore_files=())) == 5
+
+
 def test_index_round_trip(spark, tmp_path):
     tables = incremental.build_tables(spark.createDataFrame([("a.md", "# A\n\n[b](b.md)\n\n```\nx\n```", T0)], "path string, text string, mtime timestamp"))
     corpus.save_index(tables, str(tmp_path / "index"))
@@ -82,6 +93,20 @@ def test_stream_equals_batch(spark, tmp_path):
     assert (again["batch"], again["indexed"], again["deleted"]) == (1, 2, 1)
 
 
+def test_a_burst_rewrites_its_own_buckets_alone(spark, tmp_path):
+    schema, folder = "path string, text string, mtime timestamp, op string", str(tmp_path / "index")
+    rows = [(f"{i}.md", f"# T{i}\ntext", T0, "add") for i in range(200)]
+    burst = lambda rows, batch: reindex.apply_burst(spark.createDataFrame(rows, schema), batch, folder).first()
+    burst(rows, 0)
+    for k in range(1, 4):
+        report = burst([("7.md", f"# New {k}", T0 + dt.timedelta(minutes=k), "change")], k)
+        assert (report["indexed"], report["deleted"], report["total"]) == (1, 0, 1)
+    version, tables = reindex.current(spark, folder)
+    assert version == 3 and {r.path: r.heading for r in tables["sections"].select("path", "heading").collect()} == {r[0]: "New 3" if r[0] == "7.md" else r[1][2:].split("\n")[0] for r in rows}
+    assert len(list((tmp_path / "index" / "v3" / "sections.parquet").glob("bucket=*"))) == 1
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["v0", "v2", "v3"]  # v1 isn't needed any more
+
+
 def test_packing_stays_in_budget_and_grows_with_it(spark):
     items = spark.createDataFrame([("q", i, t, t // 3) for i, t in enumerate((60, 70, 40, 5, 90, 30))], "query_id string, place int, tokens int, brief_tokens int")
     last = -1
