@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.corpus import corpus_from_table
+from tessera.sources.corpus import corpus_from_table, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,15 +14,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def conv_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document for each conversation, a section for each turn."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    # a fixed number of partitions: merged ones, small in bytes, would leave extraction to few cores
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    turns = table(spark, sf_dir, "conversations").repartition(n, "conv_id").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     part = lambda t: F.concat(F.lit("\n\n## "), t["role"], F.lit("\n\n"), t["text"])
     text = F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.array_join(F.transform("turns", part), ""))
     return corpus_from_table(turns, F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit(".md")), text)
 
 
+def rich_md(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as Markdown with nested headings, a list, its text in a fence, a table, and in every second a further
+    heading with inline markup."""
+    i = F.col("doc_id").cast("string")
+    more = F.when(F.col("doc_id") % 2 == 0, F.lit("\n\n# Second\n\nend **bold** and `code` [link](x.md)")).otherwise("")
+    text = F.concat(F.lit("# Guide "), i, F.lit("\n\nIntro of "), "source", F.lit("\n\n## Steps\n\n- one "), "lang", F.lit("\n- two\n\n#### Deep\n\n`````txt\n"), "text", F.lit("\n`````\n\n### Back\n\n| a | b |\n| - | - |\n| "), i, F.lit(" | 2 |"), more)
+    return corpus_from_table(spread(table(spark, sf_dir, "documents")), F.concat("source", F.lit("/"), i, F.lit(".md")), text)
+
+
 def doc_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as they are; they have no headings."""
-    return corpus_from_table(table(spark, sf_dir, "documents"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")), "text")
+    return corpus_from_table(spread(table(spark, sf_dir, "documents")), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")), "text")
 
 
 def doc_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +54,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def feed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two versions of a corpus: the second drops, edits and adds documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     rest = F.pmod("doc_id", F.lit(10))
     path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".md"))
     stamp = lambda c: F.timestamp_seconds(c)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The suffixes of the second, third and fourth step.
@@ -89,10 +89,14 @@ def stem_vocabulary(words: DataFrame, word: str = "word") -> DataFrame:
     return vocabulary.withColumn("stem", stems("word"))
 
 
+def distinct_words(text: Column) -> Column:
+    """The distinct words of a text: runs of letters and digits, in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[\W_]+"), lambda w: w != ""))
+
+
 def text_words(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    """(keys, word) of the distinct words of each text: runs of letters and digits, in lower case."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"[\W_]+"), lambda w: w != ""))
-    return df.select(*keys, F.explode(words).alias("word"))
+    """(keys, word) of the distinct words of each text."""
+    return df.select(*keys, F.explode(distinct_words(F.col(text))).alias("word"))
 
 
 def stems(df: DataFrame, text: str, key: str) -> DataFrame:

@@ -11,6 +11,7 @@ MARK, CJK, EMOJI, MARGIN = 0.8, 1.2, 2.5, 1.1
 CODE_BLOCK = r"```[\s\S]*?```"
 INLINE_CODE = r"`[^`]+`"
 PATHS = r"(?:/[\w.-]+)+"
+MARKS = """!?,.:;'"()[]{}@#$%^&*+=|\\<>~-/"""
 PUNCTUATION = r"""[!?,.:;'"()\[\]{}@#$%^&*+=|\\<>~\-/]"""
 CJK_CHARS = r"[一-鿿぀-ゟ゠-ヿ가-힯㐀-䶿]"
 EMOJI_CHARS = r"[\x{1F300}-\x{1F9FF}☀-⛿✀-➿⌀-⏿←-⇿■-◿⬀-⯿]"
@@ -25,10 +26,19 @@ def once(c: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, c)
 
 
+def bound(c: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
+def count_characters(c: Column, characters: str) -> Column:
+    return F.length(c) - F.length(F.translate(c, characters, ""))
+
+
 def found(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
@@ -40,24 +50,35 @@ def total(items: Column, each) -> Column:
 def token_count(text: Column) -> Column:
     """Approximate tokens: weighted lengths of code, paths, marks, newlines, wide characters and prose, plus a tenth.
 
-    Null counts as empty: 0.
+    Null counts as empty: 0. What a text can't hold isn't looked for: code without a backquote, paths without a slash, wide
+    characters where every character is a byte.
     """
-    t = F.coalesce(text, F.lit(""))
+    none = F.array().cast("array<string>")
 
     def code(block: Column) -> Column:
         over = F.when(block.rlike(r"^```\w"), 6.0).otherwise(4.0)
         body = F.regexp_replace(F.regexp_replace(block, r"^```\w*\n?", ""), r"\n?```$", "")
-        return F.greatest(over, over + count(body, r"\n") + F.length(body) / CODE)
-
-    prose = F.regexp_replace(t, CODE_BLOCK, "")
-    prose_and_paths = F.regexp_replace(prose, INLINE_CODE, "")
-    rest = F.regexp_replace(prose_and_paths, PATHS, "")
-    slashes = lambda p: F.length(p) - F.length(F.replace(p, F.lit("/"), F.lit("")))
-    marks, lines = count(rest, PUNCTUATION), count(rest, r"\n")
-    cjk, emoji, variation = count(t, CJK_CHARS), count(t, EMOJI_CHARS), count(t, VARIATION)
-    plain = F.greatest(F.lit(0), F.length(rest) - lines - cjk - emoji - variation - marks)
-    estimate = plain / PROSE + lines + total(found(t, CODE_BLOCK), code) + total(found(prose, INLINE_CODE), lambda x: 2 + (F.length(x) - 2) / CODE) + total(found(prose_and_paths, PATHS), lambda p: slashes(p) + (F.length(p) - slashes(p)) / PATH) + marks * MARK + cjk * CJK + emoji * EMOJI + variation
-    return F.ceil(estimate * MARGIN).cast("int")
+        return F.greatest(over, over + count_characters(body, "\n") + F.length(body) / CODE)
+
+    def slashes(p: Column) -> Column:
+        return count_characters(p, "/")
+
+    def weighed(t: Column, prose: Column, outside: Column, rest: Column) -> Column:
+        wide = lambda pattern: F.when(F.octet_length(t) == F.length(t), 0).otherwise(count(t, pattern))
+        quoted = lambda x, pattern: F.when(F.contains(x, F.lit("`")), found(x, pattern)).otherwise(none)
+        paths = F.when(F.contains(outside, F.lit("/")), found(outside, PATHS)).otherwise(none)
+        counts = F.struct(count_characters(rest, MARKS).alias("marks"), count_characters(rest, "\n").alias("lines"), wide(CJK_CHARS).alias("cjk"), wide(EMOJI_CHARS).alias("emoji"), wide(VARIATION).alias("variation"))
+
+        def estimate(n: Column) -> Column:
+            plain = F.greatest(F.lit(0), F.length(rest) - n["lines"] - n["cjk"] - n["emoji"] - n["variation"] - n["marks"])
+            inner = total(quoted(t, CODE_BLOCK), code) + total(quoted(prose, INLINE_CODE), lambda x: 2 + (F.length(x) - 2) / CODE)
+            out = plain / PROSE + n["lines"] + inner + total(paths, lambda p: slashes(p) + (F.length(p) - slashes(p)) / PATH)
+            return out + n["marks"] * MARK + n["cjk"] * CJK + n["emoji"] * EMOJI + n["variation"]
+
+        return F.ceil(bound(counts, estimate) * MARGIN).cast("int")
+
+    without = lambda x, sign, pattern: F.when(F.contains(x, F.lit(sign)), F.regexp_replace(x, pattern, "")).otherwise(x)
+    return bound(F.coalesce(text, F.lit("")), lambda t: bound(without(t, "`", CODE_BLOCK), lambda prose: bound(without(prose, "`", INLINE_CODE), lambda outside: bound(without(outside, "/", PATHS), lambda rest: weighed(t, prose, outside, rest)))))
 
 
 def word_count(text: Column) -> Column:

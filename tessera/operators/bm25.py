@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 #: The usual constants, field weights, and which terms and sections count.
 K1, B = 1.2, 0.75
 HEADING_WEIGHT, CONTENT_WEIGHT, SHORTEST_TERM, LEAST_TOKENS = 2.0, 1.0, 3, 10
-#: Query terms that are broadcast at most.
-MOST_BROADCAST = 100_000
+#: Distinct query terms that are looked up by a filter, and rows of query terms that are broadcast, at most.
+MOST_LOOKED_UP, MOST_BROADCAST = 500, 100_000
 
 
 def terms(text: Column) -> Column:
@@ -34,7 +34,12 @@ def bm25_search(index: dict[str, DataFrame], queries: DataFrame, limit: int = 10
     The postings of the queries' terms alone are looked up; of a broadcast size at most MOST_BROADCAST terms.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    small = F.broadcast(asked) if asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else asked
+    few = [r["term"] for r in asked.select("term").distinct().limit(MOST_LOOKED_UP + 1).collect()]
+    if len(few) <= MOST_LOOKED_UP:  # a filter that reaches the scan: of postings in order of the term few row groups are read
+        index = {**index, **{k: index[k].filter(F.col("term").isin(few)) for k in ("postings", "term_stats")}}
+        small = F.broadcast(asked)
+    else:
+        small = F.broadcast(asked) if asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else asked
     known = small.join(index["term_stats"], "term").crossJoin(F.broadcast(index["stats"]))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))

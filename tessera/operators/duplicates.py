@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.plans.patterns import path_matches
+from tessera.sources.scratch import stored
 
 #: The shortest content that counts, locations told of a group, and the similarity of near duplicates.
 MIN_LENGTH, MAX_LOCATIONS, SIMILAR = 50, 3, 0.85
@@ -39,10 +40,19 @@ def exact_duplicates(sections: DataFrame, min_length: int = MIN_LENGTH, path: st
 
 
 def duplicate_members(sections: DataFrame, min_length: int = MIN_LENGTH, path: str | None = None) -> DataFrame:
-    """A row for every section of a group: hash, size, place in it, and where it is."""
-    rows = hashed(sections, min_length, path).select("hash", *MEMBER)
+    """A row for every section of a group: hash, size, place in it, and where it is.
+
+    Hashes and places are stored once, without texts. The members of groups are then sorted over all tasks, so a group of
+    any size is dealt to several; a member's place is its place in its task and those of earlier tasks.
+    """
+    rows = stored(hashed(sections, min_length, path).select("hash", *MEMBER))
     sizes = rows.groupBy("hash").agg(F.count("*").alias("size")).filter("size > 1")
-    return rows.join(sizes, "hash").withColumn("place", F.row_number().over(Window.partitionBy("hash").orderBy(*MEMBER)))
+    # the number of a row holds that of its partition in the bits from the 33rd
+    ordered = stored(rows.join(sizes, "hash").orderBy("hash", *MEMBER).withColumn("i", F.monotonically_increasing_id())).withColumn("part", F.shiftright("i", 33))
+    parts = ordered.groupBy("hash", "part").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    earlier = F.sum("n").over(Window.partitionBy("hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select("hash", "part", (F.coalesce(earlier, F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return ordered.join(starts, ["hash", "part"]).select("hash", *MEMBER, "size", (F.col("i") + F.col("shift")).cast("int").alias("place"))
 
 
 def duplicate_summary(sections: DataFrame, min_length: int = MIN_LENGTH, path: str | None = None) -> DataFrame:

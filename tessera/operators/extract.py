@@ -48,13 +48,11 @@ def split_frontmatter(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["ok", "front", "tags"])
 
     text = F.coalesce("text", F.lit(""))
-    empty = F.create_map().cast("map<string,string>")
-    block = F.regexp_extract(text, FRONT, 1)
-    has = text.rlike(FRONT)
-    plain = docs.filter(~has).withColumns({"body": text, "frontmatter": empty, "tags": F.array().cast("array<string>")})
-    front = docs.filter(has).withColumn("__f", parsed(block))
-    front = front.withColumns({"body": F.when(F.col("__f.ok"), F.regexp_replace(text, FRONT, "")).otherwise(text), "frontmatter": F.col("__f.front"), "tags": F.col("__f.tags")}).drop("__f")
-    return plain.unionByName(front)
+    has = F.startswith(text, F.lit("---")) & text.rlike(FRONT)
+    # one pass: only the block goes to Python, empty for most documents
+    out = docs.withColumn("__f", parsed(F.when(has, F.regexp_extract(text, FRONT, 1)).otherwise("")))
+    body = F.when(has & F.col("__f.ok"), F.regexp_replace(text, FRONT, "")).otherwise(text)
+    return out.withColumns({"body": body, "frontmatter": F.col("__f.front"), "tags": F.col("__f.tags")}).drop("__f")
 
 
 def explode_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -67,7 +65,8 @@ def explode_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 def _structured(docs: DataFrame, text: str) -> DataFrame:
     """Add lines, and fences: where each fenced block opens and closes (line numbers from 0)."""
     base = docs.withColumn("lines", F.split(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\r\n"), F.lit("\n")), "\n"))
-    marks = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), F.regexp_extract(x, r"^ {0,3}(`{3,}|~{3,})", 1).alias("mark"), x.rlike(r"^ {0,3}(?:`{3,}|~{3,})[ \t]*$").alias("bare"), F.trim(F.regexp_extract(x, r"^ {0,3}(?:`{3,}|~{3,})(.*)$", 1)).alias("info"))), lambda m: m["mark"] != "")
+    some = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda m: m["x"].rlike(FENCE))
+    mark = lambda m: F.struct(m["i"].alias("i"), F.regexp_extract(m["x"], r"^ {0,3}(`{3,}|~{3,})", 1).alias("mark"), m["x"].rlike(r"^ {0,3}(?:`{3,}|~{3,})[ \t]*$").alias("bare"), F.trim(F.regexp_extract(m["x"], r"^ {0,3}(?:`{3,}|~{3,})(.*)$", 1)).alias("info"))
     none = F.array().cast("array<struct<open:int,close:int,info:string>>")
     start = F.struct(F.lit("").alias("mark"), F.lit(-1).alias("at"), F.lit("").alias("info"), none.alias("done"))
 
@@ -78,7 +77,7 @@ def _structured(docs: DataFrame, text: str) -> DataFrame:
         return F.when(s["mark"] == "", opened).when(closes, closed).otherwise(s)
 
     last = lambda s: F.when(s["mark"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["at"].alias("open"), F.lit(2**30).alias("close"), s["info"].alias("info")))))
-    return base.withColumn("__marks", marks).withColumn("fences", tx.once(F.when(F.size("__marks") == 0, none).otherwise(F.aggregate("__marks", start, step, last)))).drop("__marks")
+    return base.withColumn("__some", tx.once(some)).withColumn("__marks", tx.once(F.transform("__some", mark))).withColumn("fences", tx.once(F.when(F.size("__marks") == 0, none).otherwise(F.aggregate("__marks", start, step, last)))).drop("__some", "__marks")
 
 
 def _headed(docs: DataFrame, text: str) -> DataFrame:
@@ -87,10 +86,15 @@ def _headed(docs: DataFrame, text: str) -> DataFrame:
     clean = lambda x: F.regexp_replace(F.regexp_replace(x, r"^ {0,3}#{1,6}[ \t]*", ""), r"(?:^|[ \t]+)#*[ \t]*$", "")
     following = lambda i: F.coalesce(F.get("lines", i + 1), F.lit(""))
     is_text = lambda x: (F.trim(x) != "") & ~x.rlike(HEADING) & ~x.rlike(LIST) & ~x.rlike(r"^(?: {4}|\t| {0,3}[>|])") & ~x.rlike(UNDERLINE) & ~x.rlike(FENCE)
-    setext = lambda x, i: is_text(x) & following(i).rlike(UNDERLINE)
+    setext = lambda x, i: following(i).rlike(UNDERLINE) & is_text(x)  # noqa: E731 (the rarer first)
     level = lambda x, i: F.when(x.rlike(HEADING), F.length(F.regexp_extract(x, r"^ {0,3}(#{1,6})", 1))).when(setext(x, i), F.when(F.startswith(F.trim(following(i)), F.lit("=")), 1).otherwise(2)).otherwise(0)
-    heads = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), level(x, i).alias("level"), F.when(x.rlike(HEADING), F.trim(clean(x))).otherwise(F.trim(x)).alias("heading"), x.rlike(HEADING).alias("atx"))), lambda h: (h["level"] > 0) & ~F.exists("fences", lambda f: (h["i"] >= f["open"]) & (h["i"] <= f["close"])))
-    return base.withColumn("heads", tx.once(heads))
+    levels = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), level(x, i).alias("level"))), lambda h: (h["level"] > 0) & ~F.exists("fences", lambda f: (h["i"] >= f["open"]) & (h["i"] <= f["close"])))
+
+    def head(h: Column) -> Column:
+        x = F.get("lines", h["i"])
+        return F.struct(h["i"].alias("i"), h["level"].alias("level"), F.when(x.rlike(HEADING), F.trim(clean(x))).otherwise(F.trim(x)).alias("heading"), x.rlike(HEADING).alias("atx"))
+
+    return base.withColumn("__levels", tx.once(levels)).withColumn("heads", tx.once(F.transform("__levels", head))).drop("__levels")
 
 
 def plain_text(content: Column) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.functions.stem import stem, stem_vocabulary, text_words
+from tessera.functions.stem import distinct_words, stem, stem_vocabulary, text_words
 from tessera.plans.boolean import boolean_match
 from tessera.plans.patterns import check_regex, heading_regex, path_matches
 
@@ -52,47 +53,73 @@ def match_context(lines: DataFrame, matches: Column, before: int = 1, after: int
     return near.select(key, F.explode("around").alias("match_line"), "line", "text", (F.col("line") == F.col("match_line")).alias("is_match"))
 
 
-def fuzzy_words(vocabulary: DataFrame, words: list[str], distance: int = 2, word: str = "word") -> DataFrame:
-    """(word, query_word) of the vocabulary within the distance of a query word; lengths are compared first."""
-    w = F.col(word)
-    parts = [vocabulary.filter(F.length(w).between(len(q) - distance, len(q) + distance) & tx.within_distance(w, F.lit(q), distance)).select(w.alias("word"), F.lit(q).alias("query_word")) for q in words]
-    return reduce(DataFrame.unionByName, parts)
+def _meets(word: Column, asked: Column, distance: int | None, stem_of: Column | None = None) -> Column:
+    """Whether a word equals a query word (a struct of word and stem), is within the distance of it, or has its stem."""
+    q = asked["word"]
+    out = word == q
+    if distance is not None:  # lengths are compared first
+        out |= (F.abs(F.length(word) - F.length(q)) <= distance) & tx.within_distance(word, q, distance)
+    return out if stem_of is None else out | (stem_of == asked["stem"])
 
 
-def _meeting(words: DataFrame, query: str, distance: int | None, stems: bool) -> tuple[DataFrame, list[str]]:
-    """(word, query_word): which distinct words of the texts meet which words of the query."""
-    asked = list(dict.fromkeys(w for w in _split(query) if w))
-    vocabulary = words.select("word").distinct()
-    parts = [vocabulary.filter(F.col("word") == q).select("word", F.lit(q).alias("query_word")) for q in asked]
-    if distance is not None:
-        parts.append(fuzzy_words(vocabulary, asked, distance))
-    if stems:
-        by_stem = stem_vocabulary(vocabulary)
-        parts += [by_stem.filter(F.col("stem") == stem(q)).select("word", F.lit(q).alias("query_word")) for q in asked]
-    return reduce(DataFrame.unionByName, parts).distinct(), asked
+def _asked(words: list[str]) -> Column:
+    return F.array(*(F.struct(F.lit(w).alias("word"), F.lit(stem(w)).alias("stem")) for w in words))
 
 
-def _split(query: str) -> list[str]:
-    import re
+def _meeting(vocabulary: DataFrame, asked: list[str], distance: int | None, stems: bool) -> DataFrame:
+    """(word, query_word): which words of the vocabulary meet which words of the query, in one pass over it."""
+    stem_of = F.col("stem") if stems else None
+    met = F.transform(F.filter(_asked(asked), lambda q: _meets(F.col("word"), q, distance, stem_of)), lambda q: q["word"])
+    return vocabulary.select("word", F.explode(met).alias("query_word"))
 
-    return re.split(r"[\W_]+", query.lower(), flags=re.ASCII)
+
+def fuzzy_words(vocabulary: DataFrame, words: list[str], distance: int = 2, word: str = "word") -> DataFrame:
+    """(word, query_word) of the vocabulary within the distance of a query word."""
+    return _meeting(vocabulary.select(F.col(word).alias("word")), list(dict.fromkeys(words)), distance, False)
 
 
-def fuzzy_match(df: DataFrame, query: str, key: str = "section_id", text: str = "content", distance: int | None = 2, stems: bool = True) -> DataFrame:
-    """Rows in whose text every query word has an equal word, one of the same stem, or one within the distance."""
-    words = text_words(df, text, key)
-    meet, asked = _meeting(words, query, distance, stems)
+def _split(query: str) -> list[str]:
+    return [w for w in dict.fromkeys(re.split(r"[\W_]+", query.lower(), flags=re.ASCII)) if w]
+
+
+def fuzzy_match(df: DataFrame, query: str, key: str = "section_id", text: str = "content", distance: int | None = 2, stems: bool = True, words: DataFrame | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Rows in whose text every query word has an equal word, one of the same stem, or one within the distance.
+
+    Without stems this is a filter, and nothing is shuffled. Stems are worked out once for each distinct word; an index has
+    ``words`` (key, word) and their ``vocabulary`` (word, stem), which are then looked up instead of the texts.
+    """
+    asked = _split(query)
+    if not stems and words is None:
+        own = distinct_words(F.col(text))
+        return df.filter(F.forall(_asked(asked), lambda q: F.exists(own, lambda w: _meets(w, q, distance)))) if asked else df.limit(0)
+    words = text_words(df, text, key) if words is None else words
+    vocabulary = (stem_vocabulary(words) if stems else words.select("word").distinct()) if vocabulary is None else vocabulary
+    meet = _meeting(vocabulary, asked, distance, stems)
     full = words.join(meet, "word").groupBy(key).agg(F.count_distinct("query_word").alias("n")).filter(F.col("n") == len(asked))
     return df.join(full.select(key), key, "left_semi")
 
 
 def matched_words(lines: DataFrame, query: str, key: str, text: str = "text", distance: int | None = None, stems: bool = False) -> DataFrame:
     """(key, words): the words of each line that meet the query, in order; lines without any are left out."""
+    asked = _split(query)
+    if not stems:
+        met = F.sort_array(F.filter(distinct_words(F.col(text)), lambda w: F.exists(_asked(asked), lambda q: _meets(w, q, distance))))
+        return lines.select(key, tx.once(met).alias("words")).filter(F.size("words") > 0)
     words = text_words(lines, text, key)
-    meet, _ = _meeting(words, query, distance, stems)
+    meet = _meeting(stem_vocabulary(words), asked, distance, stems)
     return words.join(meet.select("word").distinct(), "word").groupBy(key).agg(F.sort_array(F.collect_set("word")).alias("words"))
 
 
+def highlight_words(df: DataFrame, query: str, key: str = "section_id", text: str = "content", distance: int | None = None, stems: bool = False, before: str = "**", after: str = "**") -> DataFrame:
+    """Add marked: the text with the words that meet the query between marks, in their own case; one without stays."""
+    met = matched_words(df, query, key, text, distance, stems).withColumnRenamed("words", "__words")
+    # words are letters and digits alone, so they are patterns as they stand
+    pattern = F.concat(F.lit("(?i)(?<![a-z0-9])("), F.array_join("__words", "|"), F.lit(")(?![a-z0-9])"))
+    mark = lambda m: re.sub(r"([\\$])", r"\\\1", m)
+    marked = F.regexp_replace(F.col(text), pattern, F.lit(f"{mark(before)}$1{mark(after)}"))
+    return df.join(met, key, "left").withColumn("marked", F.when(F.col("__words").isNull(), F.col(text)).otherwise(marked)).drop("__words")
+
+
 def refine(results: DataFrame, sections: DataFrame, terms: list[str], limit: int, order: list[Column]) -> DataFrame:
     """Results whose section holds all terms, the first ``limit`` in the given order."""
     holds = reduce(lambda a, b: a & b, (F.contains(F.lower("content"), F.lit(t.lower())) for t in terms), F.lit(True))

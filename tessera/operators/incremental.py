@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.functions.stem import stem_vocabulary, text_words
 from tessera.operators import extract
+from tessera.operators.bm25 import build_postings
 from tessera.operators.links import resolve_links
+from tessera.sources.scratch import stored
 
 
 def fingerprints(corpus: DataFrame) -> DataFrame:
@@ -36,6 +39,35 @@ def build_tables(corpus: DataFrame, preamble: bool = False) -> dict[str, DataFra
     return {"documents": documents, "sections": sections, "links": links, "code_blocks": code}
 
 
+def index_corpus(corpus: DataFrame, folder: str, preamble: bool = False) -> dict[str, DataFrame]:
+    """Write all tables of an index from (path, text, mtime), search tables included, and return them as they are read back.
+
+    Each table is made from those written before it, so a text is parsed once. Postings and words lie in order of the term,
+    so that a search reads the row groups of its own terms.
+    """
+    spark = corpus.sparkSession
+
+    def kept(name: str, df: DataFrame, *order: str) -> DataFrame:
+        if order:
+            df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        df.write.parquet(f"{folder}/{name}.parquet")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}.parquet")
+
+    front = stored(extract.split_frontmatter(corpus))
+    body = front.select("path", F.col("body").alias("text"))
+    sections = kept("sections", extract.extract_sections(body, preamble=preamble))
+    links = kept("links", resolve_links(extract.in_sections(extract.extract_links(body).drop("k"), sections)))
+    code = kept("code_blocks", extract.in_sections(extract.extract_code_blocks(body).withColumn("line", F.col("start_line")), sections).drop("line"))
+    documents = kept("documents", extract.document_stats(front, sections, links, code).join(front.select("path", "frontmatter", "tags", "mtime"), "path"))
+    made = build_postings(sections)
+    out = {"documents": documents, "sections": sections, "links": links, "code_blocks": code, "postings": kept("postings", made["postings"], "term", "section_id")}
+    out["term_stats"] = kept("term_stats", out["postings"].groupBy("term").agg(F.count("*").alias("df")), "term")
+    out["stats"] = kept("stats", made["stats"])
+    out["words"] = kept("words", text_words(sections, "content", "section_id").select("word", "section_id"), "word", "section_id")
+    out["vocabulary"] = kept("vocabulary", stem_vocabulary(out["words"]))
+    return out
+
+
 def apply_changes(tables: dict[str, DataFrame], changes: DataFrame, corpus: DataFrame, preamble: bool = False) -> dict[str, DataFrame]:
     """Tables less what belongs to changed and deleted paths, plus what changed and new paths give. Unchanged documents
     are not read again."""

@@ -16,29 +16,29 @@ from tessera.plans.patterns import path_matches
 #: The default similarity threshold, over-fetch, RRF constant, and hash tables of the quality modes.
 THRESHOLD, OVERFETCH, RRF_K = 0.35, 2, 60
 TABLES = {"fast": 6, "balanced": 10, "thorough": 20}
-#: Queries that are broadcast at once; a longer table goes in blocks.
+#: Queries that are broadcast at once; a longer table goes in blocks, or is joined.
 MOST_QUERIES = 4096
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, section_id, similarity, rank) of the k nearest by cosine, exactly; ties by section_id.
+def nearest(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """(query_id, section_id, similarity, rank) of the ``limit`` nearest by cosine, exactly; ties by section_id.
 
-    Each task multiplies its vectors with a block of queries and keeps k of each query, so what is shuffled is
-    partitions x queries x k rows. Zero vectors and ones of another dimension have no similarity.
+    Each task multiplies its vectors with a block of queries and keeps the best of each query, so what is shuffled is
+    partitions x queries x limit rows. Zero vectors and ones of another dimension have no similarity.
     """
-    asked = queries.select("query_id", "embedding").orderBy("query_id").collect()  # the query side, by contract small
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, section_id {vectors.schema['section_id'].dataType.simpleString()}, similarity double"
-    parts = []
-    for first in range(0, len(asked), MOST_QUERIES):
-        block = asked[first : first + MOST_QUERIES]
+    asked, parts = queries.select("query_id", "embedding"), []
+    blocks = -(-asked.count() // MOST_QUERIES)
+    for k in range(blocks):  # by hash, so that a block has about MOST_QUERIES rows and the driver one block at a time
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).orderBy("query_id").collect()
         shared = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in block], [np.asarray(r["embedding"] or [], np.float64) for r in block]))
-        parts.append(vectors.select("section_id", "embedding").mapInPandas(_scored(shared, k), kinds))
+        parts.append(vectors.select("section_id", "embedding").mapInPandas(_scored(shared, k=limit), kinds))
     if not parts:
         return vectors.sparkSession.createDataFrame([], kinds + ", rank int")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return top(out, k, "similarity")
+    return top(out, limit, "similarity")
 
 
 def _scored(shared, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -101,7 +101,8 @@ def rerank_boosted(results: DataFrame, queries: DataFrame, limit: int, path: str
     """Results (query_id, section_id, path, heading, similarity) with boosts for headings and important files, sorted
     anew: boosted (at most 1), rank, and available (how many there were). A path glob drops results first."""
     out = results if path is None else results.filter(path_matches(F.col("path"), path))
-    out = out.drop("rank").join(F.broadcast(queries.select("query_id", "query")), "query_id")
+    texts = queries.select("query_id", "query")
+    out = out.drop("rank").join(F.broadcast(texts) if queries.count() <= MOST_QUERIES else texts, "query_id")
     out = out.withColumn("boosted", F.least(F.lit(1.0), F.col("similarity") + tx.heading_boost(F.col("heading"), F.col("query")) + tx.file_boost(F.col("path"))))
     out = out.withColumn("available", F.count("*").over(Window.partitionBy("query_id")))
     return top(out, limit, "boosted").drop("query")

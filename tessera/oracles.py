@@ -59,7 +59,15 @@ dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 st AS (SELECT count(*) AS n_docs, avg(dl) AS avg_dl FROM dls)"""
 
 
-def bm25(queries: list[tuple[int, str]], limit: int) -> str:
+#: Sections of conv_md and doc_plain together; those of documents are named by their paths alone.
+BOTH = f"""{SEC.replace("sec AS (SELECT *", "sec1 AS (SELECT *")}, {PLAIN},
+sec AS (SELECT section_id, path, heading, content, token_count FROM sec1 UNION ALL SELECT substr(md5(path), 1, 12) || '-', path, heading, content, {tokens("content")} FROM plain)"""
+
+
+def bm25(queries: list[tuple[int, str]], limit: int, documents: bool = False) -> str:
+    """The best sections of each query; with ``documents``, of conv_md and doc_plain together."""
+    if documents:
+        return bm25(queries, limit).replace(SEC, BOTH)
     rows = ", ".join(f"({i}, {q(x)})" for i, x in queries)
     return f"""{BM25},
 ask AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '\\W+'), lambda x: length(x) > 2)) AS term FROM (VALUES {rows}) v(query_id, query)),
@@ -68,22 +76,29 @@ score AS (SELECT query_id, section_id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.
 bm AS (SELECT * FROM (SELECT query_id, section_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, section_id) AS rank FROM score) WHERE rank <= {limit})"""
 
 
-def nearest(ids: tuple[int, ...], k: int) -> str:
-    """Exact neighbours of the vectors with the given ids, among those that have a document."""
+def nearest(k: int, important: bool = False) -> str:
+    """Exact neighbours of the vectors whose ids are divisible by 100, among those that have a document."""
+    file = "CASE WHEN e.vec_id % 7 = 0 THEN '/README.md' ELSE '.md' END" if important else "'.md'"
     return f"""
-v AS (SELECT e.vec_id AS section_id, d.source || '/' || d.doc_id || '.md' AS path, trim(string_split(d.text, chr(10))[1]) AS heading, CAST(e.embedding AS DOUBLE[]) AS x FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id),
-qv AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS y FROM embeddings WHERE vec_id IN {ids}),
+v AS (SELECT e.vec_id AS section_id, d.source || '/' || d.doc_id || {file} AS path, trim(string_split(d.text, chr(10))[1]) AS heading, CAST(e.embedding AS DOUBLE[]) AS x FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id),
+qv AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS y FROM embeddings WHERE vec_id % 100 = 0),
 sim AS (SELECT query_id, section_id, path, heading, list_cosine_similarity(x, y) AS similarity FROM v, qv),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, section_id) AS rank FROM sim) WHERE rank <= {k})"""
 
 
-def nearest_each(k: int) -> str:
-    """The same for every vector whose id is divisible by 100."""
-    return nearest((), k).replace("vec_id IN ()", "vec_id % 100 = 0")
-
-
 def bm25_documents(queries: list[tuple[int, str]], limit: int) -> str:
     """bm25() over doc_plain, its sections named by the number of the document."""
     own = f"""{PLAIN},
 sec AS (SELECT CAST(regexp_extract(path, '/(\\d+)\\.md$', 1) AS BIGINT) AS section_id, heading, content, {tokens("content")} AS token_count FROM plain)"""
     return bm25(queries, limit).replace(SEC, own)
+
+
+def hashed_vectors(name: str, source: str, key: str, text: str) -> str:
+    """Vectors of the hashing provider: (key, x), from the bytes of each word's MD5."""
+    nibble = lambda k: f"(instr('0123456789abcdef', substr(md5(w), {k}, 1)) - 1)"
+    return f"""
+{name}_w AS (SELECT {key}, unnest(list_filter(regexp_split_to_array(lower({text}), '\\s+'), lambda x: x <> '')) AS w FROM {source}),
+{name}_h AS (SELECT {key}, (16 * {nibble(1)} + {nibble(2)}) % 64 AS k, sum(CASE WHEN {nibble(15)} >= 8 THEN 1 ELSE -1 END) AS n FROM {name}_w GROUP BY ALL),
+{name}_n AS (SELECT {key}, sqrt(CAST(sum(n * n) AS DOUBLE)) AS size FROM {name}_h GROUP BY {key}),
+{name} AS (SELECT t.{key}, list(CAST(CAST(coalesce(CAST(n AS DOUBLE) / CASE WHEN size > 0 THEN size ELSE 1 END, 0) AS FLOAT) AS DOUBLE) ORDER BY r.k) AS x
+ FROM {source} t CROSS JOIN (SELECT unnest(range(64)) AS k) r LEFT JOIN {name}_h h ON h.{key} = t.{key} AND h.k = r.k LEFT JOIN {name}_n m ON m.{key} = t.{key} GROUP BY t.{key})"""

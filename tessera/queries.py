@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import oracles as o
-from tessera.corpora import conv_md, doc_plain, doc_vec, feed, page_links, table
+from tessera import schemas
+from tessera.corpora import conv_md, doc_plain, doc_vec, feed, page_links, rich_md, table
 from tessera.functions import stem as st
 from tessera.functions import text as tx
 from tessera.operators import bm25, context, duplicates, embedding, extract, filters, incremental, links, stats, vectors
@@ -44,9 +45,9 @@ def asked(spark: SparkSession, rows: list[tuple[int, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "query_id int, query string")
 
 
-#: The batch of keyword queries, and the vectors that are searched for.
+#: The batch of keyword queries, and how many neighbours and results they ask for.
 KEYWORD = [(1, "the and of thing"), (2, "est der einheit"), (3, "que les tion")]
-VECTORS, NEAR, TOP = (0, 7, 42), 20, 10
+NEAR, TOP = 20, 10
 
 # Text functions
 
@@ -54,40 +55,27 @@ VECTORS, NEAR, TOP = (0, 7, 42), 20, 10
 @query(f"SELECT doc_id, {o.tokens('text')} AS tokens, CAST({o.words('text')} AS INTEGER) AS words, CAST(ceil(length(text) / 4.0) AS INTEGER) AS estimate FROM documents")
 def token_counts(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", tx.token_count(t).alias("tokens"), tx.word_count(t).alias("words"), tx.token_estimate(t).alias("estimate"))
+    return corpus.spread(table(spark, d, "documents")).select("doc_id", tx.token_count(t).alias("tokens"), tx.word_count(t).alias("words"), tx.token_estimate(t).alias("estimate"))
 
 
 @query(
-    """WITH p AS (SELECT doc_id, source || '/' || doc_id || '.md' AS path, left(text, 40) AS head, text FROM documents)
+    """WITH p AS (SELECT doc_id, source || '/' || doc_id || '.md' AS path, text FROM documents)
 SELECT doc_id, substr(md5(path), 1, 12) AS path_id,
-       regexp_replace(regexp_replace(regexp_replace(lower(head), '[^a-z0-9_\\s-]', '', 'g'), '\\s+', '-', 'g'), '-+', '-', 'g') AS slug, substr(sha256(text), 1, 16) AS content_hash FROM p"""
+       regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\\s-]', '', 'g'), '\\s+', '-', 'g'), '-+', '-', 'g') AS slug, substr(sha256(text), 1, 16) AS content_hash FROM p"""
 )
 def identities(spark, d):
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    return table(spark, d, "documents").select("doc_id", tx.doc_id(path).alias("path_id"), tx.slug(F.substring("text", 1, 40)).alias("slug"), tx.content_hash(F.col("text")).alias("content_hash"))
+    return table(spark, d, "documents").select("doc_id", tx.doc_id(path).alias("path_id"), tx.slug(F.col("text")).alias("slug"), tx.content_hash(F.col("text")).alias("content_hash"))
 
 
 @query(
-    """SELECT doc_id, trim(regexp_replace(regexp_replace(lower(left(text, 60)), '[^a-zA-Z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS query,
-  (len(regexp_split_to_array(trim(lower(left(text, 60))), '\\s+')) >= 3) AND (len(regexp_split_to_array(trim(lower(left(text, 60))), '\\s+')) >= 6
-   OR regexp_matches(trim(lower(left(text, 60))), '^(how|what|why|when|where|who|which|can|could|should|would|is|are|does|do)\\s|\\?$')
-   OR regexp_matches(trim(lower(left(text, 60))), '\\b(setup|install|configure|implement|create|build|fix|debug|resolve|step|guide|tutorial|example|documentation)\\b')) AS expand FROM documents"""
+    """SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-zA-Z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS query,
+  (len(regexp_split_to_array(trim(lower(text)), '\\s+')) >= 3) AND (len(regexp_split_to_array(trim(lower(text)), '\\s+')) >= 6
+   OR regexp_matches(trim(lower(text)), '^(how|what|why|when|where|who|which|can|could|should|would|is|are|does|do)\\s|\\?$')
+   OR regexp_matches(trim(lower(text)), '\\b(setup|install|configure|implement|create|build|fix|debug|resolve|step|guide|tutorial|example|documentation)\\b')) AS expand FROM documents"""
 )
 def query_normal_forms(spark, d):
-    head = F.substring("text", 1, 60)
-    return table(spark, d, "documents").select("doc_id", tx.preprocess_query(head).alias("query"), tx.should_expand(head).alias("expand"))
-
-
-@query(SQL["identities"].replace("left(text, 40)", "text"))
-def identities_whole(spark, d):
-    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    return table(spark, d, "documents").select("doc_id", tx.doc_id(path).alias("path_id"), tx.slug(F.col("text")).alias("slug"), tx.content_hash(F.col("text")).alias("content_hash"))
-
-
-@query(SQL["query_normal_forms"].replace("left(text, 60)", "text"))
-def query_normal_forms_whole(spark, d):
-    text = F.col("text")
-    return table(spark, d, "documents").select("doc_id", tx.preprocess_query(text).alias("query"), tx.should_expand(text).alias("expand"))
+    return table(spark, d, "documents").select("doc_id", tx.preprocess_query(F.col("text")).alias("query"), tx.should_expand(F.col("text")).alias("expand"))
 
 
 @query("SELECT page_id, regexp_matches(url, '(?i)^https?://[^/]*/en/[^/]*$') AS en, regexp_matches(url, '(?is)^.*example\\.net/.*$') AS net FROM pages")
@@ -96,10 +84,15 @@ def path_globs(spark, d):
     return table(spark, d, "pages").select("page_id", (patterns.path_matches(url, "http://*/en/*") | patterns.path_matches(url, "https://*/en/*")).alias("en"), patterns.path_matches(url, "**example.net/**").alias("net"))
 
 
-@query("SELECT doc_id FROM documents WHERE NOT (source IN ('src1', 'src2') AND doc_id % 2 = 1) AND source <> 'src3'")
+@query(
+    """SELECT doc_id FROM documents WHERE source NOT IN ('src1', 'src2')  -- an ignored folder: nothing below it is taken back
+ AND NOT (source = 'src3' AND doc_id % 2 = 1)  -- its files are ignored one by one, so even numbers are taken back
+ AND NOT (source = 'src4' AND ends_with(CAST(doc_id AS VARCHAR), '7'))"""
+)
 def ignore_rules(spark, d):
     docs = table(spark, d, "documents").withColumn("path", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")))
-    return corpus.filter_ignored(docs, ["# kept out", "src[12]/", "src3/*", "!src1/*[02468].md", "!/src2/*[02468].md"]).select("doc_id")
+    rules = ["# kept out", "src[12]/", "src3/*", "!src1/*[02468].md", "!/src2/*[02468].md", "!src3/*[02468].md", "", "/src4/**/*7.md", "*.mdx", "src0"]
+    return corpus.filter_ignored(docs, [*rules, "!src0"]).select("doc_id")
 
 
 @query(
@@ -120,6 +113,19 @@ def extract_sections(spark, d):
     return sections(spark, d).drop("doc_id")
 
 
+@query(
+    """WITH d AS (SELECT doc_id, source, lang, source || '/' || doc_id || '.md' AS path, len(string_split(text, chr(10))) AS n FROM documents),
+s AS (SELECT path, 0 AS ordinal, 'Guide ' || doc_id AS heading, 1 AS level, CAST(NULL AS INTEGER) AS parent_ordinal, '1' AS number, 1 AS start_line, 3 AS end_line, 'Intro of ' || source AS plain_text FROM d
+ UNION ALL SELECT path, 1, 'Steps', 2, 0, '1.1', 5, 8, 'one ' || lang || chr(10) || 'two' FROM d
+ UNION ALL SELECT path, 2, 'Deep', 4, 1, '1.1.1', 10, 13 + n, '' FROM d
+ UNION ALL SELECT path, 3, 'Back', 3, 1, '1.1.2', 15 + n, 19 + n, '| a | b |' || chr(10) || '| - | - |' || chr(10) || '| ' || doc_id || ' | 2 |' FROM d
+ UNION ALL SELECT path, 4, 'Second', 1, NULL, '2', 21 + n, 23 + n, 'end bold and  link' FROM d WHERE doc_id % 2 = 0)
+SELECT path, ordinal, heading, level, parent_ordinal, number, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, plain_text, ordinal = 2 AS has_code, ordinal = 1 AS has_list, ordinal = 3 AS has_table FROM s"""
+)
+def nested_sections(spark, d):
+    return extract.extract_sections(rich_md(spark, d)).select("path", "ordinal", "heading", "level", "parent_ordinal", "number", "start_line", "end_line", "plain_text", "has_code", "has_list", "has_table")
+
+
 @query("WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) SELECT source || '/' || d.doc_id || '.md' AS path, CAST(i AS INTEGER) AS line, ls[i] AS content, false AS in_fence FROM l JOIN documents d USING (doc_id), unnest(range(1, len(ls) + 1)) r(i)")
 def explode_lines(spark, d):
     return extract.explode_lines(doc_plain(spark, d))
@@ -149,16 +155,8 @@ def extract_links(spark, d):
     return found.groupBy(F.col("path").cast("long").alias("page_id")).agg(F.count("*").alias("links"), F.count_if(F.col("link_type") == "external").alias("external"))
 
 
-@query("SELECT doc_id, source AS language, text AS content, 3 AS start_line, CAST(4 + len(string_split(text, chr(10))) AS INTEGER) AS end_line FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, source AS language, text AS content, 3 AS start_line, CAST(4 + len(string_split(text, chr(10))) AS INTEGER) AS end_line FROM documents")
 def extract_code_blocks(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'en'")
-    text = F.concat(F.lit("# Code\n\n````"), "source", F.lit("\n"), "text", F.lit("\n````\n"))
-    found = extract.extract_code_blocks(docs.select(F.col("doc_id").cast("string").alias("path"), text.alias("text")))
-    return found.select(F.col("path").cast("long").alias("doc_id"), "language", "content", "start_line", "end_line")
-
-
-@query(SQL["extract_code_blocks"].removesuffix(" WHERE lang = 'en'"))
-def extract_code_blocks_whole(spark, d):
     text = F.concat(F.lit("# Code\n\n````"), "source", F.lit("\n"), "text", F.lit("\n````\n"))
     found = extract.extract_code_blocks(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), text.alias("text")))
     return found.select(F.col("path").cast("long").alias("doc_id"), "language", "content", "start_line", "end_line")
@@ -290,7 +288,11 @@ def fuzzy_search(spark, d):
     return filters.fuzzy_match(plain(spark, d), "idiots the", "path", distance=2, stems=False).select("path")
 
 
-@query()
+#: In closed form: the words of the tables that have the stems idiot and stupid.
+@query(
+    f"""WITH {o.PLAIN}, w AS (SELECT DISTINCT path, unnest(regexp_split_to_array(lower(content), '[^a-z0-9]+')) AS word FROM plain)
+SELECT path FROM w GROUP BY path HAVING count(*) FILTER (WHERE regexp_matches(word, '^idiot(s|ed|ing|ic)?$')) > 0 AND count(*) FILTER (WHERE regexp_matches(word, '^stupid(s|ed|ing|ity)?$')) > 0"""
+)
 def stem_search(spark, d):
     return filters.fuzzy_match(plain(spark, d), "idiots stupidity", "path", distance=None).select("path")
 
@@ -352,6 +354,11 @@ def matched_words(spark, d):
     return filters.matched_words(plain(spark, d), "idiot", "path", "content", distance=1)
 
 
+@query(f"WITH {o.PLAIN} SELECT path, regexp_replace(content, '(?i)\\b(idiot|idiots|idioted|idioting|idiotic|stupid|stupids|stupided|stupiding|stupidity)\\b', '**\\1**', 'g') AS marked FROM plain")
+def highlight_stems(spark, d):
+    return filters.highlight_words(plain(spark, d), "idiots stupidity", "path", stems=True).select("path", "marked")
+
+
 @query(f"WITH {o.SEC} SELECT section_id, content FROM sec WHERE heading = 'system'")
 def with_content(spark, d):
     own = sections(spark, d)
@@ -376,104 +383,88 @@ def bm25_search(spark, d):
 
 
 def _asked_vectors(spark, d):
-    return table(spark, d, "embeddings").filter(F.col("vec_id").isin(*VECTORS)).select(F.col("vec_id").alias("query_id"), "embedding")
+    return table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-@query(f"WITH {o.nearest(VECTORS, NEAR)} SELECT query_id, section_id, round(similarity, 9) AS similarity, CAST(rank AS INTEGER) AS rank FROM near WHERE round(similarity, 9) >= 0.35")
+@query(f"WITH {o.nearest(NEAR)} SELECT query_id, section_id, round(similarity, 9) AS similarity, CAST(rank AS INTEGER) AS rank FROM near WHERE round(similarity, 9) >= 0.35")
 def vector_search(spark, d):
     return vectors.vector_search(doc_vec(spark, d), _asked_vectors(spark, d), NEAR).withColumn("similarity", F.round("similarity", 9))
 
 
-@query(f"WITH {o.nearest(VECTORS, NEAR)} SELECT query_id, count(*) FILTER (WHERE round(similarity, 9) < 0.9) AS below, round(max(similarity) FILTER (WHERE round(similarity, 9) < 0.9), 9) AS highest, round(greatest(0.1, max(similarity) FILTER (WHERE round(similarity, 9) < 0.9) - 0.05), 9) AS suggested FROM near GROUP BY query_id")
+@query(f"WITH {o.nearest(NEAR)} SELECT query_id, count(*) FILTER (WHERE round(similarity, 9) < 0.9) AS below, round(max(similarity) FILTER (WHERE round(similarity, 9) < 0.9), 9) AS highest, round(greatest(0.1, max(similarity) FILTER (WHERE round(similarity, 9) < 0.9) - 0.05), 9) AS suggested FROM near GROUP BY query_id")
 def vector_search_stats(spark, d):
     return vectors.vector_search_stats(doc_vec(spark, d), _asked_vectors(spark, d), NEAR, 0.9).withColumns({c: F.round(c, 9) for c in ("highest", "suggested")})
 
 
-def _each_vector(spark, d):
-    return table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-
-
-@query(f"WITH {o.nearest_each(NEAR)} SELECT query_id, section_id, round(similarity, 9) AS similarity, CAST(rank AS INTEGER) AS rank FROM near WHERE round(similarity, 9) >= 0.35")
-def vector_search_whole(spark, d):
-    return vectors.vector_search(doc_vec(spark, d), _each_vector(spark, d), NEAR).withColumn("similarity", F.round("similarity", 9))
-
-
-@query(f"WITH {o.nearest_each(NEAR)} SELECT query_id, count(*) FILTER (WHERE round(similarity, 9) < 0.9) AS below, round(max(similarity) FILTER (WHERE round(similarity, 9) < 0.9), 9) AS highest, round(greatest(0.1, max(similarity) FILTER (WHERE round(similarity, 9) < 0.9) - 0.05), 9) AS suggested FROM near GROUP BY query_id")
-def vector_search_stats_whole(spark, d):
-    return vectors.vector_search_stats(doc_vec(spark, d), _each_vector(spark, d), NEAR, 0.9).withColumns({c: F.round(c, 9) for c in ("highest", "suggested")})
-
-
 @query()
 def approximate_search(spark, d):
-    return vectors.vector_search(doc_vec(spark, d), _each_vector(spark, d), NEAR, quality="thorough")
-
-
-def _vector_texts(spark, d):
-    words = spark.createDataFrame(list(zip(VECTORS, ("the of", "and er", "der que"))), "query_id long, query string")
-    return _asked_vectors(spark, d).join(words, "query_id")
-
-
-_TEXTS = ", ".join(f"({i}, {o.q(w)})" for i, w in zip(VECTORS, ("the of", "and er", "der que")))
-_BOOSTED = f"""ask2 AS (SELECT * FROM (VALUES {_TEXTS}) w(query_id, query)),
-boost AS (SELECT near.*, least(1.0, similarity + 0.05 * len(list_filter(string_split(query, ' '), lambda t: contains(lower(heading), t))) + CASE WHEN regexp_matches(path, '(?i)(^|/)(readme|index|changelog)\\.md$') THEN 0.03 ELSE 0 END) AS boosted
-  FROM near JOIN ask2 USING (query_id) WHERE round(similarity, 9) >= 0.35),
-sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(boosted, 9) DESC, section_id) AS r FROM boost) WHERE r <= {TOP})"""
+    return vectors.vector_search(doc_vec(spark, d), _asked_vectors(spark, d), NEAR, quality="thorough")
 
 
-@query(f"WITH {o.nearest(VECTORS, 2 * TOP)}, {_BOOSTED} SELECT query_id, section_id, path, heading, round(similarity, 9) AS similarity, round(boosted, 9) AS boosted, CAST(r AS INTEGER) AS rank FROM sem")
-def semantic_search(spark, d):
-    out = vectors.semantic_search(doc_vec(spark, d), _vector_texts(spark, d), TOP)
-    return out.select("query_id", "section_id", "path", "heading", F.round("similarity", 9).alias("similarity"), F.round("boosted", 9).alias("boosted"), "rank")
+@query("SELECT vec_id AS query_id, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def approximate_recall(spark, d):
+    """Whether nine in ten of what exact search tells of a vector, itself left out, are among the approximate results."""
+    exact = vectors.vector_search(doc_vec(spark, d), _asked_vectors(spark, d), NEAR).filter("section_id <> query_id").select("query_id", "section_id")
+    found = approximate_search(spark, d).select("query_id", "section_id", F.lit(1).alias("found"))
+    shares = exact.join(found, ["query_id", "section_id"], "left").groupBy("query_id").agg((F.count("found") >= 0.9 * F.count("*")).alias("enough"))
+    return _asked_vectors(spark, d).select("query_id").join(shares, "query_id", "left").select("query_id", F.coalesce("enough", F.lit(True)).alias("enough"))
 
 
-#: The texts that go with the vectors whose ids are divisible by 100, in turns.
+#: The texts that go with the vectors asked for, in turns.
 TURNS = [(0, "the of"), (1, "and er"), (2, "der que")]
 _TURN = "CAST(floor(query_id / 100) AS BIGINT) % 3"
-_EACH_BOOSTED = _BOOSTED.replace(f"(VALUES {_TEXTS}) w(query_id, query)", f"(SELECT query_id, query FROM qv JOIN (VALUES {', '.join(f'({i}, {o.q(w)})' for i, w in TURNS)}) w(turn, query) ON turn = {_TURN})")
+_BOOSTED = f"""ask2 AS (SELECT query_id, query FROM qv JOIN (VALUES {', '.join(f'({i}, {o.q(w)})' for i, w in TURNS)}) w(turn, query) ON turn = {_TURN}),
+boost AS (SELECT near.*, least(1.0, similarity + 0.05 * len(list_filter(string_split(query, ' '), lambda t: contains(lower(heading), t))) + CASE WHEN regexp_matches(path, '(?i)(^|/)(readme|index|changelog)\\.md$') THEN 0.03 ELSE 0 END) AS boosted
+  FROM near JOIN ask2 USING (query_id) WHERE round(similarity, 9) >= 0.35),
+sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(boosted, 9) DESC, section_id) AS r, count(*) OVER (PARTITION BY query_id) AS available FROM boost) WHERE r <= {TOP})"""
 
 
 def _turns(spark, d):
-    return _each_vector(spark, d).withColumn("turn", F.expr(_TURN).cast("int"))
+    return _asked_vectors(spark, d).withColumn("turn", F.expr(_TURN).cast("int"))
 
 
-@query(f"WITH {o.nearest_each(2 * TOP)}, {_EACH_BOOSTED} SELECT query_id, section_id, path, heading, round(similarity, 9) AS similarity, round(boosted, 9) AS boosted, CAST(r AS INTEGER) AS rank FROM sem")
-def semantic_search_whole(spark, d):
-    texts = _turns(spark, d).join(asked(spark, TURNS).withColumnRenamed("query_id", "turn"), "turn").drop("turn")
-    out = vectors.semantic_search(doc_vec(spark, d), texts, TOP)
-    return out.select("query_id", "section_id", "path", "heading", F.round("similarity", 9).alias("similarity"), F.round("boosted", 9).alias("boosted"), "rank")
+def _important(vectors: DataFrame) -> DataFrame:
+    """Every seventh document as a README of its folder, since no document of the tables is an important file."""
+    return vectors.withColumn("path", F.when(F.col("section_id") % 7 == 0, F.concat(F.regexp_replace("path", r"\.md$", ""), F.lit("/README.md"))).otherwise(F.col("path")))
 
 
-#: Fusion of the vector list with one of the same documents by BM25-like counts.
-_OVERLAP = "kw AS (SELECT * FROM (SELECT query_id, d.doc_id AS section_id, row_number() OVER (PARTITION BY query_id ORDER BY (d.doc_id * 7919 + query_id) % 1009, d.doc_id) AS rank FROM documents d, qv) WHERE rank <= 20)"
+@query(f"WITH {o.nearest(2 * TOP, important=True)}, {_BOOSTED} SELECT query_id, section_id, path, heading, round(similarity, 9) AS similarity, round(boosted, 9) AS boosted, available, CAST(r AS INTEGER) AS rank FROM sem")
+def semantic_search(spark, d):
+    texts = _turns(spark, d).join(asked(spark, TURNS).withColumnRenamed("query_id", "turn"), "turn").drop("turn")
+    out = vectors.semantic_search(_important(doc_vec(spark, d)), texts, TOP)
+    return out.select("query_id", "section_id", "path", "heading", F.round("similarity", 9).alias("similarity"), F.round("boosted", 9).alias("boosted"), "available", "rank")
 
 
 @query(
-    f"""WITH {o.nearest(VECTORS, NEAR)}, {_OVERLAP}, f AS (SELECT coalesce(near.query_id, kw.query_id) AS query_id, coalesce(near.section_id, kw.section_id) AS section_id, near.rank AS rs, kw.rank AS rk FROM near FULL JOIN kw ON near.query_id = kw.query_id AND near.section_id = kw.section_id),
+    f"""WITH {o.nearest(NEAR)}, {o.bm25_documents(TURNS, 20)}, kw AS (SELECT qv.query_id, section_id, rank FROM qv JOIN bm ON bm.query_id = {_TURN.replace("query_id", "qv.query_id")}),
+f AS (SELECT coalesce(near.query_id, kw.query_id) AS query_id, coalesce(near.section_id, kw.section_id) AS section_id, near.rank AS rs, kw.rank AS rk FROM near FULL JOIN kw ON near.query_id = kw.query_id AND near.section_id = kw.section_id),
 g AS (SELECT *, coalesce(1.0::DOUBLE / (60 + rs), 0) + coalesce(1.0::DOUBLE / (60 + rk), 0) AS score FROM f),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, rs ASC NULLS LAST, rk ASC NULLS LAST, section_id) AS rank FROM g)
 SELECT query_id, section_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank, list_filter([CASE WHEN rs IS NOT NULL THEN 'semantic' END, CASE WHEN rk IS NOT NULL THEN 'keyword' END], lambda x: x IS NOT NULL) AS sources FROM r WHERE rank <= {TOP}"""
 )
 def rank_fusion(spark, d):
-    near = vectors.nearest(doc_vec(spark, d), _asked_vectors(spark, d), NEAR)
-    ask = _asked_vectors(spark, d).select("query_id")
-    told = ask.crossJoin(table(spark, d, "documents").select(F.col("doc_id").alias("section_id")))
-    told = told.withColumn("score", -((F.col("section_id") * 7919 + F.col("query_id")) % 1009).cast("double"))
-    return vectors.rrf(near, bm25.top(told, 20), limit=TOP).withColumn("score", F.round("score", 9))
-
-
-@query(
-    f"""WITH {o.nearest_each(NEAR)}, {o.bm25_documents(TURNS, 20)}, kw AS (SELECT qv.query_id, section_id, rank FROM qv JOIN bm ON bm.query_id = {_TURN.replace("query_id", "qv.query_id")}), """
-    + SQL["rank_fusion"][SQL["rank_fusion"].index("f AS (SELECT coalesce(near") :]
-)
-def rank_fusion_whole(spark, d):
     """Every vector asked for, fused with BM25 over the documents by the text of its turn."""
-    near = vectors.nearest(doc_vec(spark, d), _each_vector(spark, d), NEAR)
+    near = vectors.nearest(doc_vec(spark, d), _asked_vectors(spark, d), NEAR)
     own = plain(spark, d).withColumn("section_id", F.regexp_extract("path", r"/(\d+)\.md$", 1).cast("long"))
     told = bm25.bm25_search(bm25.build_postings(own), asked(spark, TURNS), 20).withColumnRenamed("query_id", "turn")
     return vectors.rrf(near, _turns(spark, d).join(told, "turn"), limit=TOP).withColumn("score", F.round("score", 9))
 
 
-@query()
+_EMBEDDED = "et AS (SELECT section_id, heading || chr(10) || CASE WHEN level = 2 THEN 'Conversation ' || regexp_extract(path, '(\\d+)', 1) || chr(10) ELSE '' END || 'Conversation ' || regexp_extract(path, '(\\d+)', 1) || chr(10) || chr(10) || content AS text FROM sec)"
+
+
+@query(
+    f"""WITH {o.bm25(KEYWORD, 2 * TOP)}, {_EMBEDDED}, {o.hashed_vectors("ev", "et", "section_id", "text")},
+qt AS (SELECT query_id, query, trim(regexp_replace(regexp_replace(lower(query), '[^a-zA-Z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM (VALUES {', '.join(f'({i}, {o.q(w)})' for i, w in KEYWORD)}) v(query_id, query)), {o.hashed_vectors("qe", "qt", "query_id", "text")},
+sim AS (SELECT query_id, section_id, list_cosine_similarity(ev.x, qe.x) AS similarity FROM ev, qe WHERE list_sum(list_transform(ev.x, lambda a: a * a)) > 0 AND list_sum(list_transform(qe.x, lambda a: a * a)) > 0),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, section_id) AS rank FROM sim) WHERE rank <= {4 * TOP} AND round(similarity, 9) >= 0.1),
+boost AS (SELECT query_id, section_id, least(1.0, similarity + 0.05 * len(list_filter(string_split(query, ' '), lambda t: contains(lower(heading), t)))) AS boosted FROM near JOIN qt USING (query_id) JOIN sec USING (section_id)),
+se AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(boosted, 9) DESC, section_id) AS rank FROM boost) WHERE rank <= {2 * TOP}),
+f AS (SELECT coalesce(se.query_id, bm.query_id) AS query_id, coalesce(se.section_id, bm.section_id) AS section_id, se.rank AS rs, bm.rank AS rk FROM se FULL JOIN bm ON se.query_id = bm.query_id AND se.section_id = bm.section_id),
+g AS (SELECT *, coalesce(1.0::DOUBLE / (60 + rs), 0) + coalesce(1.0::DOUBLE / (60 + rk), 0) AS score FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, rs ASC NULLS LAST, rk ASC NULLS LAST, section_id) AS rank FROM g)
+SELECT query_id, section_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank, list_filter([CASE WHEN rs IS NOT NULL THEN 'semantic' END, CASE WHEN rk IS NOT NULL THEN 'keyword' END], lambda x: x IS NOT NULL) AS sources FROM r WHERE rank <= {TOP}"""
+)
 def hybrid_search(spark, d):
     """Vectors of sections by the hashing provider, fused with BM25 over the same sections."""
     own = sections(spark, d)
@@ -481,7 +472,7 @@ def hybrid_search(spark, d):
     made = embedding.embed(texts, embedding.HashingProvider).join(own.select("section_id", "path", "heading"), "section_id")
     ask = asked(spark, KEYWORD)
     queries = embedding.embed(ask.select(F.col("query_id").alias("section_id"), tx.preprocess_query(F.col("query")).alias("text")), embedding.HashingProvider).select(F.col("section_id").alias("query_id"), "embedding").join(ask, "query_id")
-    return vectors.hybrid_search(queries, made, bm25.build_postings(own), "hybrid", TOP, threshold=0.1)
+    return vectors.hybrid_search(queries, made, bm25.build_postings(own), "hybrid", TOP, threshold=0.1).withColumn("score", F.round("score", 9))
 
 
 @query(f"WITH {o.bm25(KEYWORD, TOP)}, r AS (SELECT query_id, section_id, rank, CAST(length(section_id) AS DOUBLE) AS s FROM bm) SELECT query_id, section_id, CAST(rank AS INTEGER) AS original_rank, s AS rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS INTEGER) AS rank FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) <= 5")
@@ -507,10 +498,10 @@ def embedding_delta(spark, d):
     return embedding.embedding_delta(own, had, ["conv/*7.md"])["due"].select("section_id")
 
 
-@query()
+@query(f"WITH {o.SEC}, {o.hashed_vectors('ev', 'sec', 'section_id', 'content')} SELECT section_id, list_transform(x, lambda a: round(a, 6)) AS embedding FROM ev")
 def embed(spark, d):
     own = sections(spark, d).select("section_id", F.col("content").alias("text"))
-    return embedding.embed(own, embedding.HashingProvider)
+    return embedding.embed(own, embedding.HashingProvider).select("section_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
 
 
 @query(f"WITH {o.SEC} SELECT 'conv' AS directory, count(DISTINCT path) AS files, count(*) AS sections, CAST(sum(token_count) AS BIGINT) AS tokens, round(sum(token_count) * 0.02 / 1e6, 9) AS cost FROM sec WHERE token_count >= 10")
@@ -590,6 +581,19 @@ def near_duplicates(spark, d):
     return duplicates.near_duplicates(own).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+v AS (SELECT vec_id, x FROM e UNION ALL SELECT vec_id + 1000000000, list_transform(x, lambda a, i: CASE WHEN i <= 8 THEN a * 1.25 ELSE a END) FROM e WHERE vec_id % 3 = 0), u AS (SELECT min(vec_id) AS id, x FROM v GROUP BY x)
+SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.x, b.x), 6) AS similarity FROM u a JOIN u b ON a.id < b.id WHERE list_cosine_similarity(a.x, b.x) >= 0.85"""
+)
+def near_copies(spark, d):
+    """near_duplicates where there are some: every third vector also comes with eight components changed."""
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("section_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    changed = F.transform("embedding", lambda a, i: F.when(i < 8, a * 1.25).otherwise(a))
+    copies = own.filter("section_id % 3 = 0").select((F.col("section_id") + 1000000000).alias("section_id"), changed.alias("embedding"))
+    return duplicates.near_duplicates(own.unionByName(copies)).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings) SELECT vec_id AS section_id, min(vec_id) OVER (PARTITION BY x) AS class_id, count(*) OVER (PARTITION BY x) AS size FROM v")
 def vector_classes(spark, d):
     return duplicates.vector_classes(table(spark, d, "embeddings").select(F.col("vec_id").alias("section_id"), "embedding"))
@@ -612,7 +616,16 @@ def summarize_brief(spark, d):
     return context.summarize_sections(sections(spark, d), "brief").select("section_id", "summary", "original_tokens")
 
 
-@query()
+@query(
+    f"""WITH {o.SEC}, tg AS (SELECT section_id, plain_text, token_count, least(greatest(token_count * 0.3::DOUBLE, 20), 500) AS target,
+ list_filter(string_split(regexp_replace(regexp_replace(plain_text, '\\n+', ' ', 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: length(regexp_replace(s, '^\\s+|\\s+$', '', 'g')) > 10) AS ss FROM sec),
+ps AS (SELECT section_id, CAST(greatest(2, floor(target / 30)) AS INTEGER) AS n, len(ss) AS m, i, ss[i] AS s, CASE WHEN contains(ss[i], ':') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(ss[i], '^[A-Z]') THEN 1 ELSE 0 END + CASE WHEN length(ss[i]) > 50 AND length(ss[i]) < 200 THEN 1 ELSE 0 END + CASE WHEN regexp_matches(ss[i], '\\*\\*|`') THEN 1 ELSE 0 END AS score FROM tg, unnest(range(1, len(ss) + 1)) r(i)),
+pk AS (SELECT section_id, n, s, CASE WHEN m <= n THEN i ELSE row_number() OVER (PARTITION BY section_id ORDER BY score DESC, i) END AS k FROM ps),
+pt AS (SELECT section_id, string_agg(s, ' ' ORDER BY k) AS points FROM pk WHERE k <= n GROUP BY section_id),
+wd AS (SELECT *, regexp_split_to_array(plain_text, '\\s+') AS ws FROM tg),
+sm AS (SELECT section_id, token_count, CASE WHEN token_count <= target THEN plain_text WHEN points IS NOT NULL THEN points ELSE array_to_string(ws[1:CAST(floor(target) AS INTEGER)], ' ') || CASE WHEN len(ws) > floor(target) THEN '...' ELSE '' END END AS summary FROM wd LEFT JOIN pt USING (section_id))
+SELECT section_id, summary, token_count AS original_tokens, {o.tokens('summary')} AS summary_tokens FROM sm"""
+)
 def summarize_sections(spark, d):
     return context.summarize_sections(sections(spark, d)).select("section_id", "summary", "original_tokens", "summary_tokens")
 
@@ -639,7 +652,15 @@ def topics(spark, d):
     return context.topics(sections(spark, d))
 
 
-@query()
+def _rendered(n: str) -> str:
+    return f"('# ' || title || chr(10) || 'Path: ' || path || chr(10) || 'Tokens: ' || {n} || ' of ' || original || chr(10) || chr(10) || body)"
+
+
+@query(
+    f"""WITH {o.SEC}, bd AS (SELECT path, string_agg(repeat('#', level) || ' ' || heading || CASE WHEN plain_text <> '' THEN chr(10) || plain_text ELSE '' END, chr(10) || chr(10) ORDER BY ordinal) AS body, CAST(sum(token_count) AS BIGINT) AS original, min(heading) FILTER (WHERE level = 1) AS title FROM sec GROUP BY path),
+r0 AS (SELECT *, {o.tokens(_rendered('0'))} AS n0 FROM bd), r1 AS (SELECT *, {o.tokens(_rendered('n0'))} AS n1 FROM r0), r2 AS (SELECT *, {o.tokens(_rendered('n1'))} AS n2 FROM r1)
+SELECT path, {_rendered('n2')} AS rendered, n2 AS tokens FROM r2"""
+)
 def render_summary(spark, d):
     own = _full(spark, d)
     return context.render_summary(own, own.filter("level = 1").select("path", F.col("heading").alias("title")))
@@ -724,9 +745,8 @@ def extraction_errors(spark, d):
     return extract.split_errors(doc_plain(spark, d), parse, "int")[1]
 
 
-@query(SQL["apply_changes"])
-def stream_index(spark, d):
-    """Two bursts of a change feed through Structured Streaming; the index then equals that of the second version."""
+def _streamed(spark: SparkSession, d: str) -> str:
+    """An index folder after two bursts of a change feed through Structured Streaming."""
     folder = scratch(spark)
     one, two = feed(spark, d)
     gone = one.join(two.select("path"), "path", "left_anti").select("path", F.lit(None).cast("string").alias("text"), F.timestamp_seconds(F.lit(60)).alias("mtime"), F.lit("delete").alias("op"))
@@ -736,4 +756,104 @@ def stream_index(spark, d):
         burst.write.mode("append").parquet(f"{folder}/feed")
         source = spark.readStream.schema("path string, text string, mtime timestamp, op string").parquet(f"{folder}/feed")
         reindex.stream_index(source, f"{folder}/index", f"{folder}/progress", {"availableNow": True}, preamble=True).awaitTermination()
-    return reindex.current(spark, f"{folder}/index")[1]["sections"].select("path", "heading", "content")
+    return f"{folder}/index"
+
+
+@query(SQL["apply_changes"])
+def stream_index(spark, d):
+    """The index then equals that of the second version."""
+    return reindex.current(spark, _streamed(spark, d))[1]["sections"].select("path", "heading", "content")
+
+
+@query(
+    """SELECT CAST(0 AS BIGINT) AS batch, count(*) FILTER (WHERE doc_id % 10 < 8) AS indexed, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS deleted, count(*) FILTER (WHERE doc_id % 10 < 8) AS total FROM documents
+UNION ALL SELECT 1, count(*) FILTER (WHERE doc_id % 10 IN (1, 8, 9)), 0, count(*) FILTER (WHERE doc_id % 10 = 0), count(*) FILTER (WHERE doc_id % 10 IN (1, 8, 9)) FROM documents"""
+)
+def stream_reports(spark, d):
+    folder = _streamed(spark, d)
+    return spark.read.parquet(f"{folder}/v0/report.parquet", f"{folder}/v1/report.parquet").select("batch", "indexed", "skipped", "deleted", "total")
+
+
+# Searches of a saved index
+
+_saved: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def saved(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The tables of an index over conversations and documents, written once a session and loaded from there."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _saved:
+        folder = f"{scratch(spark)}/index"
+        incremental.index_corpus(conv_md(spark, d).unionByName(doc_plain(spark, d)), folder, preamble=True)
+        _saved[key] = corpus.load_index(spark, folder, tuple(schemas.TABLES | schemas.SEARCH_TABLES))
+    return _saved[key]
+
+
+def in_documents(sections: DataFrame) -> DataFrame:
+    return sections.filter(~F.startswith("path", F.lit("conv/")))
+
+
+@query(f"WITH {o.SEC}, {o.PLAIN} SELECT path, heading, level FROM sec UNION ALL SELECT path, heading, 0 FROM plain")
+def saved_sections(spark, d):
+    return saved(spark, d)["sections"].select("path", "heading", "level")
+
+
+@query(SQL["boolean_search"])
+def saved_boolean_search(spark, d):
+    return filters.content_search(in_documents(saved(spark, d)["sections"]), '(idiot OR "the of") NOT "er the"').select("path")
+
+
+@query(SQL["search_sections"])
+def saved_search_sections(spark, d):
+    own = saved(spark, d)["sections"].filter(F.startswith("path", F.lit("conv/")))
+    return filters.search_sections(own, heading="^(user|system)$", path="conv/*1.md", has_code=False, min_level=2, max_level=3).select("section_id", "path")
+
+
+@query(SQL["match_context"])
+def saved_match_context(spark, d):
+    lines = filters.section_lines(in_documents(saved(spark, d)["sections"])).withColumn("section_id", F.col("path"))
+    return filters.match_context(lines, F.contains(F.lower("text"), F.lit("idiot")), 1, 2)
+
+
+@query(SQL["assemble_context"])
+def saved_assemble_context(spark, d):
+    own = saved(spark, d)["sections"].filter(F.startswith("path", F.lit("conv/")))
+    items = own.select("path", (F.col("ordinal") + 1).cast("long").alias("place"), F.col("token_count").alias("tokens"), F.floor(F.col("token_count") / 4).alias("brief_tokens"))
+    return context.assemble_context(items, 600, "path").select("path", "place", "included", "used")
+
+
+@query(SQL["regex_search"])
+def saved_regex_search(spark, d):
+    return filters.regex_search(in_documents(saved(spark, d)["sections"]), r"^the\b.*\bof\b").select("path")
+
+
+@query(SQL["fuzzy_search"])
+def saved_fuzzy_search(spark, d):
+    index = saved(spark, d)
+    return filters.fuzzy_match(in_documents(index["sections"]), "idiots the", distance=2, stems=False, words=index["words"], vocabulary=index["vocabulary"]).select("path")
+
+
+@query(SQL["stem_search"])
+def saved_stem_search(spark, d):
+    index = saved(spark, d)
+    return filters.fuzzy_match(in_documents(index["sections"]), "idiots stupidity", distance=None, words=index["words"], vocabulary=index["vocabulary"]).select("path")
+
+
+@query(
+    f"WITH {o.bm25(KEYWORD, TOP, documents=True)} SELECT query_id, path, round(score, 9) AS score FROM bm JOIN sec USING (section_id)"
+)
+def saved_bm25_search(spark, d):
+    index = saved(spark, d)
+    found = bm25.bm25_search(index, asked(spark, KEYWORD), TOP)
+    return found.join(index["sections"].select("section_id", "path"), "section_id").select("query_id", "path", F.round("score", 9).alias("score"))
+
+
+@query("SELECT true AS bm25, false AS vectors, 'keyword' AS recommended")
+def saved_modes(spark, d):
+    folder = saved(spark, d)["sections"].inputFiles()[0].rsplit("/", 2)[0]
+    return spark.createDataFrame([tuple(corpus.detect_modes(spark, folder).values())], "bm25 boolean, vectors boolean, recommended string")
+
+
+#: Names that whole queries had beside cut ones, which are gone.
+for _name in ("identities", "query_normal_forms", "extract_code_blocks", "vector_search", "vector_search_stats", "semantic_search", "rank_fusion"):
+    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]

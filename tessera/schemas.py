@@ -8,3 +8,5 @@ LINKS = "path string, line int, link_type string, href string, text string, sect
 CODE_BLOCKS = "path string, section_id string, language string, content string, start_line int, end_line int"
 VECTORS = "section_id string, path string, heading string, embedding array<float>, namespace string"
 TABLES = {"documents": DOCUMENTS, "sections": SECTIONS, "links": LINKS, "code_blocks": CODE_BLOCKS}
+#: What searches look up instead of the texts.
+SEARCH_TABLES = {"postings": "term string, section_id string, tf double, dl int", "term_stats": "term string, df bigint", "stats": "n_docs bigint, avg_dl double", "words": "word string, section_id string", "vocabulary": "word string, stem string"}

@@ -32,13 +32,13 @@ def test_near_duplicates_lose_no_pair_and_no_copy(spark, monkeypatch, block):
     assert classes == {i: (i - 200, 2) if 200 <= i < 230 else (230, 2) if i in (230, 231) else (i, 2 if i < 30 else 1) for i in (*range(232), 900)}
 
 
-@pytest.mark.parametrize("name", ["vector_search_whole", "vector_search_stats_whole", "approximate_search", "semantic_search_whole", "rank_fusion_whole"])
+@pytest.mark.parametrize("name", ["vector_search", "vector_search_stats", "approximate_search", "semantic_search", "rank_fusion"])
 def test_every_hundredth_vector_is_searched_for(spark, data, name):
     want = {r.vec_id for r in table(spark, data, "embeddings").filter("vec_id % 100 = 0").collect()}
     known = want & {r.doc_id for r in table(spark, data, "documents").collect()}  # the others may miss the threshold
     found = {r.query_id for r in queries.QUERIES[name](spark, data).select("query_id").distinct().collect()}
     assert known <= found <= want and len(known) > 1
-    if name in ("vector_search_stats_whole", "rank_fusion_whole"):
+    if name in ("vector_search_stats", "rank_fusion"):
         assert found == want
 
 
@@ -56,16 +56,16 @@ def test_whole_texts_are_named_and_asked(spark, tmp_path):
     word = "abcdefghi "
     rows = [(1, word * 7 + "end -- here!", "src0"), (2, "one" * 30 + " two three four five six", "src0"), (3, "x" * 70 + " y z?", "src0"), (4, "x" * 70 + " y z", "src0")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    slugs = {r.doc_id: r.slug for r in queries.identities_whole(spark, str(tmp_path)).collect()}
+    slugs = {r.doc_id: r.slug for r in queries.identities(spark, str(tmp_path)).collect()}
     assert slugs[1] == "abcdefghi-" * 7 + "end-here" and slugs[2].endswith("-two-three-four-five-six")
-    forms = {r.doc_id: (r.query, r.expand) for r in queries.query_normal_forms_whole(spark, str(tmp_path)).collect()}
+    forms = {r.doc_id: (r.query, r.expand) for r in queries.query_normal_forms(spark, str(tmp_path)).collect()}
     assert forms[1] == (word * 7 + "end here", True)
     assert [forms[i][1] for i in (2, 3, 4)] == [True, True, False]
 
 
 def test_code_blocks_of_every_language_are_extracted(spark, tmp_path):
     spark.createDataFrame([(1, "a\nb", "en", "src0"), (2, "c", "fr", "src0"), (3, "d", None, "src1")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    found = queries.extract_code_blocks_whole(spark, str(tmp_path)).orderBy("doc_id").collect()
+    found = queries.extract_code_blocks(spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [tuple(r) for r in found] == [(1, "src0", "a\nb", 3, 6), (2, "src0", "c", 3, 5), (3, "src1", "d", 3, 5)]
 
 
