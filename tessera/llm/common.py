@@ -62,6 +62,16 @@ def discard(*tables: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def written_tables() -> set[int]:
+    """The written tables that there are now, for discard_but."""
+    return set(_paths)
+
+
+def discard_but(out: DataFrame, before: set[int]) -> None:
+    """Delete the tables that were written since ``before``, but for ``out``, once nothing reads them any more."""
+    discard(*(df for k, (df, _) in list(_paths.items()) if k not in before and df is not out))
+
+
 def bounded(path: str, most: int = 64 << 20) -> bytes:
     """The bytes of a model file for a broadcast; larger than ``most`` is an error."""
     if (size := os.path.getsize(path)) > most:

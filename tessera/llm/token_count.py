@@ -37,6 +37,8 @@ class MergeCounter:
         model = json.loads(model_json)
         if model["model"]["type"] != "BPE" or (model["pre_tokenizer"] or {}).get("type") != "ByteLevel":
             raise ValueError("a byte-level BPE vocabulary is needed")
+        if model.get("normalizer") or model["pre_tokenizer"].get("add_prefix_space") or not model["pre_tokenizer"].get("use_regex", True):
+            raise ValueError("a vocabulary that changes texts before words are parted isn't known here")
         symbols = byte_symbols()
         number: dict[str, int] = {s: i for i, s in enumerate(symbols)}
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
