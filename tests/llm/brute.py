@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -70,6 +71,27 @@ def leaks(docs: list[tuple[int, str]], items: list[tuple[int, str]]) -> dict[int
     return out
 
 
+def weighted_leaks(docs: list[str], items: list[tuple[int, str]]) -> list[dict[int, tuple[int, float]]]:
+    """For each text the leaked items with the first word and the similarity of the best window, shingles weighing by
+    how few items hold them."""
+    bags = [Counter(shingles(body)) for _, body in items]
+    df = Counter(s for bag in bags for s in bag)
+    weigh = lambda s: math.log1p(len(items) / df[s]) / math.log1p(len(items)) if s in df else 1.0
+    out = []
+    for text in docs:
+        words, found = lowered(text), {}
+        for (item, body), want in zip(items, bags):
+            n = len(lowered(body))
+            for s in range(max(1, len(words) - n + 1)):
+                have = Counter(shingles(" ".join(words[s : s + n])))
+                common = sum(c * weigh(x) for x, c in (have & want).items())
+                score = round(common / (sum(c * weigh(x) for x, c in have.items()) + sum(c * weigh(x) for x, c in want.items()) - common), 9)
+                if score >= 0.75 and (item not in found or (score, -s) > (found[item][1], -found[item][0])):
+                    found[item] = (s, score)
+        out.append(found)
+    return out
+
+
 def quality(text: str | None) -> tuple:
     t = text or ""
     words = WORD.findall(t)

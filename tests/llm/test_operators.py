@@ -81,6 +81,49 @@ def test_packing_keeps_three_limits(spark, library):
     assert sum(r["n_loss"] for r in out) == want
 
 
+def test_packing_takes_odd_rows(spark, library):
+    text = "some words of a text " * 90
+    rows = [(1, text, "a prompt", 5), (1, text, "a prompt", 5), (2, None, None, 5), (None, "", "only a prompt " * 900, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, prompt string, length long").coalesce(1)
+    ranks, special = queries.tokenizer("byte_bpe_50k.tiktoken"), {"<|endoftext|>": 50256}
+    out = packing.pack(df, ranks, special, prompt="prompt", limits=(512, 4, 300)).collect()
+    ids = {1: len(ids_of(library, text)) + 1, 2: 1}
+    prompt = {1: len(ids_of(library, "a prompt")), None: len(ids_of(library, "only a prompt " * 900)), 2: 0}
+    total = {}
+    for r in out:
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
+        assert r["length"] <= 512 and r["n_loss"] <= 300
+    assert total == {1: 2 * (ids[1] + prompt[1]), 2: 1, None: prompt[None] + 1}
+    assert packing.pack(df.limit(0), ranks, special, prompt="prompt").count() == 0
+    by = {}
+    for r in out:
+        by.setdefault(r["sequence_id"], []).append(r)
+    assert all(sum(r["length"] for r in own) <= 512 and len(own) <= 4 and sum(r["n_loss"] for r in own) <= 300 for own in by.values())
+
+
+def test_packing_fills_as_well_as_first_fit(spark, library):
+    """The share of padding is no more than that of first-fit decreasing on the same examples, under the same limits."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "word " * int(rng.integers(1, 400)), "ask " * int(rng.integers(0, 200))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, prompt string").coalesce(1)
+    limits = (512, 6, 320)
+    out = packing.pack(df, queries.tokenizer("byte_bpe_50k.tiktoken"), {}, prompt="prompt", limits=limits).collect()
+    demands = sorted(([len(ids_of(library, p)) + (n := len(ids_of(library, t)) + 1), 1, n] for _, t, p in rows), reverse=True)
+    bins = []
+    for d in (d for d in demands if d[0] <= limits[0] and d[2] <= limits[2]):
+        room = next((b for b in bins if all(x + y <= z for x, y, z in zip(b, d, limits))), None)
+        if room is None:
+            bins.append(list(d))
+        else:
+            room[:] = [x + y for x, y in zip(room, d)]
+    size = {}
+    for r in out:
+        size[r["sequence_id"]] = size.get(r["sequence_id"], 0) + r["length"]
+    padded = lambda n: 0 if n & (n - 1) == 0 else 512 - n
+    share = sum(padded(n) for n in size.values()) / sum(size.values())
+    assert share <= sum(512 - b[0] for b in bins) / sum(b[0] for b in bins)
+
+
 # URL filters
 
 
@@ -116,6 +159,14 @@ def test_url_filter_takes_partial_segments_and_empty_tables(spark):
         url_filter.filter_urls(spark.createDataFrame([], "url string"), [("deny", "a/")])
 
 
+def test_url_filter_takes_repeated_rows_long_urls_and_equal_patterns(spark):
+    long = "http://" + "a." * 3000 + "b/" + "x/" * 20_000
+    df = spark.createDataFrame([(1, long), (1, long), (2, "http://c.b/x"), (2, "http://c.b/x")], "page_id long, url string")
+    for most in (url_filter.MOST_BROADCAST, 0):
+        rows = url_filter.filter_urls(df, [("block", "b/x/x"), ("allow", "b/x/x"), ("allow", "c.b/"), ("block", "c.b/")], most_broadcast=most).collect()
+        assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in rows) == [(1, "b/x/x", "block")] * 2 + [(2, "c.b/", "allow")] * 2
+
+
 # Classifiers
 
 
@@ -144,6 +195,67 @@ def test_classifiers_take_odd_rows(spark, messy_df, module, name, label):
         f(messy_df, labels.limit(0))
 
 
+def test_selected_ngrams_match_brute_force(spark):
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("abé日 "), rng.integers(0, 60))) + ("zzß" if k % 2 and k % 7 else "") for k in range(800)]
+    rows = spark.createDataFrame([(t, k % 2) for k, t in enumerate(texts)], "text string, label int").repartition(3)
+    counts = {}
+    for k, t in enumerate(texts):
+        grams = {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+        for b in {int(linear_ngrams.gram_buckets(linear_ngrams.code_points(g, False), len(g))[0]) for g in grams}:
+            counts.setdefault(b, [0, 0])[k % 2] += 1
+    want = {}
+    for b, (n0, n1) in counts.items():
+        p0, p1 = (n0 + 0.5) / 401, (n1 + 0.5) / 401
+        error = (1 / (n0 + 0.5) - 1 / 401 + 1 / (n1 + 0.5) - 1 / 401) ** 0.5
+        if abs(np.log(p1 / p0)) > 4 * error:
+            want[b] = np.log(p1 / p0)
+    buckets, ratios = linear_ngrams.select(rows, (1, 3), False)
+    assert want and buckets.tolist() == sorted(want) and np.allclose(ratios, [want[b] for b in sorted(want)])
+
+
+def test_long_texts_are_parted_without_loss(monkeypatch):
+    texts = ["", "ab", "abcdefgh" * 40 + "xyz", "q" * 90, "", "é日本" * 30]
+    found = [sorted(f.tolist()) for f in linear_ngrams.Indicators((1, 4), True)(texts)]
+    monkeypatch.setattr(linear_ngrams, "CHUNK", 50)
+    assert [sorted(f.tolist()) for f in linear_ngrams.Indicators((1, 4), True)(texts)] == found
+    assert found == [sorted({int(linear_ngrams.gram_buckets(linear_ngrams.code_points(t[i : i + n], True), n)[0]) for n in range(1, 5) for i in range(len(t) - n + 1)}) for t in texts]
+
+
+def test_linear_models_are_optimal():
+    rng = np.random.default_rng(10)
+    n, k = 60, 12
+    x = rng.normal(size=(n, k)) * (rng.random((n, k)) < 0.5)
+    label = (x @ rng.normal(size=k) + rng.normal(size=n) > 0).astype(int)
+    row, feature = np.nonzero(x)
+    weight = np.where(label == 1, 0.7, 1.3)
+    w, bias = toxicity.logistic(row, feature, x[row, feature], label, k, weight, ridge=0.5)
+
+    def loss(v):
+        return weight @ np.logaddexp(0, -(2 * label - 1) * (x @ v[:-1] + v[-1])) + 0.25 * v[:-1] @ v[:-1]
+
+    best = loss(np.append(w, bias))
+    assert all(loss(np.append(w, bias) + step) >= best - 1e-6 for step in rng.normal(size=(300, k + 1)) * rng.choice([1e-3, 0.1, 1], (300, 1)))
+    # hinge loss: the dual's value is the primal's
+    sign, cost = 2.0 * label - 1, np.full(n, 0.5)
+    rows = [(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in x]
+    w = quality_model.dual_descent(rows, sign, cost, k, passes=3000)
+    ones = np.column_stack((x, np.ones(n)))
+    primal = lambda v: 0.5 * v @ v + cost @ np.maximum(0, 1 - sign * (ones @ v))
+    assert all(primal(w + step) >= primal(w) - 1e-2 for step in rng.normal(size=(300, k + 1)) * rng.choice([1e-3, 0.1, 1], (300, 1)))
+
+
+@pytest.mark.parametrize("module, name, label", [(toxicity, "score_toxicity", "toxic"), (quality_model, "score_quality", "quality")])
+def test_classifiers_take_empty_tables_and_long_texts(spark, messy_df, module, name, label):
+    f = getattr(module, name)
+    labels = messy_df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias(label))
+    long_one = messy_df.filter("doc_id = 33").withColumn("text", F.repeat("text", 30))
+    rows = f(messy_df.unionByName(long_one), labels).filter("doc_id = 33").select("score").collect()
+    assert len(rows) == 2
+    with pytest.raises(ValueError):
+        f(messy_df.limit(0), labels)
+
+
 def test_labels_of_held_out_rows_are_never_learnt_from(spark, data):
     docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
     turned = labels.withColumn("toxic", F.when(linear_ngrams.held_out("doc_id", 4, 2), 1 - F.col("toxic")).otherwise(F.col("toxic")))
@@ -168,11 +280,14 @@ def test_repeats_match_brute_force(spark, messy, messy_df):
     assert suffix_dedup.digest(none_of(spark, messy_df)).count() == 0
 
 
-def test_repeats_across_tiles_match_brute_force(spark, messy, messy_df, monkeypatch):
-    for name, n in (("TILE", 2), ("ONE_IN", 1), ("HOT", 3)):
+@pytest.mark.parametrize("one_in", [1, 1 << 30])  # anchors known to be hot before they are dealt, or found so
+def test_hot_anchors_match_brute_force(spark, messy, monkeypatch, one_in):
+    for name, n in (("TILE", 2), ("ONE_IN", one_in), ("HOT", 3)):
         monkeypatch.setattr(suffix_dedup, name, n)
-    rows = suffix_dedup.digest(messy_df).collect()
-    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == brute.dedup(messy)
+    passage = dict(messy)[20][300:700]
+    docs = [*messy, *((100 + k, f"{k * 7919 % 1000} {'xyz'[: k % 4]}{passage[k * 5 % 60 : 400 - k % 90]} {k * 104729 % 1000}") for k in range(40))]
+    rows = suffix_dedup.digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == brute.dedup(docs)
 
 
 def test_repeats_with_repeated_and_null_ids(spark, messy, messy_df):
@@ -188,6 +303,14 @@ def test_repeats_with_repeated_and_null_ids(spark, messy, messy_df):
     assert cleaned.filter("doc_id = 20").first()["text"] == dict(messy)[20]
 
 
+def test_repeats_leave_columns_of_the_same_names(spark, messy, messy_df):
+    names = ("doc", "id", "start", "stop", "spans", "body", "key")
+    df = messy_df.select("*", *(F.lit(f"own {n}").alias(n) for n in names))
+    cleaned = suffix_dedup.without_repeats(df)
+    assert cleaned.columns == df.columns and all(r[n] == f"own {n}" for r in cleaned.collect() for n in names)
+    assert suffix_dedup.digest(df).count() == len(messy)
+
+
 # Decontamination
 
 
@@ -208,13 +331,49 @@ def test_leaks_match_brute_force(spark, messy, messy_df):
     assert decontaminate.without_leaks(df.limit(0), bench).count() == 0
 
 
-def test_lookup_finds_all_within_the_radius():
+@pytest.mark.parametrize("n", [50, 9000])  # few values of a block, and more than masks
+def test_lookup_finds_all_within_the_radius(n):
     rng = np.random.default_rng(1)
-    index = decontaminate.Index([(i, " ".join(map(str, rng.integers(0, 999, 30)))) for i in range(50)])
-    for k in range(50):
+    prints = rng.integers(0, 2**64, n, dtype=np.uint64)
+    blocks = decontaminate.Blocks(prints, 22)
+    for k in range(40):
         for bits in (0, 5, 14, 22):
-            flips = sum(1 << int(b) for b in rng.choice(64, bits, replace=False))
-            assert k in index.lookup(index.prints[k] ^ np.uint64(flips))
+            flipped = prints[k] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, bits, replace=False)))
+            want = np.flatnonzero(np.bitwise_count(prints ^ flipped) <= 22)
+            assert k in want and blocks.lookup(flipped).tolist() == want.tolist()
+
+
+def test_weighted_similarity_matches_brute_force():
+    """Windows of edited items: exact weighted similarity, and the share of leaks that the Hamming radius finds."""
+    rng = np.random.default_rng(13)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(k, " ".join(rng.choice(vocabulary, rng.integers(30, 110)))) for k in range(30)]
+    items += [(30 + k, items[k][1] + " and more") for k in range(5)] + [(3, items[7][1])]  # shared shingles, and an item of two texts
+    docs = []
+    for k in range(90):
+        words = items[k % 30][1].split(" ")
+        for _ in range(k % 4):
+            words[rng.integers(len(words))] = "edited"
+        docs.append(" ".join([*rng.choice(vocabulary, 6), *words, *rng.choice(vocabulary, 6)]))
+    want = brute.weighted_leaks(docs, items)
+    index = decontaminate.Index(items)
+    missed = found = 0
+    for text, leaks in zip(docs, want):
+        got = {i: (start, score) for i, start, score in index.search(text.encode())}
+        assert set(got) <= set(leaks)
+        for item, (start, score) in leaks.items():
+            found, missed = found + (item in got), missed + (item not in got)
+            assert item not in got or (np.isclose(got[item][1], score) and got[item][0] == start)
+    assert found > 50 and missed <= 0.02 * found
+
+
+def test_decontamination_takes_long_texts_and_extra_columns(spark, messy):
+    by = dict(messy)
+    bench = spark.createDataFrame([(1, by[33][5000:5400]), (1, by[41]), (2, by[33][5000:5400])], "item_id long, text string")
+    docs = spark.createDataFrame([(33, by[33] * 20, "x"), (33, by[33] * 20, "x"), (None, by[41], "y")], "doc_id long, text string, item_id string")
+    rows = decontaminate.find_leaks(docs, bench).collect()
+    assert [sorted(x["item_id"] for x in r["leaked_items"]) for r in sorted(rows, key=lambda r: r["doc_id"] or 0)] == [[1], [1, 2], [1, 2]]
+    assert {r["item_id"] for r in rows} == {"x", "y"}
 
 
 # Quality rules
@@ -245,6 +404,41 @@ def test_quality_fences_reject_outliers_of_their_source(spark, messy):
     assert not kept.pop(99) and all(kept.values())
 
 
+def test_quality_fences_follow_the_spread_of_a_source(spark, messy):
+    """The same outlier is kept in a source whose documents vary and rejected in one whose don't, for every measure."""
+    rng = np.random.default_rng(6)
+    word = lambda size: "".join(rng.choice(list("abcdefgh"), size))
+
+    def text(n=200, length=5, symbols=0, equal_lines=0, repeats=0):
+        words = [word(length) for _ in range(n)]
+        words[:symbols] = [w + "$" for w in words[:symbols]]
+        words[20 : 20 + 3 * repeats] = words[:3] * repeats
+        lines = [" ".join(words[i : i + 10]) for i in range(0, n, 10)]
+        return "\n".join(lines + [lines[-1][:40]] * 0 + ["an equal line"] * (equal_lines + 1))
+
+    def varied(k):
+        return text(int(60 * 1.12 ** (k % 30)), 3 + k % 9, (k % 10) * 6, k % 10, 0)
+
+    odd = {"n_words": text(6000), "word_length": text(length=12), "symbol_share": text(symbols=60), "dup_line_share": text(equal_lines=12)}
+    for source, make in (("even", lambda k: text()), ("varied", varied)):
+        rows = [(k, make(k), "en", source) for k in range(60)] + [(100 + i, t, "en", source) for i, t in enumerate(odd.values())]
+        kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+        assert all(kept[k] for k in range(60)), source
+        assert [kept[100 + i] for i in range(len(odd))] == [source == "varied"] * len(odd)
+
+
+def test_quality_takes_clashing_names_null_groups_and_long_lines(spark, messy):
+    good = [t for i, t in messy if i and i >= 40]
+    rows = [(k, good[k % 25], None, None, k, "mine", True) for k in range(50)] + [(60, None, None, None, 1, "mine", None), (61, "word " * 50_000, "en", None, 2, "mine", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_lines long, word_length_low string, kept boolean").withColumn("nothing", F.lit(None))
+    out = quality_rules.judge(df)
+    assert set(out.columns) == {*df.columns, *quality_rules.MEASURES, "base_failed"}
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert len(got) == 52 and got[3]["n_lines"] == 3 and got[3]["word_length_low"] == "mine" and got[3]["kept"] and not got[60]["kept"] and got[61]["base_failed"]
+    kept = quality_rules.keep_good(df)
+    assert kept.columns == df.columns and {r["n_lines"] for r in kept.collect()} == {r["n_lines"] for r in out.filter("kept").collect()}
+
+
 def test_quality_rules_are_native(spark, messy_df):
     plan = quality_rules.keep_good(messy_df)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
@@ -261,6 +455,22 @@ def test_roles_are_recovered(spark):
     assert all(r["rendered"].startswith(f"<|{r['found']}|>\n") for r in rows)
 
 
+def test_paths_match_enumeration():
+    """Viterbi's path has the best score of all paths, and stretches chained by their matrices give the same."""
+    from itertools import product
+
+    rng = np.random.default_rng(12)
+    n, emit = chat_format.N, sum(chat_format.SIZES)
+    for length in (1, 2, 4):
+        start, step = np.log(rng.dirichlet(np.ones(n))), np.log(rng.dirichlet(np.ones(n), n))
+        decoder = chat_format.Decoder(start, step, np.log(rng.random((emit, n))))
+        scores = decoder.scores([tuple(int(rng.integers(s)) for s in chat_format.SIZES) for _ in range(length)])
+        score = lambda p: start[p[0]] + scores[0, p[0]] + sum(step[a, b] + scores[i, b] for i, (a, b) in enumerate(zip(p, p[1:]), 1))
+        best = max(product(range(n), repeat=length), key=score)
+        assert decoder.path(scores, None, None).tolist() == list(best)
+        assert np.isclose(decoder.matrix(scores)[n].max(), score(best))
+
+
 def test_a_conversation_over_many_tasks_is_one(spark, data):
     raw = chat_format.transcripts(spark.read.parquet(f"{data}/conversations.parquet"))
     model = chat_format.learn(raw, "conv_id", "turn", "text", "role")
@@ -312,7 +522,47 @@ def test_keys_of_similar_sets_meet():
             s = rng.integers(0, 2**63, n).astype(np.uint64)
             drop = int(n * 0.25)
             a, b = np.sort(s), np.sort(s[drop:])
-            assert not parity_join.linked(a, b) or set(parity_join.sketch(a)[0].tolist()) & set(parity_join.sketch(b)[0].tolist())
+            assert not parity_join.linked(a, b) or set(parity_join.block_keys(a)[0].tolist()) & set(parity_join.block_keys(b)[0].tolist())
+
+
+def test_sketches_never_reject_a_link():
+    rng = np.random.default_rng(8)
+    rejected = 0
+    for n in (1, 5, 40, 64, 65, 129, 130, 131, 400, 2000):
+        for share in (0.5, 0.7, 0.74, 0.75, 0.76, 0.9):
+            union = rng.integers(0, 2**63, n).astype(np.uint64)
+            common = round(share * len(union))
+            a, b = np.sort(union[: (len(union) + common) // 2]), np.sort(union[(len(union) - common) // 2 :])
+            sa, sb = parity_join.sketch(a), parity_join.sketch(b)
+            size = min(len(sa), len(sb))
+            apart = np.bitwise_count(parity_join.folded(sa, size) ^ parity_join.folded(sb, size)).sum()
+            assert apart <= len(np.setxor1d(a, b))
+            passes = parity_join.may_link(len(a), sa, len(b), sb)
+            assert passes or not parity_join.linked(a, b)
+            rejected += not passes
+            assert share > 0.55 or n < 64 or not passes
+    assert rejected
+
+
+def test_texts_of_a_repeated_id_all_link(spark, messy):
+    by = dict(messy)
+    rows = [(1, by[40]), (1, by[10]), (2, by[12]), (3, by[40] + " more"), (4, by[41]), (4, by[42]), (5, by[42]), (5, by[41]), (6, by[43])]
+    found = parity_join.join_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)} and len(found) == len(rows)
+
+
+def test_linked_pairs_are_all_found(spark):
+    """Recall against brute force: pairs at the threshold, in every size band."""
+    rng = np.random.default_rng(11)
+    docs = []
+    for k, n in enumerate((20, 64, 70, 120, 140, 250, 300, 500, 700, 1200) * 4):
+        words = [f"p{k}w{i}" for i in range(n + 4)]
+        docs.append((2 * k, " ".join(words)))
+        cut = int(n * 0.25) - 1  # a suffix of three quarters of the shingles
+        docs.append((2 * k + 1, " ".join(words[cut:])))
+    docs = [docs[i] for i in rng.permutation(len(docs))]
+    found = parity_join.join_similar(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == brute.components(docs)
 
 
 def test_one_of_each_group_stays(spark, messy_df):
@@ -333,6 +583,21 @@ def test_token_counts_match_the_library(spark, messy, messy_df, library):
     assert token_count.count_tokens(none_of(spark, messy_df), queries.tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+def test_token_counts_take_repeated_rows_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", 9), (1, "a b", 9)], "doc_id long, text string, n_tokens long")
+    rows = token_count.count_tokens(df, queries.tokenizer("byte_bpe_50k.json")).collect()
+    assert [(r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in rows] == [(3, 2, False)] * 2
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": {"type": "Whitespace"}}])
+def test_vocabularies_that_change_texts_are_rejected(change):
+    import json
+
+    model = json.load(open(queries.tokenizer("byte_bpe_50k.json"))) | change
+    with pytest.raises(ValueError):
+        token_count.MergeCounter(json.dumps(model).encode())
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=80))
 def test_merges_match_the_library(text):
