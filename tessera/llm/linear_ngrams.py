@@ -1,7 +1,9 @@
-"""What the two text classifiers share: byte n-gram indicators, class log-count ratios, scoring of whole texts.
+"""What the two text classifiers share: character n-gram indicators, class log-count ratios, scoring of whole texts.
 
-A model is a bias, the weights of the selected n-gram buckets, and two calibration numbers; it is fitted in one
-task on a bounded sample of labelled rows and broadcast (its size is bounded by ``1 << BITS`` buckets).
+N-grams are of code points, hashed to ``1 << BITS`` buckets. A model is learnt from a bounded sample of labelled rows with
+whole texts of any length: tasks count the buckets of each class, ranges of buckets are added up and those that tell the
+classes apart selected, tasks look up what each text has of them, and one task fits the weights to these short rows. A
+model (a bias, the weights of the selected buckets, two calibration numbers) is broadcast; the buckets bound its size.
 """
 
 from __future__ import annotations
@@ -15,14 +17,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import joined_bytes
+from tessera.llm.common import discard, written
 
-#: Buckets of the hashed n-grams, and the bytes of text that are scored at once.
-BITS, CHUNK = 20, 2 << 20
-#: Bounds of the sample that a model is fitted on: rows of each class, and the characters of a row's text.
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
+#: Buckets of the hashed n-grams, and the characters that are worked on at once: longer texts are parted.
+BITS, CHUNK = 20, 1 << 20
+#: Bound of the sample that a model is fitted on: rows of each class. And the tasks that read it.
+SAMPLE_ROWS, TASKS = 4000, 32
 #: An n-gram is selected if its log-count ratio is so many standard errors from 0.
 STANDARD_ERRORS = 4.0
+#: Buckets are added up in so many ranges.
+RANGES = 16
 
 
 @dataclass
@@ -39,11 +43,11 @@ class Model:
 
 
 def gram_buckets(data: np.ndarray, n: int) -> np.ndarray:
-    """The bucket of the n-gram that begins at each byte."""
+    """The bucket of the n-gram that begins at each character."""
     m = len(data) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint32)
-    h = data[:m].astype(np.uint32)
+    h = data[:m].copy()
     for k in range(1, n):
         h *= np.uint32(0x01000193)
         h += data[k : k + m]
@@ -53,62 +57,90 @@ def gram_buckets(data: np.ndarray, n: int) -> np.ndarray:
     return h >> np.uint32(32 - BITS)
 
 
-def indicators(texts: list[bytes], orders: tuple[int, int], place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, bucket) pairs in order of the text; with ``place``, of those buckets alone whose place is 0 or more."""
-    data, starts = joined_bytes(texts)
-    of = np.repeat(np.arange(len(texts)), np.diff(starts))
-    pairs = []
-    for n in range(orders[0], orders[1] + 1):
-        b = gram_buckets(data, n)
-        if not len(b):
-            continue
-        inside = of[: len(b)] == of[n - 1 :]  # the n-gram ends in the text it begins in
-        if place is not None:
-            b = place[b]
-            inside &= b >= 0
-        at = np.flatnonzero(inside)
-        pairs.append((of[at].astype(np.int64) << BITS) | b[at].astype(np.int64))
-    if not pairs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.unique(np.concatenate(pairs))
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
-
-
-def encoded(texts, lower: bool) -> list[bytes]:
-    return [t.encode("utf-8").lower() if lower else t.encode("utf-8") for t in texts]
-
-
-def select(texts: list[bytes], labels: np.ndarray, orders: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Selected buckets, their log-count ratios, and the sample's indicators (row, place among the selected)."""
-    step = 100
-    counts = np.zeros((2, 1 << BITS))
-    for first in range(0, len(texts), step):
-        row, bucket = indicators(texts[first : first + step], orders)
-        for c in (0, 1):
-            counts[c] += np.bincount(bucket[labels[first + row] == c], minlength=1 << BITS)
-    n = np.array([(labels == c).sum() for c in (0, 1)])
+def code_points(text: str, lower: bool) -> np.ndarray:
+    return np.frombuffer((text.lower() if lower else text).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def places(buckets: np.ndarray) -> np.ndarray:
+    """Of each bucket its place among the selected ones, or -1."""
+    place = np.full(1 << BITS, -1, np.int32)
+    place[buckets] = np.arange(len(buckets), dtype=np.int32)
+    return place
+
+
+class Indicators:
+    """The distinct features of texts: their buckets, or with ``place`` the places of selected buckets."""
+
+    def __init__(self, orders: tuple[int, int], lower: bool, place: np.ndarray | None = None):
+        self.orders, self.lower, self.place = orders, lower, place
+        self.seen = np.zeros(1 << BITS, np.int64)
+
+    def _distinct(self, found: np.ndarray) -> np.ndarray:
+        at = np.arange(len(found))
+        self.seen[found] = at  # the last of equal ones stays
+        return found[self.seen[found] == at]
+
+    def _together(self, texts: list[np.ndarray]) -> Iterator[np.ndarray]:
+        data = np.concatenate(texts) if len(texts) > 1 else texts[0]
+        starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        parts = []
+        for n in range(self.orders[0], self.orders[1] + 1):
+            b = gram_buckets(data, n)
+            f = b.astype(np.int32) if self.place is None else self.place[b]
+            over = (starts[1:, None] - np.arange(1, n)).ravel()  # these n-grams end in another text
+            f[over[(over >= 0) & (over < len(f))]] = -1
+            at = np.flatnonzero(f >= 0)
+            parts.append((f[at], np.searchsorted(at, starts)))
+        for k in range(len(texts)):
+            yield self._distinct(np.concatenate([f[edge[k] : edge[k + 1]] for f, edge in parts]))
+
+    def __call__(self, texts) -> Iterator[np.ndarray]:
+        waiting, size = [], 0
+        for text in texts:
+            data = code_points(text, self.lower)
+            if size + len(data) > CHUNK and waiting:
+                yield from self._together(waiting)
+                waiting, size = [], 0
+            if len(data) > CHUNK:
+                step = [data[a : a + CHUNK + self.orders[1] - 1] for a in range(0, len(data), CHUNK)]
+                yield self._distinct(np.concatenate([f for piece in step for f in self._together([piece])]))
+                continue
+            waiting.append(data)
+            size += len(data)
+        if waiting:
+            yield from self._together(waiting)
+
+
+def log_ratios(counts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-count ratio of each bucket, and whether it tells the classes apart; counts are texts of class 0 and 1 with it."""
     share = (counts + 0.5) / (n + 1)[:, None]
-    ratio = np.log(share[1] / share[0])
     error = np.sqrt(1 / (counts + 0.5) - 1 / (n + 1)[:, None]).clip(1e-3)
-    buckets = np.flatnonzero(np.abs(ratio) > STANDARD_ERRORS * np.hypot(*error))
-    place = np.full(1 << BITS, -1, np.int64)
-    place[buckets] = np.arange(len(buckets))
-    # the texts are read again for the selected n-grams: all n-grams of a sample are too many to keep
-    kept = [np.zeros((2, 0), np.int32)]
-    for first in range(0, len(texts), step):
-        row, feature = indicators(texts[first : first + step], orders, place)
-        kept.append(np.stack((first + row, feature)).astype(np.int32))
-    row, feature = np.concatenate(kept, axis=1)
-    return buckets, ratio[buckets], row, feature
-
-
-def margins(model: Model, texts: list[bytes], place: np.ndarray) -> np.ndarray:
-    """The linear score of each text."""
-    row, feature = indicators(texts, model.orders, place)
-    out = np.bincount(row, model.weights[feature], len(texts)).astype(np.float64)
-    if model.unit:
-        out /= np.sqrt(np.bincount(row, model.ratios[feature] ** 2, len(texts)).astype(np.float64)).clip(1e-9)
-    return out + model.bias
+    ratio = np.log(share[1] / share[0])
+    return ratio, np.abs(ratio) > STANDARD_ERRORS * np.hypot(*error)
+
+
+def select(rows: DataFrame, orders: tuple[int, int], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The selected buckets in order and their log-count ratios, from rows (text, label)."""
+    width = (1 << BITS) // RANGES
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, n, indicators = np.zeros((2, 1 << BITS), np.int32), [0, 0], Indicators(orders, lower)
+        for batch in batches:
+            for label, found in zip(batch["label"], indicators(batch["text"])):
+                counts[label, found] += 1
+                n[label] += 1
+        if sum(n):
+            yield pd.DataFrame([(k, *n, counts[:, k * width : (k + 1) * width].tobytes()) for k in range(RANGES)], columns=["k", "n0", "n1", "counts"])
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = sum(np.frombuffer(c, np.int32).reshape(2, width).astype(np.int64) for c in pdf["counts"])
+        ratio, apart = log_ratios(counts, pdf[["n0", "n1"]].sum().to_numpy(np.int64))
+        at = np.flatnonzero(apart)
+        return pd.DataFrame({"bucket": at + int(pdf["k"].iloc[0]) * width, "ratio": ratio[at]})
+
+    told = rows.select("text", "label").mapInPandas(counted, "k int, n0 long, n1 long, counts binary").groupBy("k").applyInPandas(added, "bucket long, ratio double")
+    found = told.toPandas().sort_values("bucket")  # as many as there are buckets at most
+    return found["bucket"].to_numpy(np.int64), found["ratio"].to_numpy(np.float64)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -134,8 +166,8 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, id_col: str, text: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """At most ``rows`` labelled ids of each class (those of smallest hash) with texts of at most ``chars``: (text, label, prior).
+def sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, id_col: str, text: str, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most ``rows`` labelled ids of each class (those of smallest hash): (__id, text, label, prior).
 
     ``prior`` is the class's share of all learnable labels. Ids with two different labels aren't used.
     """
@@ -143,30 +175,53 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, id
     prior = ids.agg(F.avg("label").alias("prior"))
     order = F.xxhash64(F.col(id_col).cast("string"))
     some = [ids.filter(F.col("label") == c).orderBy(order, id_col).limit(rows) for c in (0, 1)]
-    chosen = some[0].union(some[1]).crossJoin(F.broadcast(prior)).select(F.col(id_col).alias("__id"), "label", "prior")
-    short = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.length("text") <= chars)
+    chosen = some[0].union(some[1]).crossJoin(F.broadcast(prior)).select(F.col(id_col).alias("__id"), F.col("label").cast("int").alias("label"), "prior")
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # at most 2 * rows ids are broadcast; of repeated ids one text is used
-    return short.join(F.broadcast(chosen), "__id").groupBy("__id", "label", "prior").agg(F.min("text").alias("text"))
+    return texts.join(F.broadcast(chosen), "__id").groupBy("__id", "label", "prior").agg(F.min("text").alias("text"))
 
 
-def fit(rows: DataFrame, trainer: Callable[[list[str], np.ndarray, float], Model]) -> Model:
-    """Run the trainer in one task over the bounded sample."""
+Trainer = Callable[[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, float], tuple[np.ndarray, float, float, float]]
 
-    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__id", kind="stable")
-        model = trainer(list(pdf["text"]), pdf["label"].to_numpy(np.int64), float(pdf["prior"].iloc[0]))
-        return pd.DataFrame({"model": [pickle.dumps(model)]})
 
-    found = rows.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(fitted, "model binary").collect()
-    if not found:
+def fit(rows: DataFrame, trainer: Trainer, orders: tuple[int, int], lower: bool, unit: bool, apart: int = 0) -> Model:
+    """Learn from a sample. Of the ids one in ``apart`` is kept from fitting, for calibration (0: none).
+
+    ``trainer`` gets each row's selected features, the labels, which rows are kept apart, the features' ratios and the
+    prior, and returns weights, bias, slope and shift. It runs in one task, over features of the bounded sample.
+    """
+    aside = F.pmod(F.xxhash64(F.col("__id").cast("string"), F.lit(5)), F.lit(apart)) == 0 if apart else F.lit(False)
+    rows = written(rows.withColumn("aside", aside).repartition(TASKS, "__id"))
+    sizes = {(r["label"], r["aside"]): r["n"] for r in rows.groupBy("label", "aside").agg(F.count("*").alias("n")).collect()}
+    total = [sum(n for (label, _), n in sizes.items() if label == c) for c in (0, 1)]
+    if not sum(total):
+        discard(rows)
         raise ValueError("no labelled row can be learnt from")
-    return pickle.loads(found[0]["model"])
+    if not all(total):  # one class alone: its smoothed share for every text
+        discard(rows)
+        share, none = (total[1] + 1) / (sum(total) + 2), np.zeros(0)
+        return Model(none.astype(np.int64), none, float(np.log(share / (1 - share))), 1.0, 0.0, orders, lower, False, none)
+    if not all(sizes.get((c, side)) for c in (0, 1) for side in (True, False)):
+        apart = 0  # too few rows to set some apart
+    own = rows.withColumn("aside", F.col("aside") & F.lit(apart > 0))
+    buckets, ratios = select(own.filter("NOT aside"), orders, lower)
+    shared = rows.sparkSession.sparkContext.broadcast(buckets)
+
+    def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        indicators = Indicators(orders, lower, places(shared.value))
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["__id"], "label": batch["label"], "aside": batch["aside"], "prior": batch["prior"], "features": [np.sort(f).astype(np.int32).tobytes() for f in indicators(batch["text"])]})
 
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        w = trainer([np.frombuffer(f, np.int32) for f in pdf["features"]], pdf["label"].to_numpy(np.int64), pdf["aside"].to_numpy(bool), ratios, float(pdf["prior"].iloc[0]))
+        return pd.DataFrame({"model": [pickle.dumps(w)]})
 
-def constant(label: float, orders: tuple[int, int], lower: bool) -> Model:
-    """The model of a sample with one class alone: the smoothed share of that class for every text."""
-    none = np.zeros(0)
-    return Model(none.astype(np.int64), none, float(np.log(label / (1 - label))), 1.0, 0.0, orders, lower, False, none)
+    kind = rows.schema["__id"].dataType.simpleString()
+    short = own.mapInPandas(looked_up, f"id {kind}, label int, aside boolean, prior double, features binary")
+    weights, bias, slope, shift = pickle.loads(short.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fitted, "model binary").first()["model"])
+    discard(rows)
+    return Model(buckets, weights * ratios, bias, slope, shift, orders, lower, unit, ratios)
 
 
 def with_score(df: DataFrame, model: Model, text: str, threshold: float) -> DataFrame:
@@ -176,19 +231,10 @@ def with_score(df: DataFrame, model: Model, text: str, threshold: float) -> Data
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
-        place = np.full(1 << BITS, -1, np.int32)
-        place[m.buckets] = np.arange(len(m.buckets))
+        indicators, square = Indicators(m.orders, m.lower, places(m.buckets)), m.ratios**2
         for series in batches:
-            out, waiting, size = [np.zeros(0)], [], 0
-            for t in encoded(series, m.lower):
-                waiting.append(t)
-                size += len(t)
-                if size >= CHUNK:
-                    out.append(margins(m, waiting, place))
-                    waiting, size = [], 0
-            if waiting:
-                out.append(margins(m, waiting, place))
-            yield pd.Series(sigmoid(m.slope * np.concatenate(out) + m.shift))
+            margin = [m.weights[f].sum() / (max(1e-9, np.sqrt(square[f].sum())) if m.unit else 1.0) for f in indicators(series)]
+            yield pd.Series(sigmoid(m.slope * (np.array(margin, np.float64) + m.bias) + m.shift))
 
     out = df.drop("score", "predicted").withColumn("score", scored(F.coalesce(F.col(text), F.lit(""))))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier over character n-grams that are scaled by naive Bayes log-count ratios.
 
-N-grams are of lower-cased UTF-8 bytes, so those of ASCII text are characters. The indicator of each selected
+N-grams are of the characters of lower-cased text. The indicator of each selected
 n-gram is scaled by its log-count ratio (Wang and Manning, "Baselines and bigrams", 2012) and a ridge-penalized
 logistic model is fitted by Newton's method with conjugate gradients.
 """
@@ -18,15 +18,31 @@ ORDERS, RIDGE, THRESHOLD = (3, 6), 1.0, 0.3
 FOLDS, HELD_OUT = 4, 2
 
 
+def segments(ids: np.ndarray, size: int):
+    """Sums of values by their ids, which are in order: a function of the values."""
+    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
+
+    def summed(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(size)
+        if len(starts):
+            out[ids[starts]] = np.add.reduceat(values, starts)
+        return out
+
+    return summed
+
+
 def logistic(row: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, n_features: int, weight: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimize weighted log loss plus ridge; the bias bears no penalty."""
+    """Weights and bias that minimize weighted log loss plus ridge; the bias bears no penalty. Rows are in order."""
     w, n = np.zeros(n_features + 1), len(label)
+    by_feature = np.argsort(feature, kind="stable")
+    row_of, value_of = row[by_feature], value[by_feature]
+    row_sums, feature_sums = segments(row, n), segments(feature[by_feature], n_features)
 
     def times(v):
-        return np.bincount(row, value * v[feature], n) + v[-1]
+        return row_sums(value * v[feature]) + v[-1]
 
     def back(u):
-        return np.append(np.bincount(feature, value * u[row], n_features), u.sum())
+        return np.append(feature_sums(value_of * u[row_of]), u.sum())
 
     penalty = np.append(np.full(n_features, ridge), 1e-6)
     loss = lambda v: float(weight @ np.logaddexp(0, -(2 * label - 1) * times(v)) + 0.5 * penalty @ v**2)
@@ -43,7 +59,7 @@ def logistic(row: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.
             far = size / (towards @ bent)
             step += far * towards
             rest -= far * bent
-            if (less := rest @ rest) < 1e-8 * (gradient @ gradient):
+            if (less := rest @ rest) < 1e-4 * (gradient @ gradient):  # Newton's steps needn't be exact
                 break
             towards, size = rest + less / size * towards, less
         now, scale = loss(w), 1.0
@@ -53,16 +69,14 @@ def logistic(row: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.
     return w[:-1], float(w[-1])
 
 
-def train(texts: list[str], labels: np.ndarray, prior: float) -> ln.Model:
+def train(features: list[np.ndarray], labels: np.ndarray, aside: np.ndarray, ratio: np.ndarray, prior: float) -> tuple[np.ndarray, float, float, float]:
     """Fit on a sample; each class weighs as in all labelled rows, so that scores are probabilities."""
-    if len(set(labels.tolist())) < 2:
-        return ln.constant((labels.sum() + 1) / (len(labels) + 2), ORDERS, True)
-    raw = ln.encoded(texts, True)
-    buckets, ratio, row, feature = ln.select(raw, labels, ORDERS)
+    feature = np.concatenate(features)
+    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
     share = labels.mean()
     weight = np.where(labels == 1, prior / share, (1 - prior) / (1 - share))
-    w, bias = logistic(row, feature, ratio[feature], labels, len(buckets), weight)
-    return ln.Model(buckets, w * ratio, bias, 1.0, 0.0, ORDERS, True, False, ratio)
+    w, bias = logistic(row, feature, ratio[feature], labels, len(ratio), weight)
+    return w, bias, 1.0, 0.0
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
@@ -74,5 +88,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     smoothed share; without any label it is an error.
     """
     rows = ln.sample(docs, labels, label, ~ln.held_out(id_col, FOLDS, HELD_OUT), id_col, text)
-    scored = ln.with_score(docs, ln.fit(rows, train), text, threshold)
+    scored = ln.with_score(docs, ln.fit(rows, train, ORDERS, True, False), text, threshold)
     return scored.withColumn("held_out", F.coalesce(ln.held_out(id_col, FOLDS, HELD_OUT), F.lit(False)))
