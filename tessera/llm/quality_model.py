@@ -1,6 +1,6 @@
 """Quality: naive Bayes support vectors.
 
-Indicators of case-sensitive byte n-grams are scaled by class log-count ratios (Wang and Manning, "Baselines and
+Indicators of case-sensitive character n-grams are scaled by class log-count ratios (Wang and Manning, "Baselines and
 bigrams", 2012), each text's vector is brought to length 1, and a linear model with hinge loss is fitted by dual
 coordinate descent (Hsieh et al., 2008). A logistic curve through margins of rows apart makes them probabilities.
 """
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tessera.llm import linear_ngrams as ln
 
 ORDERS, COST, PASSES, THRESHOLD = (1, 4), 10.0, 30, 0.3
+#: One in so many rows is kept from fitting, for the logistic curve.
+APART = 5
 #: Rows whose crc32(id) mod FOLDS is HELD_OUT are never learnt from.
 FOLDS, HELD_OUT = 5, 0
 
@@ -39,31 +41,19 @@ def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, co
     return w
 
 
-def train(texts: list[str], labels: np.ndarray, prior: float) -> ln.Model:
-    """Fit on four of five sample rows, calibrate on the fifth with the classes' shares in all labelled rows."""
-    if len(set(labels.tolist())) < 2:
-        return ln.constant((labels.sum() + 1) / (len(labels) + 2), ORDERS, False)
-    raw = ln.encoded(texts, False)
-    apart = np.arange(len(raw)) % 5 == 4
-    if len(set(labels[apart].tolist())) < 2 or len(set(labels[~apart].tolist())) < 2:
-        apart[:] = False  # too few rows to set some apart
-    own = np.flatnonzero(~apart)
-    buckets, ratio, row, feature = ln.select([raw[i] for i in own], labels[own], ORDERS)
-    edge = np.searchsorted(row, np.arange(len(own) + 1))
+def train(features: list[np.ndarray], labels: np.ndarray, aside: np.ndarray, ratio: np.ndarray, prior: float) -> tuple[np.ndarray, float, float, float]:
+    """Fit on the rows that aren't aside, calibrate on the others (or on all) with the classes' shares in all labelled rows."""
     rows = []
-    for a, b in zip(edge, edge[1:]):
-        value = ratio[feature[a:b]]
-        rows.append((feature[a:b], value / max(1e-9, np.sqrt(value @ value))))
-    w = dual_descent(rows, 2.0 * labels[own] - 1, np.full(len(own), COST), len(buckets))
-    model = ln.Model(buckets, w[:-1] * ratio, float(w[-1]), 1.0, 0.0, ORDERS, False, True, ratio)
-    place = np.full(1 << ln.BITS, -1, np.int64)
-    place[buckets] = np.arange(len(buckets))
-    test = np.flatnonzero(apart) if apart.any() else own
-    margin = np.concatenate([ln.margins(model, [raw[i] for i in test[k : k + 500]], place) for k in range(0, len(test), 500)])
+    for f in features:
+        value = ratio[f]
+        rows.append((f, value / max(1e-9, np.sqrt(value @ value))))
+    own = np.flatnonzero(~aside)
+    w = dual_descent([rows[i] for i in own], 2.0 * labels[own] - 1, np.full(len(own), COST), len(ratio))
+    test = np.flatnonzero(aside) if aside.any() else own
+    margin = np.array([w[rows[i][0]] @ rows[i][1] + w[-1] for i in test])
     share = labels[test].mean()
     weight = np.where(labels[test] == 1, prior / share, (1 - prior) / (1 - share))
-    model.slope, model.shift = ln.calibrate(margin, labels[test], weight)
-    return model
+    return w[:-1], float(w[-1]), *ln.calibrate(margin, labels[test], weight)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
@@ -75,5 +65,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     smoothed share; without any label it is an error.
     """
     rows = ln.sample(docs, labels, label, ~ln.held_out(id_col, FOLDS, HELD_OUT), id_col, text)
-    scored = ln.with_score(docs, ln.fit(rows, train), text, threshold)
+    scored = ln.with_score(docs, ln.fit(rows, train, ORDERS, False, True, APART), text, threshold)
     return scored.withColumn("held_out", F.coalesce(ln.held_out(id_col, FOLDS, HELD_OUT), F.lit(False)))
