@@ -370,10 +370,14 @@ def _told(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 
 @F.pandas_udf(T.StringType())
-def _cleaned(texts: pd.Series, spans: pd.Series) -> pd.Series:
+def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([_kept(t.encode("utf-8"), s).decode("utf-8", "ignore") for t, s in zip(texts, spans)], dtype="object")
 
 
+#: Said not to be deterministic, so that a filter on what it gives doesn't have it worked out twice.
+_cleaned = _cut.asNondeterministic()
+
+
 def digest(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: the id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256.
 
