@@ -568,11 +568,11 @@ def duplicate_summary(spark, d):
     return duplicates.duplicate_summary(plain(spark, d))
 
 
-@query(_HASH + ", r AS (SELECT path, coalesce(hash, path) AS g, size FROM (SELECT DISTINCT path FROM plain) LEFT JOIN h USING (path) LEFT JOIN g USING (hash)) SELECT min(path) AS path, coalesce(max(size) - 1, 0) AS duplicate_count FROM r GROUP BY g")
+@query(_HASH + ", r AS (SELECT path, coalesce(hash, path) AS g, size FROM (SELECT DISTINCT path FROM plain) LEFT JOIN h USING (path) LEFT JOIN g USING (hash)) SELECT min(path) AS path, coalesce(max(size) - 1, 0) AS duplicate_count, list(path || ':1' ORDER BY path)[2:4] AS locations FROM r GROUP BY g")
 def collapse(spark, d):
     own = plain(spark, d)
     ranked = own.select(F.lit(1).alias("query_id"), "section_id", "path", F.xxhash64("path").alias("h")).withColumn("rank", F.struct("path", "section_id"))
-    return duplicates.collapse(ranked.drop("h"), own).select("path", "duplicate_count")
+    return duplicates.collapse(ranked.drop("h"), own).select("path", "duplicate_count", "locations")
 
 
 @query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), u AS (SELECT min(vec_id) AS id, x FROM v GROUP BY x) SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.x, b.x), 6) AS similarity FROM u a JOIN u b ON a.id < b.id WHERE list_cosine_similarity(a.x, b.x) >= 0.85")
@@ -811,8 +811,8 @@ def saved_search_sections(spark, d):
 
 @query(SQL["match_context"])
 def saved_match_context(spark, d):
-    lines = filters.section_lines(in_documents(saved(spark, d)["sections"])).withColumn("section_id", F.col("path"))
-    return filters.match_context(lines, F.contains(F.lower("text"), F.lit("idiot")), 1, 2)
+    own = in_documents(saved(spark, d)["sections"]).withColumn("section_id", F.col("path"))
+    return filters.section_matches(own, lambda line: F.contains(F.lower(line), F.lit("idiot")), 1, 2)
 
 
 @query(SQL["assemble_context"])
