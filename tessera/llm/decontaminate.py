@@ -1,9 +1,10 @@
 """Benchmark decontamination: SimHash windows, multi-index Hamming search, exact verification.
 
 Every benchmark item gets a 64-bit SimHash of its weighted word shingles. Windows of an item's length slide
-over each document; a window's SimHash is looked up in a multi-index (Norouzi, Punjani and Fleet, "Fast search in
-Hamming space with multi-index hashing", 2012): four blocks of 16 bits, of which one at least differs in no more
-than RADIUS // 4 bits if the whole differs in no more than RADIUS. Candidates are verified by exact weighted Jaccard
+over each document; a window's SimHash is looked up, among the items of its length, in a multi-index (Norouzi, Punjani and
+Fleet, "Fast search in Hamming space with multi-index hashing", 2012): four blocks of 16 bits, of which one at least differs
+in no more than RADIUS // 4 bits if the whole differs in no more than RADIUS. A block keeps each of its values once, with its
+items; the near values are those that are, or of many values those that the masks of so few bits lead to. Candidates are verified by exact weighted Jaccard
 similarity of shingle multisets. Windows that hold no shingle of any item have similarity 0 with all of them and
 aren't hashed; that loses nothing.
 """
@@ -27,6 +28,8 @@ BLOCKS, BLOCK_BITS = 4, 16
 BLOCK_CHARS = 4 << 20
 LEAKS = "array<struct<item_id:bigint,start_word:bigint,similarity:double>>"
 _BITS = np.arange(64, dtype=np.uint64)
+#: For each number of bits, the masks that flip no more of a block.
+_MASKS = [np.array([sum(1 << b for b in c) for r in range(near + 1) for c in combinations(range(BLOCK_BITS), r)], np.uint16) for near in range(RADIUS // BLOCKS + 1)]
 
 
 def spread(hashes: np.ndarray) -> np.ndarray:
@@ -39,56 +42,79 @@ def folded(sums: np.ndarray) -> np.ndarray:
     return ((sums > 0).astype(np.uint64) << _BITS).sum(axis=1, dtype=np.uint64)
 
 
+class Blocks:
+    """The multi-index over fingerprints."""
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius, self.near, self.tables = prints, radius, radius // BLOCKS, []
+        for b in range(BLOCKS):
+            block = (prints >> np.uint64(BLOCK_BITS * b)).astype(np.uint16)
+            order = np.argsort(block, kind="stable")
+            values, first = np.unique(block[order], return_index=True)
+            self.tables.append((values, np.append(first, len(block)), order.astype(np.int32)))
+
+    def candidates(self, fingerprint: np.uint64) -> np.ndarray:
+        """The places of fingerprints with a block near the same block of this one."""
+        found = []
+        for b, (values, edge, order) in enumerate(self.tables):
+            v = np.uint16((int(fingerprint) >> (BLOCK_BITS * b)) & 0xFFFF)
+            if len(values) <= len(_MASKS[self.near]):
+                near = np.flatnonzero(np.bitwise_count(values ^ v) <= self.near)
+            else:
+                wanted = _MASKS[self.near] ^ v
+                near = np.searchsorted(values, wanted).clip(max=len(values) - 1)
+                near = near[values[near] == wanted]
+            found += [order[edge[i] : edge[i + 1]] for i in near]
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
+
+    def lookup(self, fingerprint: np.uint64) -> np.ndarray:
+        """The places of all fingerprints within the radius."""
+        near = self.candidates(fingerprint)
+        return near[np.bitwise_count(self.prints[near] ^ fingerprint) <= self.radius]
+
+
+def _ranges(values: np.ndarray, size: int) -> np.ndarray:
+    """Where each number below ``size`` begins among sorted values, and the end."""
+    return np.searchsorted(values, np.arange(size + 1)).astype(np.int32)
+
+
 class Index:
-    """Benchmark items: their shingles and weights, fingerprints, and the multi-index over them."""
+    """Benchmark items: their shingles and weights in flat arrays, and fingerprints in a multi-index for each length."""
 
     def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS):
         self.radius = radius
         words = [word_hashes(text.encode("utf-8")) for _, text in items]
         keep = [k for k, w in enumerate(words) if len(w)]
-        self.ids = [items[k][0] for k in keep]
+        self.ids = np.array([items[k][0] for k in keep], np.int64)
         shingles = [shingle_hashes(words[k], SHINGLE) for k in keep]
-        self.length = np.array([len(words[k]) for k in keep], np.int64)
+        self.length = np.array([len(words[k]) for k in keep], np.int32)
         self.known, df = np.unique(np.concatenate([np.unique(s) for s in shingles] or [np.zeros(0, np.uint64)]), return_counts=True)
         # rarer shingles of the benchmark weigh more; one that a single item holds weighs 1
         self.weight = (np.log1p(len(keep) / df) / np.log1p(max(1, len(keep)))).astype(np.float64)
-        self.bags: list[tuple[np.ndarray, np.ndarray]] = []
-        prints = np.zeros(len(keep), np.uint64)
-        self.holders: dict[int, list[int]] = {}
+        bags, prints = [np.zeros((3, 0), np.int32)], np.zeros(len(keep), np.uint64)
         for k, s in enumerate(shingles):
-            place, n = np.unique(np.searchsorted(self.known, s), return_counts=True)
-            self.bags.append((place, n))
-            prints[k] = folded((spread(s) * self.weight[np.searchsorted(self.known, s)][:, None]).sum(0, keepdims=True))[0]
-            for p in place:
-                self.holders.setdefault(int(p), []).append(k)
+            at = np.searchsorted(self.known, s)
+            place, n = np.unique(at, return_counts=True)
+            bags.append(np.stack((np.full(len(place), k), place, n)).astype(np.int32))
+            prints[k] = folded((spread(s) * self.weight[at][:, None]).sum(0, keepdims=True))[0]
+        item, self.place, self.times = np.concatenate(bags, axis=1)
+        self.bag = _ranges(item, len(keep))
+        order = np.argsort(self.place, kind="stable")  # of each shingle the lengths of the items that hold it
+        pairs = np.unique(np.stack((self.place[order], self.length[item[order]])), axis=1) if len(item) else np.zeros((2, 0), np.int32)
+        self.held, self.holder_length = _ranges(pairs[0], len(self.known)), pairs[1]
         self.prints = prints
         self.short = sorted({int(n) for n in self.length if n < SHINGLE})
-        self._build()
-
-    def _build(self) -> None:
-        """For each block value the items with a block within radius // BLOCKS of it."""
-        near = self.radius // BLOCKS
-        masks = np.array([sum(1 << b for b in c) for r in range(near + 1) for c in combinations(range(BLOCK_BITS), r)], np.uint64)
-        self.tables = []
-        for b in range(BLOCKS):
-            block = (self.prints >> np.uint64(BLOCK_BITS * b)) & np.uint64(0xFFFF)
-            key = (block[:, None] ^ masks).astype(np.int64).ravel()
-            item = np.repeat(np.arange(len(block)), len(masks))
-            order = np.argsort(key, kind="stable")
-            self.tables.append((np.searchsorted(key[order], np.arange((1 << BLOCK_BITS) + 1)), item[order]))
+        self.of_length = {int(n): np.flatnonzero(self.length == n).astype(np.int32) for n in np.unique(self.length)}
+        self.blocks = {n: Blocks(prints[own], radius) for n, own in self.of_length.items()}
 
-    def lookup(self, fingerprint: np.uint64) -> np.ndarray:
-        """All items whose fingerprint is within the radius."""
-        found = []
-        for b, (edge, item) in enumerate(self.tables):
-            v = int(fingerprint >> np.uint64(BLOCK_BITS * b)) & 0xFFFF
-            found.append(item[edge[v] : edge[v + 1]])
-        near = np.unique(np.concatenate(found))
-        return near[np.bitwise_count(self.prints[near] ^ fingerprint) <= self.radius]
+    def lookup(self, fingerprint: np.uint64, length: int) -> np.ndarray:
+        """All items of a length whose fingerprint is within the radius."""
+        return self.of_length[length][self.blocks[length].lookup(fingerprint)]
 
     def similarity(self, item: int, shingles: np.ndarray) -> float:
         """Weighted Jaccard similarity of shingle multisets; shingles that no item has weigh 1."""
-        place, n = self.bags[item]
+        own = slice(self.bag[item], self.bag[item + 1])
+        place, n = self.place[own], self.times[own]
         values, counts = np.unique(shingles, return_counts=True)
         at = np.searchsorted(self.known, values).clip(max=len(self.known) - 1)
         own = self.known[at] == values
@@ -99,7 +125,7 @@ class Index:
         return common / total if total else 0.0
 
     def search(self, text: bytes, least: float = SIMILARITY) -> list[tuple[int, int, float]]:
-        """(item, first word, similarity) of each leaked item, at its best window."""
+        """(item, first word, similarity) of each leaked item, at its best window; the first of equally good ones."""
         words = word_hashes(text)
         if not len(words) or not len(self.known):
             return []
@@ -112,7 +138,7 @@ class Index:
             hit = self.known[at] == s
             if hit.any():
                 self._windows(s, at, hit, size, least, best)
-        return [(self.ids[k], start, score) for k, (score, start) in sorted(best.items())]
+        return [(item, start, score) for item, (score, start) in sorted(best.items())]
 
     def _windows(self, s: np.ndarray, at: np.ndarray, hit: np.ndarray, size: int, least: float, best: dict) -> None:
         places = np.flatnonzero(hit)
@@ -120,7 +146,7 @@ class Index:
         known = at[places]
         for p in np.unique(known):  # windows of the lengths of the items that hold a shingle found here
             here = places[known == p]
-            for length in {int(self.length[k]) for k in self.holders[int(p)]}:
+            for length in self.holder_length[self.held[p] : self.held[p + 1]].tolist():
                 if (length >= SHINGLE) == (size == SHINGLE):
                     by_length.setdefault(length, []).append(here)
         weight = np.where(hit, self.weight[at], 1.0)
@@ -141,12 +167,10 @@ class Index:
                 else:
                     prints = np.array([folded((spread(s[a : a + n]) * weight[a : a + n, None]).sum(0, keepdims=True) - 1e-9)[0] for a in part])
                 for start, fingerprint in zip(part.tolist(), prints):
-                    for k in self.lookup(fingerprint).tolist():
-                        if self.length[k] != length:
-                            continue
-                        score = self.similarity(k, s[start : start + n])
-                        if score >= least and (score, -start) > (best.get(k, (0.0, 0))[0], -best.get(k, (0.0, 0))[1]):
-                            best[k] = (score, start)
+                    for k in self.lookup(fingerprint, length).tolist():
+                        score, item = round(float(self.similarity(k, s[start : start + n])), 9), int(self.ids[k])  # sums of other order tie
+                        if score >= least and (item not in best or (score, -start) > (best[item][0], -best[item][1])):
+                            best[item] = (score, start)
 
 
 def _searching(index, least: float):
@@ -167,9 +191,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Words are parted by ASCII white space, A-Z lower-cased. An item of fewer than five words is one shingle.
     Null or empty texts and items leak nothing. Every whole text is searched. A benchmark larger than
     ``block_chars`` is split by the hash of its ids into blocks, and the documents pass through each block in turn.
-    Repeated rows are judged each; items with the same id count as one if equal. Extra columns are kept, and a
-    column leaked_items is replaced.
+    Repeated rows are judged each. An item of several texts is told once, at the best window of any. Extra columns are
+    kept, and a column leaked_items is replaced. ``radius`` is at most RADIUS.
     """
+    if radius > RADIUS:
+        raise ValueError(f"the radius is at most {RADIUS}")
     items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("body")).distinct()
     chars = items.agg(F.sum(F.length("body"))).first()[0] or 0
     blocks = -(-chars // block_chars) or 1
