@@ -72,6 +72,14 @@ def discard_but(out: DataFrame, before: set[int]) -> None:
     discard(*(df for k, (df, _) in list(_paths.items()) if k not in before and df is not out))
 
 
+def unlike(name: str, *taken: str) -> str:
+    """The name, lengthened until no column of ``taken`` has it (names differ by more than case)."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def bounded(path: str, most: int = 64 << 20) -> bytes:
     """The bytes of a model file for a broadcast; larger than ``most`` is an error."""
     if (size := os.path.getsize(path)) > most:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, packing, parity_join, quality_model, quality_rules, suffix_dedup, token_count, toxicity, url_filter
+from tessera.llm import chat_format, decontaminate, fill_in_middle, order_minhash, packing, parity_join, quality_model, quality_rules, suffix_dedup, token_count, toxicity, url_filter
 from tessera.llm.common import table
 from tessera.llm.sql import SQL  # noqa: F401 (with the queries)
 
@@ -65,6 +65,14 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
@@ -76,4 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_parity_join": op9_parity_join,
     "op10_token_count": op10_token_count,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_fingerprints": op13_fingerprints,
 }

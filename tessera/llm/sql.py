@@ -69,4 +69,13 @@ kept AS (SELECT d.doc_id, h, coalesce(n_removed, 0) AS n_removed, coalesce(n_spa
   FROM d LEFT JOIN cuts USING (doc_id))
 SELECT doc_id, length(h) // 2 AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept"""
 
-SQL = {"op2_url_filter": URL_FILTER, "op4_suffix_dedup": SUFFIX_DEDUP, "op7_quality_rules": _quality(), "op9_parity_join": PARITY_JOIN}
+FILL_IN_MIDDLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '{SPACE}*{WORD}+|{SPACE}+') AS us, [CAST('0x' || substr(h, k, 8) AS BIGINT) FOR k IN [1, 9, 17, 25]] AS r FROM d),
+c AS (SELECT *, len(us) AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b FROM c),
+x AS (SELECT *, array_to_string(us[1:a], '') AS prefix, array_to_string(us[a + 1:b], '') AS middle, array_to_string(us[b + 1:], '') AS suffix FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM x"""
+
+SQL = {"op11_fill_in_middle": FILL_IN_MIDDLE, "op2_url_filter": URL_FILTER, "op4_suffix_dedup": SUFFIX_DEDUP, "op7_quality_rules": _quality(), "op9_parity_join": PARITY_JOIN}
