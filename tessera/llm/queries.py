@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, fill_in_middle, order_minhash, packing, parity_join, quality_model, quality_rules, suffix_dedup, token_count, toxicity, url_filter
+from tessera.llm import chat_format, conversation_trie, decontaminate, fill_in_middle, order_minhash, packing, parity_join, quality_model, quality_rules, suffix_dedup, token_count, toxicity, url_filter
 from tessera.llm.common import table
 from tessera.llm.sql import SQL  # noqa: F401 (with the queries)
 
@@ -69,6 +69,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_edits(table(spark, sf_dir, "documents"))
 
@@ -85,5 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_parity_join": op9_parity_join,
     "op10_token_count": op10_token_count,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_fingerprints": op13_fingerprints,
 }

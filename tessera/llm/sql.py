@@ -78,4 +78,22 @@ x AS (SELECT *, array_to_string(us[1:a], '') AS prefix, array_to_string(us[a + 1
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM x"""
 
-SQL = {"op11_fill_in_middle": FILL_IN_MIDDLE, "op2_url_filter": URL_FILTER, "op4_suffix_dedup": SUFFIX_DEDUP, "op7_quality_rules": _quality(), "op9_parity_join": PARITY_JOIN}
+#: A conversation's path is the list of its rebuilt turns so far; a node is a path. CRC-32 bit by bit, least bit of a byte first.
+PREFIX_TRIE = """
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (SELECT c, list_transform(range(0, 8 * length(CAST(c AS VARCHAR))), lambda j: CAST((ascii(substr(CAST(c AS VARCHAR), CAST(j // 8 + 1 AS BIGINT), 1)) >> CAST(j % 8 AS INTEGER)) & 1 AS BIGINT)) AS b FROM (SELECT DISTINCT c FROM t)),
+h AS (SELECT c, c - c % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a >> 1, (xor(a, x) & 1) * 3988292384)), 4294967295::BIGINT) % 6 AS h FROM bits),
+k AS (SELECT h.c, h.h, count(t.i) AS k FROM h LEFT JOIN t ON t.c = h.base AND t.i <= h.h GROUP BY ALL),
+turns AS (SELECT h.c, t.i AS d, role, text FROM h JOIN t ON t.c = h.base AND t.i <= h.h UNION ALL SELECT t.c, k.k + t.i - k.h, role, text FROM t JOIN k ON t.c = k.c AND t.i > k.h),
+rows AS (SELECT c, 0 AS d, []::VARCHAR[] AS path, 0 AS chars FROM h UNION ALL SELECT c, d, list(length(role) || ':' || role || text) OVER (PARTITION BY c ORDER BY d), length(text) FROM turns),
+nodes AS (SELECT d, path, min(c) AS m, count(*) AS n, max(chars) AS chars FROM rows GROUP BY d, path),
+spot AS (SELECT c, d, m FROM rows JOIN nodes USING (d, path)),
+lasts AS (SELECT c, max(d) AS d FROM spot GROUP BY c),
+ends AS (SELECT spot.m, spot.d, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS sha FROM spot JOIN lasts USING (c, d) GROUP BY ALL),
+up AS (SELECT nodes.m, nodes.d, p.m AS pm FROM nodes LEFT JOIN spot p ON p.c = nodes.m AND p.d = nodes.d - 1),
+kids AS (SELECT pm AS m, d - 1 AS d, count(*) AS n FROM up WHERE d > 0 GROUP BY ALL),
+below AS (SELECT a.m, a.d, sum((nodes.n - 1) * nodes.chars) AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves FROM nodes LEFT JOIN kids USING (m, d) JOIN spot a ON a.c = nodes.m AND a.d <= nodes.d GROUP BY ALL)
+SELECT m AS conv_id, CAST(d AS BIGINT) AS depth, pm AS parent_conv_id, nodes.n AS n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+FROM nodes JOIN up USING (m, d) JOIN below USING (m, d) LEFT JOIN kids USING (m, d) LEFT JOIN ends USING (m, d)"""
+
+SQL = {"op12_prefix_trie": PREFIX_TRIE, "op11_fill_in_middle": FILL_IN_MIDDLE, "op2_url_filter": URL_FILTER, "op4_suffix_dedup": SUFFIX_DEDUP, "op7_quality_rules": _quality(), "op9_parity_join": PARITY_JOIN}
