@@ -5,6 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -48,10 +52,13 @@ def written(df: DataFrame) -> DataFrame:
     out = df.sparkSession.read.schema(df.drop(*empty).schema).parquet(path)
     out = out.select(*(F.lit(None).alias(c) if c in empty else f"`{c}`" for c in df.columns)) if empty else out
     _paths[id(out)] = (out, path)
+    if (mine := _run.get()) is not None:
+        mine.append(out)
     return out
 
 
 _paths: dict[int, tuple[DataFrame, str]] = {}
+_run: ContextVar[list[DataFrame] | None] = ContextVar("tables of a run", default=None)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -62,14 +69,25 @@ def discard(*tables: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def written_tables() -> set[int]:
-    """The written tables that there are now, for discard_but."""
-    return set(_paths)
+@contextmanager
+def own_tables() -> Iterator[list[DataFrame]]:
+    """The tables that this thread writes meanwhile, for discard_but; those of other threads aren't among them. If the run
+    fails, all are deleted."""
+    mine: list[DataFrame] = []
+    token = _run.set(mine)
+    try:
+        yield mine
+    except BaseException:
+        discard_but(None, mine)
+        raise
+    finally:
+        _run.reset(token)
 
 
-def discard_but(out: DataFrame, before: set[int]) -> None:
-    """Delete the tables that were written since ``before``, but for ``out``, once nothing reads them any more."""
-    discard(*(df for k, (df, _) in list(_paths.items()) if k not in before and df is not out))
+def discard_but(out: DataFrame | None, mine: list[DataFrame]) -> None:
+    """Delete the tables of a run but for ``out``, once nothing reads them any more."""
+    discard(*(df for df in mine if id(df) in _paths and df is not out))
+    mine[:] = [] if out is None else [out]
 
 
 def unlike(name: str, *taken: str) -> str:
@@ -80,6 +98,21 @@ def unlike(name: str, *taken: str) -> str:
     return name
 
 
+def apart(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators whose inner columns begin with two underscores: such columns of the given table go by other names inside."""
+
+    @wraps(operator)
+    def inner(df: DataFrame, *args, **kwargs) -> DataFrame:
+        away = {c: unlike(f"own{c}", *df.columns) for c in df.columns if c.startswith("__")}
+        if not away:
+            return operator(df, *args, **kwargs)
+        named = lambda x: away.get(x, x) if isinstance(x, str) else x
+        out = operator(df.withColumnsRenamed(away), *map(named, args), **{k: named(x) for k, x in kwargs.items()})
+        return out.withColumnsRenamed({v: k for k, v in away.items()})
+
+    return inner
+
+
 def bounded(path: str, most: int = 64 << 20) -> bytes:
     """The bytes of a model file for a broadcast; larger than ``most`` is an error."""
     if (size := os.path.getsize(path)) > most:

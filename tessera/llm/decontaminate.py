@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import run_hashes, shingle_hashes, word_hashes
+from tessera.llm.common import discard, run_hashes, shingle_hashes, unlike, word_hashes, written
 
 #: Words of a shingle, the similarity that counts as a leak, and the Hamming radius of the candidate search.
 SHINGLE, SIMILARITY, RADIUS = 5, 0.75, 22
@@ -85,7 +85,7 @@ class Index:
         self.radius = radius
         words = [word_hashes(text.encode("utf-8")) for _, text in items]
         keep = [k for k, w in enumerate(words) if len(w)]
-        self.ids = np.array([items[k][0] for k in keep], np.int64)
+        self.ids = [items[k][0] for k in keep]
         shingles = [shingle_hashes(words[k], SHINGLE) for k in keep]
         self.length = np.array([len(words[k]) for k in keep], np.int32)
         self.known, df = np.unique(np.concatenate([np.unique(s) for s in shingles] or [np.zeros(0, np.uint64)]), return_counts=True)
@@ -129,7 +129,7 @@ class Index:
         words = word_hashes(text)
         if not len(words) or not len(self.known):
             return []
-        best: dict[int, tuple[float, int]] = {}
+        best: dict[int | None, tuple[float, int]] = {}
         for size in {*self.short, SHINGLE}:
             if len(words) < size:
                 continue
@@ -138,7 +138,7 @@ class Index:
             hit = self.known[at] == s
             if hit.any():
                 self._windows(s, at, hit, size, least, best)
-        return [(item, start, score) for item, (score, start) in sorted(best.items())]
+        return [(item, *best[item][::-1]) for item in sorted(best, key=lambda i: (i is not None, i or 0))]
 
     def _windows(self, s: np.ndarray, at: np.ndarray, hit: np.ndarray, size: int, least: float, best: dict) -> None:
         places = np.flatnonzero(hit)
@@ -168,7 +168,7 @@ class Index:
                     prints = np.array([folded((spread(s[a : a + n]) * weight[a : a + n, None]).sum(0, keepdims=True) - 1e-9)[0] for a in part])
                 for start, fingerprint in zip(part.tolist(), prints):
                     for k in self.lookup(fingerprint, length).tolist():
-                        score, item = round(float(self.similarity(k, s[start : start + n])), 9), int(self.ids[k])  # sums of other order tie
+                        score, item = round(float(self.similarity(k, s[start : start + n])), 9), self.ids[k]  # sums of other order tie
                         if score >= least and (item not in best or (score, -start) > (best[item][0], -best[item][1])):
                             best[item] = (score, start)
 
@@ -190,7 +190,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     Words are parted by ASCII white space, A-Z lower-cased. An item of fewer than five words is one shingle.
     Null or empty texts and items leak nothing. Every whole text is searched. A benchmark larger than
-    ``block_chars`` is split by the hash of its ids into blocks, and the documents pass through each block in turn.
+    ``block_chars`` is split by the hash of its ids into blocks, and the documents pass through each block in turn: what one
+    block finds is written before the next block's index is built, so that one index at a time is in memory. Items without
+    an id are searched for too, as one item of several texts whose id is null.
     Repeated rows are judged each. An item of several texts is told once, at the best window of any. Extra columns are
     kept, and a column leaked_items is replaced. ``radius`` is at most RADIUS.
     """
@@ -203,11 +205,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).orderBy("item", "body").collect()  # block_chars characters on average
         index = docs.sparkSession.sparkContext.broadcast(Index([(r["item"], r["body"]) for r in own], radius))
-
-        out = out.withColumn("leaked_items", F.concat("leaked_items", _searching(index, least)(F.coalesce(F.col(text), F.lit("")))))
-    return out.withColumn("leaked_items", F.array_sort("leaked_items")) if blocks > 1 else out
+        found = out.withColumn("leaked_items", F.concat("leaked_items", _searching(index, least)(F.coalesce(F.col(text), F.lit("")))))
+        if blocks == 1:
+            return found
+        found = written(found)
+        index.destroy()
+        if block:
+            discard(out)
+        out = found
+    return out.withColumn("leaked_items", F.array_sort("leaked_items"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with their own columns."""
-    return find_leaks(docs, benchmark).filter(F.size("leaked_items") == 0).select(*docs.columns)
+    """The documents that hold no benchmark item, with their own columns; one named leaked_items is set aside meanwhile."""
+    aside = unlike("leaked_items_", *docs.columns)
+    own = docs.withColumnRenamed("leaked_items", aside)
+    return find_leaks(own, benchmark).filter(F.size("leaked_items") == 0).select(*own.columns).withColumnRenamed(aside, "leaked_items")

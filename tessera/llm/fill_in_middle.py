@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import unlike
+from tessera.llm.common import apart, unlike
 
 #: The seed of the draws, the share in a hundred of texts that are transformed, and of those the share that puts the suffix first.
 SEED, RATE, SPM = 42, 50, 80
@@ -83,6 +83,7 @@ def draws(id_col: Column, seed: int = SEED) -> list[Column]:
     return [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)]
 
 
+@apart
 def transform(df: DataFrame, id_col: str = "doc_id", text: str = "text", seed: int = SEED, rate: int = RATE, spm: int = SPM) -> DataFrame:
     """Add n (tokens), form, prefix_chars, middle_chars (code points; null if plain) and output to each row.
 

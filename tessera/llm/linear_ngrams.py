@@ -184,8 +184,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, id
 Trainer = Callable[[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, float], tuple[np.ndarray, float, float, float]]
 
 
-def fit(rows: DataFrame, trainer: Trainer, orders: tuple[int, int], lower: bool, unit: bool, apart: int = 0) -> Model:
-    """Learn from a sample. Of the ids one in ``apart`` is kept from fitting, for calibration (0: none).
+def fit(rows: DataFrame, trainer: Trainer, orders: tuple[int, int], lower: bool, unit: bool, apart: int = 0) -> Model | None:
+    """Learn from a sample; none if it is empty. Of the ids one in ``apart`` is kept from fitting, for calibration (0: none).
 
     ``trainer`` gets each row's selected features, the labels, which rows are kept apart, the features' ratios and the
     prior, and returns weights, bias, slope and shift. It runs in one task, over features of the bounded sample.
@@ -196,7 +196,7 @@ def fit(rows: DataFrame, trainer: Trainer, orders: tuple[int, int], lower: bool,
     total = [sum(n for (label, _), n in sizes.items() if label == c) for c in (0, 1)]
     if not sum(total):
         discard(rows)
-        raise ValueError("no labelled row can be learnt from")
+        return None
     if not all(total):  # one class alone: its smoothed share for every text
         discard(rows)
         share, none = (total[1] + 1) / (sum(total) + 2), np.zeros(0)
@@ -224,8 +224,13 @@ def fit(rows: DataFrame, trainer: Trainer, orders: tuple[int, int], lower: bool,
     return Model(buckets, weights * ratios, bias, slope, shift, orders, lower, unit, ratios)
 
 
-def with_score(df: DataFrame, model: Model, text: str, threshold: float) -> DataFrame:
-    """Add score (0 to 1) and predicted (1 if score >= threshold) of every whole text."""
+def with_score(df: DataFrame, model: Model | None, text: str, threshold: float) -> DataFrame:
+    """Add score (0 to 1) and predicted (1 if score >= threshold) of every whole text. Without a model, a table of any
+    row is an error; an empty one stays empty."""
+    if model is None:
+        if not df.isEmpty():
+            raise ValueError("no labelled row can be learnt from")
+        return df.drop("score", "predicted").withColumns({"score": F.lit(None).cast("double"), "predicted": F.lit(None).cast("int")})
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -139,7 +139,15 @@ class Pool:
             self._emit(part)
 
 
-_encoders: dict[int, Encoder] = {}  # one a Python worker
+_encoders: dict[tuple, Encoder] = {}  # one a Python worker
+
+
+def _encoder(ranks: bytes, special: dict[str, int]) -> Encoder:
+    key = (hash(ranks), *sorted(special.items()))
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(ranks, special)
+    return _encoders[key]
 
 
 def pack(df: DataFrame, ranks: str, special: dict[str, int], end_id: int | None = 1, id_col: str = "doc_id", text: str = "text", prompt: str | None = None, limits: tuple[int, int, int] = (MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS), pool: int = POOL) -> DataFrame:
@@ -162,10 +170,7 @@ def pack(df: DataFrame, ranks: str, special: dict[str, int], end_id: int | None
     tail = np.array([] if end_id is None else [end_id], np.uint32)
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = hash(table.value[0])
-        if key not in _encoders:
-            _encoders[key] = Encoder(*table.value)
-        encode, waiting = _encoders[key], Pool(limits, TaskContext.get().partitionId() << _SEQUENCE_BITS)
+        encode, waiting = _encoder(*table.value), Pool(limits, TaskContext.get().partitionId() << _SEQUENCE_BITS)
         names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "n_loss"]
 
         def told() -> pd.DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, discard, mixed, shingle_hashes, word_hashes, written
+from tessera.llm.common import apart, checkpointed, discard, mixed, shingle_hashes, word_hashes, written
 from tessera.llm.components import components
 
 SHINGLE, SMALL, BLOCKS = 5, 64, 56
@@ -53,8 +53,11 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return OVER * common >= UNDER * (len(a) + len(b) - common)
 
 
-def block_keys(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys of a set, and whether each is of the band of its own size (else of the band below)."""
+def block_keys(s: np.ndarray, blocks: int | None = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket keys of a set, and whether each is of the band of its own size (else of the band below).
+
+    Of a band's blocks the first ``blocks`` are looked at; none: all.
+    """
     n, keys, own = len(s), [], []
     if 0 < n <= SMALL * 4 // 3:
         first = mixed(s[: n // 4 + 1] ^ _SALT)
@@ -65,13 +68,13 @@ def block_keys(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bands = [band] if band == 0 or 3 * n > 4 * ((SMALL + 1) << band) else [band, band - 1]
         for j in bands:
             block = s % np.uint64((SMALL + 1) << j)
-            inside = block < BLOCKS
+            inside = block < (blocks or (SMALL + 1) << j)
             block, value = block[inside], s[inside]
             order = np.argsort(block, kind="stable")
             block, value = block[order], value[order]
             first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
             parity = np.bitwise_xor.reduceat(value, first) if len(first) else value
-            keys.append(mixed(parity ^ mixed(block[first] + np.uint64(BLOCKS * (j + 1)) + _SALT)))
+            keys.append(mixed(parity ^ mixed(block[first] + (np.uint64(j + 1) << np.uint64(48)) + _SALT)))
             own.append(np.full(len(first), j == band))
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
@@ -132,12 +135,12 @@ def close_pairs(n: np.ndarray, sketches: list[np.ndarray], group: np.ndarray, si
     return out
 
 
-def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sketched(batches: Iterator[pd.DataFrame], blocks: int | None = BLOCKS) -> Iterator[pd.DataFrame]:
     for batch in batches:
         n, names, keys, own, sketches = [], [], [], [], []
         for text in batch["text"]:
             s = shingle_set(text)
-            k, o = block_keys(s)
+            k, o = block_keys(s, blocks)
             n.append(len(s))
             names.append(digest(s))
             keys.append(k.tobytes())
@@ -266,7 +269,7 @@ class _Join:
         return groups
 
 
-def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", blocks: int | None = BLOCKS) -> DataFrame:
     """One row per row of ``docs``: the id, n_shingles (its set's size) and component_id.
 
     Words are parted by ASCII white space, A-Z lower-cased; a set holds the distinct five-word shingles, or the
@@ -274,9 +277,12 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     smallest id that links reach. Null, empty and blank texts have an empty set and link with nothing. Rows with
     the same id are one document of several texts and share a component; a null id links with nothing and has a
     null component. Other columns aren't returned. An empty table gives an empty one.
+
+    Of sets above ``SMALL`` shingles ``blocks`` blocks are looked at: with the default a pair at the threshold shares none
+    of them with a chance below 1e-12. With None all are, and no pair is lost whatever the hashes; keys grow with the texts.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = written(rows.mapInPandas(_sketched, "id long, n long, digest binary, keys binary, own binary, sketch binary"))
+    base = written(rows.mapInPandas(partial(_sketched, blocks=blocks), "id long, n long, digest binary, keys binary, own binary, sketch binary"))
     names = checkpointed(base.select("id", "n", "digest"))
     some = names.filter("n > 0 AND id IS NOT NULL")
     # equal sets are one class with a number of its own; its smallest id has its text
@@ -301,6 +307,7 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+@apart
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents less all but the smallest id of each component, with their own columns.
 

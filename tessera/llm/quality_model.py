@@ -62,7 +62,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     The model learns from at most ln.SAMPLE_ROWS rows of each class that aren't held out. Null and empty texts
     have no n-grams and get the score of the bias. Repeated rows get equal scores; extra columns are kept, and
     columns with the names of the results are replaced. With labels of one class, every score is that class's
-    smoothed share; without any label it is an error.
+    smoothed share; without any label it is an error, but an empty table of documents gives an empty one.
     """
     rows = ln.sample(docs, labels, label, ~ln.held_out(id_col, FOLDS, HELD_OUT), id_col, text)
     scored = ln.with_score(docs, ln.fit(rows, train, ORDERS, False, True, APART), text, threshold)

@@ -5,10 +5,11 @@ Measures of each document are gathered into quantile sketches with logarithmic b
 those of (lang, source) merge into those of a language and of all documents, which stand in where a source has few
 documents. From their quartiles come fences, which replace fixed cutoffs; these are joined to the documents and filter them.
 
-A fence stands ``WIDTH`` interquartile ranges beyond a quartile (for n_words, of the logarithm). Where most documents of a
-group share a value, as with no symbol at all, that range is 0; a range therefore counts as no less than what one event
-makes in the group's median document: a line more, a symbol, an equal line, or the six words of a window that comes twice.
-The error of a quantile counts in a document's favour.
+Lengths (n_words by its logarithm, word_length) have a fence ``WIDTHS`` interquartile ranges beyond each quartile. The shares
+of symbols, of equal lines and of repeated words are 0 in most documents, so their ranges are too; their upper fence stands
+``TAIL`` of the way from the 90th to the 99th percentile, where a group's few odd documents part from its many. A group
+without such a tail takes the fence of the next level up, and none if there is no tail anywhere. The error of a quantile
+counts in a document's favour.
 """
 
 from __future__ import annotations
@@ -18,15 +19,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, WORD, checkpointed, written
+from tessera.llm.common import SPACES, WORD, apart, checkpointed, written
 
 #: Relative error of a quantile, the smallest value kept apart from 0, and the documents a source needs.
 ACCURACY, LEAST, ENOUGH = 0.01, 1e-6, 20
-#: Interquartile ranges between a quartile and its fence.
-WIDTH = 4.0
-#: What the smallest event adds to a share's count, and the size that the share is of.
-EVENTS = {"symbol_share": (1, "n_words"), "dup_line_share": (1, "n_lines"), "repeat_share": (6, "n_words")}
-FENCED = ("n_words", "word_length", "symbol_share", "dup_line_share", "repeat_share")
+#: Interquartile ranges between a quartile and its fence; the place of a share's fence between its 90th and 99th percentiles.
+WIDTHS, TAIL = {"n_words": 2.0, "word_length": 4.0}, 0.75
+SHARES = ("symbol_share", "dup_line_share", "repeat_share")
+FENCED = (*WIDTHS, *SHARES)
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
 #: Fixed values of the base rule.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -73,10 +73,9 @@ def with_repeats(df: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
 
 
 def measures() -> dict[str, Column]:
-    """What is sketched: the measures with adaptive thresholds, and the sizes that shares are of."""
+    """What is sketched: the measures with adaptive thresholds."""
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    sizes = {"n_words": F.col("n_words").cast("double"), "n_lines": F.col("__n_lines").cast("double")}
-    return {**sizes, "word_length": per("word_chars", "n_words"), "symbol_share": per("n_symbols", "n_words"), "dup_line_share": per("n_dup_lines", "__n_lines"), "repeat_share": per("n_repeat_words", "n_words")}
+    return {"n_words": F.col("n_words").cast("double"), "word_length": per("word_chars", "n_words"), "symbol_share": per("n_symbols", "n_words"), "dup_line_share": per("n_dup_lines", "__n_lines"), "repeat_share": per("n_repeat_words", "n_words")}
 
 
 def bucket(value: Column) -> Column:
@@ -101,27 +100,25 @@ def fences(sketch: DataFrame) -> DataFrame:
     ranked = levels.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "total": F.sum("n").over(group)})
     value = F.when(F.col("bucket") == -1_000_000, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1))
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, value))
-    quartiles = ranked.groupBy("level", "lang", "source", "measure").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"), F.max("total").alias("total"))
-    made = quartiles.filter((F.col("total") >= ENOUGH) | (F.col("level") == 2))
-    best = None
+    ranks = {"q25": 0.25, "q75": 0.75, "q90": 0.9, "q99": 0.99}
+    found = ranked.groupBy("level", "lang", "source", "measure").agg(*(at(q).alias(k) for k, q in ranks.items()), F.max("total").alias("total"))
+    q1, q3 = F.col("q25") * (1 - ACCURACY), F.col("q75") * (1 + ACCURACY)
+    low, high = F.lit(None).cast("double"), F.when(F.col("q99") > F.col("q90"), (F.col("q90") + TAIL * (F.col("q99") - F.col("q90"))) * (1 + ACCURACY))
+    for k, width in WIDTHS.items():
+        ratio = F.pow(q3 / q1, F.lit(width))
+        down, up = (q1 / ratio, q3 * ratio) if k == "n_words" else (q1 - width * (q3 - q1), q3 + width * (q3 - q1))
+        low, high = F.when(F.col("measure") == k, down).otherwise(low), F.when(F.col("measure") == k, up).otherwise(high)
+    made = found.filter((F.col("total") >= ENOUGH) | (F.col("level") == 2)).withColumns({"low": low, "high": high}).filter("high IS NOT NULL")
+    best = keys
     for level, by in ((0, ("lang", "source")), (1, ("lang",)), (2, ())):
-        side = made.filter(F.col("level") == level).groupBy(*(F.col(k).alias(f"__{k}") for k in by)).agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("q1", "q2", "q3")))).alias(f"__f{level}"))
+        side = made.filter(F.col("level") == level).groupBy(*(F.col(k).alias(f"__{k}") for k in by)).agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("low", "high")))).alias(f"__f{level}"))
         on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]
-        best = (best if best is not None else keys).join(side, on or F.lit(True), "left").drop(*(f"__{k}" for k in by))
-    pick = F.coalesce("__f0", "__f1", "__f2")
-    out = {}
-    for k in FENCED:
-        q1, q3 = pick[k]["q1"] * (1 - ACCURACY), pick[k]["q3"] * (1 + ACCURACY)
-        if k == "n_words":
-            far = F.pow(F.greatest(q3 / q1, 1 + 1 / pick["n_lines"]["q2"]), F.lit(WIDTH))
-            out |= {f"__{k}_low": q1 / far, f"__{k}_high": q3 * far}
-            continue
-        events, size = EVENTS.get(k, (0, "n_words"))
-        far = WIDTH * F.greatest(q3 - q1, events / pick[size]["q2"])
-        out |= {f"__{k}_low": q1 - far, f"__{k}_high": q3 + far}
-    return best.select("lang", "source", *(v.alias(k) for k, v in out.items()))
+        best = best.join(side, on or F.lit(True), "left").drop(*(f"__{k}" for k in by))
+    pick = lambda k: F.coalesce(*(F.col(f"__f{level}")[k] for level in range(3)))
+    return best.select("lang", "source", *(pick(k)[side].alias(f"__{k}_{side}") for k in FENCED for side in ("low", "high")))
 
 
+@apart
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep_text: bool = True) -> DataFrame:
     """Add the five measures, base_failed and kept to each row.
 
@@ -145,11 +142,13 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     inside = F.lit(True)
     for k in FENCED:
-        inside &= F.coalesce(measures()[k].between(F.col(f"__{k}_low"), F.col(f"__{k}_high")), F.lit(True))
+        v = measures()[k]  # a share has no lower fence
+        inside &= F.coalesce(v >= F.col(f"__{k}_low"), F.lit(True)) & F.coalesce(v <= F.col(f"__{k}_high"), F.lit(True))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & inside)
     return out.drop("__lang", "__source", "__n_lines", *(f"__{k}_{side}" for k in FENCED for side in ("low", "high")))
 
 
+@apart
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows that the rules keep, with their own columns.
 

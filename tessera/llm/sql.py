@@ -17,9 +17,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LE
 
 def _quality() -> str:
     log_gamma, gamma = repr(qr.math.log(qr.GAMMA)), repr(qr.GAMMA)
-    names = ", ".join(f"'{k}'" for k in ("n_lines", *qr.FENCED))
-    values = ", ".join(("n_lines", *qr.FENCED))
-    event = " ".join(f"WHEN '{k}' THEN {n}.0 / {'mid_lines' if size == 'n_lines' else 'mid_words'}" for k, (n, size) in qr.EVENTS.items())
+    names, values = ", ".join(f"'{k}'" for k in qr.FENCED), ", ".join(qr.FENCED)
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, {_WORDS.format(t='t')} AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls FROM d),
@@ -35,12 +33,11 @@ b AS (SELECT lang, source, measure, CASE WHEN v < {qr.LEAST!r}::DOUBLE THEN -100
 l AS (SELECT 0 AS level, * FROM b UNION ALL SELECT 1, lang, NULL, measure, bucket, sum(n) FROM b GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, measure, bucket, sum(n) FROM b GROUP BY ALL),
 k AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total,
        CASE WHEN bucket = -1000000 THEN 0 ELSE 2 * pow({gamma}::DOUBLE, bucket) / ({gamma}::DOUBLE + 1) END AS v FROM l),
-q AS (SELECT level, lang, source, measure, min(v) FILTER (WHERE upto >= total * 0.25) AS q1, min(v) FILTER (WHERE upto >= total * 0.5) AS q2, min(v) FILTER (WHERE upto >= total * 0.75) AS q3, max(total) AS total FROM k GROUP BY ALL),
-z AS (SELECT * REPLACE (q1 * (1 - {qr.ACCURACY}) AS q1, q3 * (1 + {qr.ACCURACY}) AS q3), max(q2) FILTER (WHERE measure = 'n_words') OVER (PARTITION BY level, lang, source) AS mid_words, max(q2) FILTER (WHERE measure = 'n_lines') OVER (PARTITION BY level, lang, source) AS mid_lines FROM q WHERE total >= {qr.ENOUGH} OR level = 2),
-h AS (SELECT *, CASE WHEN measure = 'n_words' THEN pow(greatest(q3 / q1, 1 + 1 / mid_lines), {qr.WIDTH}) ELSE {qr.WIDTH} * greatest(q3 - q1, CASE measure {event} ELSE 0 END) END AS far FROM z),
-f AS (SELECT level, lang, source, measure, CASE WHEN measure = 'n_words' THEN q1 / far ELSE q1 - far END AS low, CASE WHEN measure = 'n_words' THEN q3 * far ELSE q3 + far END AS high FROM h WHERE measure <> 'n_lines'),
-best AS (SELECT x.doc_id, x.measure, x.v, arg_min(f.low, f.level) AS low, arg_min(f.high, f.level) AS high FROM m x JOIN f ON f.measure = x.measure AND (f.level = 2 OR (f.lang IS NOT DISTINCT FROM x.lang AND (f.level = 1 OR f.source IS NOT DISTINCT FROM x.source))) GROUP BY ALL),
-inside AS (SELECT doc_id, bool_and(v BETWEEN low AND high) AS ok FROM best GROUP BY doc_id),
+q AS (SELECT level, lang, source, measure, min(v) FILTER (WHERE upto >= total * 0.25) * (1 - {qr.ACCURACY}) AS q1, min(v) FILTER (WHERE upto >= total * 0.75) * (1 + {qr.ACCURACY}) AS q3, min(v) FILTER (WHERE upto >= total * 0.9) AS q90, min(v) FILTER (WHERE upto >= total * 0.99) AS q99, max(total) AS total FROM k GROUP BY ALL),
+f AS (SELECT level, lang, source, measure, CASE measure WHEN 'n_words' THEN q1 / pow(q3 / q1, {qr.WIDTHS["n_words"]}) WHEN 'word_length' THEN q1 - {qr.WIDTHS["word_length"]} * (q3 - q1) END AS low,
+       CASE WHEN measure = 'n_words' THEN q3 * pow(q3 / q1, {qr.WIDTHS["n_words"]}) WHEN measure = 'word_length' THEN q3 + {qr.WIDTHS["word_length"]} * (q3 - q1) WHEN q99 > q90 THEN (q90 + {qr.TAIL} * (q99 - q90)) * (1 + {qr.ACCURACY}) END AS high FROM q WHERE total >= {qr.ENOUGH} OR level = 2),
+best AS (SELECT x.doc_id, x.measure, x.v, arg_min(f.low, f.level) AS low, arg_min(f.high, f.level) AS high FROM m x JOIN f ON f.measure = x.measure AND f.high IS NOT NULL AND (f.level = 2 OR (f.lang IS NOT DISTINCT FROM x.lang AND (f.level = 1 OR f.source IS NOT DISTINCT FROM x.source))) GROUP BY ALL),
+inside AS (SELECT doc_id, bool_and(v >= coalesce(low, v) AND v <= high) AS ok FROM best GROUP BY doc_id),
 r AS (SELECT *, n_words < {qr.LEAST_WORDS} OR 100 * n_repeat_words > {qr.MOST_REPEATED} * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(ok, true) AS kept FROM r LEFT JOIN inside USING (doc_id)"""
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import checkpointed, discard, mixed, prefix_sums, written
+from tessera.llm.common import apart, checkpointed, discard, mixed, prefix_sums, written
 from tessera.llm.suffix_array import suffix_array
 
 LENGTH, ANCHOR = 100, 32
@@ -378,6 +378,7 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
 _cleaned = _cut.asNondeterministic()
 
 
+@apart
 def digest(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: the id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256.
 
@@ -389,6 +390,7 @@ def digest(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     return out.select(id_col, "t.*")
 
 
+@apart
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents less their repeated passages, with their own columns; n_chars, if there, is counted anew.
 

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded
+from tessera.llm.common import apart, bounded
 
 #: Fixed value: the word pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -106,6 +106,7 @@ def _counter(model_json: bytes) -> MergeCounter:
     return _counters[key]
 
 
+@apart
 def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", limit: int = 512) -> DataFrame:
     """Add n_bytes, n_tokens and over_limit (n_tokens > limit) for the whole text of each row.
 

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import apart
+
 #: The rules of the production query.
 RULES = (
     ("allow", "com/"),
@@ -90,6 +92,7 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+@apart
 def filter_urls(df: DataFrame, rules: Iterable[tuple[str, str]] = RULES, url: str = "url", default: str = "allow", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Add host, path, rule (null if none fits) and verdict (the rule's action, else ``default``).
 

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, linear_ngrams, packing, parity_join, quality_model, quality_rules, queries, suffix_dedup, token_count, toxicity, url_filter
+from tessera.llm import chat_format, decontaminate, fill_in_middle, linear_ngrams, packing, parity_join, quality_model, quality_rules, queries, suffix_dedup, token_count, toxicity, url_filter
 from tessera.llm.suffix_array import suffix_array
 from tests.compare import connection, same
 from tests.llm import brute
@@ -252,8 +252,10 @@ def test_classifiers_take_empty_tables_and_long_texts(spark, messy_df, module, n
     long_one = messy_df.filter("doc_id = 33").withColumn("text", F.repeat("text", 30))
     rows = f(messy_df.unionByName(long_one), labels).filter("doc_id = 33").select("score").collect()
     assert len(rows) == 2
+    none = f(messy_df.limit(0), labels)
+    assert none.count() == 0 and {"held_out", "score", "predicted"} <= set(none.columns)
     with pytest.raises(ValueError):
-        f(messy_df.limit(0), labels)
+        f(messy_df, labels.limit(0))
 
 
 def test_labels_of_held_out_rows_are_never_learnt_from(spark, data):
@@ -417,14 +419,37 @@ def test_quality_fences_follow_the_spread_of_a_source(spark, messy):
         return "\n".join(lines + [lines[-1][:40]] * 0 + ["an equal line"] * (equal_lines + 1))
 
     def varied(k):
-        return text(int(60 * 1.12 ** (k % 30)), 3 + k % 9, (k % 10) * 6, k % 10, 0)
+        n = int(60 * 1.12 ** (k % 30))
+        shares = [(37 * k + shift) % 100 / 110 for shift in (0, 31, 63)]
+        lines = n // 10
+        return text(n, 3 + k % 9, int(n * shares[0]), int(lines * shares[1] / (1 - shares[1])), int((n - 20) * shares[2] / 2) // 3)
 
-    odd = {"n_words": text(6000), "word_length": text(length=12), "symbol_share": text(symbols=60), "dup_line_share": text(equal_lines=12)}
+    odd = {"n_words": dict(n=2500), "word_length": dict(length=12), "symbol_share": dict(symbols=60), "dup_line_share": dict(equal_lines=12), "repeat_share": dict(repeats=14)}
+    found = {}
     for source, make in (("even", lambda k: text()), ("varied", varied)):
-        rows = [(k, make(k), "en", source) for k in range(60)] + [(100 + i, t, "en", source) for i, t in enumerate(odd.values())]
+        # three of each kind, so that each share's tail is seen at the 99th percentile
+        rows = [(k, make(k), "en", source) for k in range(100)] + [(100 + i, text(**kind), "en", source) for i, kind in enumerate(3 * list(odd.values()))]
         kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-        assert all(kept[k] for k in range(60)), source
-        assert [kept[100 + i] for i in range(len(odd))] == [source == "varied"] * len(odd)
+        found[source] = [kept[100 + i] for i in range(3 * len(odd))]
+        assert sum(kept[k] for k in range(100)) >= (100 if source == "even" else 60)  # equal lines are repeated words too
+    assert found == {"even": [False] * 3 * len(odd), "varied": [True] * 3 * len(odd)}
+
+
+def test_quality_shares_without_a_tail_take_the_next_level_up(spark):
+    """All but a few documents of a language have no symbol: a source of clean ones alone has no tail of its own."""
+    rng = np.random.default_rng(8)
+    text = lambda symbols: " ".join("".join(rng.choice(list("abcdefgh"), 5)) + "$" * (i < symbols) for i in range(200))
+    rows = [(k, text(0), "en", "clean") for k in range(50)] + [(100 + k, text(80 if k < 6 else 0), "en", "mixed") for k in range(50)]
+    rows += [(200 + k, text(0), "de", "clean") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    counted = quality_rules.with_repeats(quality_rules.with_counts(df))
+    limits = {(r["lang"], r["source"]): r["__symbol_share_high"] for r in quality_rules.fences(quality_rules.sketches(counted)).collect()}
+    assert set(limits) == {("en", "mixed"), ("en", "clean"), ("de", "clean")} and all(0.25 < x < 0.42 for x in limits.values())
+    none = quality_rules.fences(quality_rules.sketches(counted.filter("source = 'clean'"))).collect()
+    assert all(r["__symbol_share_high"] is None and r["__n_words_high"] is not None for r in none)
+    more = df.unionByName(spark.createDataFrame([(300, text(90), "en", "clean")], df.schema))
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(more).collect()}
+    assert not kept[300] and all(kept[k] for k in range(50)) and all(kept[106 + k] for k in range(44))
 
 
 def test_quality_takes_clashing_names_null_groups_and_long_lines(spark, messy):
@@ -617,3 +642,82 @@ def test_encoder_matches_the_library(messy, library):
     encode = packing.Encoder(table, {"<|endoftext|>": 50256})
     for _, t in messy:
         assert encode(t or "").tolist() == ids_of(library, t)
+
+
+# Any operator
+
+
+INNER = "doc spans name id words hashes sorted places lines n_lines lang source judged best counted gone again cut n_words_low f0 own_kept".split()
+
+
+@pytest.mark.parametrize("operator", ["filter_urls", "count_tokens", "without_repeats", "digest", "without_leaks", "find_leaks", "judge", "keep_good", "keep_one", "transform"])
+def test_columns_with_inner_names_stay_the_rows_own(spark, messy, operator):
+    """Tables with a column of every inner name, the names of results among them."""
+    columns = [*(f"__{k}" for k in INNER), "leaked_items", "doc", "spans", "key", "part"]
+    rows = [(i, t, "en", "a", *range(len(columns))) for i, t in messy[3:16]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` long" for c in columns))
+    bench = spark.createDataFrame([(1, messy[8][1]), (None, messy[9][1]), (None, messy[9][1] + " and more")], "item_id long, text string")
+    call = {
+        "filter_urls": lambda: url_filter.filter_urls(df, url="text"),
+        "count_tokens": lambda: token_count.count_tokens(df, queries.tokenizer("byte_bpe_50k.json")),
+        "without_repeats": lambda: suffix_dedup.without_repeats(df),
+        "digest": lambda: suffix_dedup.digest(df),
+        "without_leaks": lambda: decontaminate.without_leaks(df, bench),
+        "find_leaks": lambda: decontaminate.find_leaks(df, bench, block_chars=400),
+        "judge": lambda: quality_rules.judge(df),
+        "keep_good": lambda: quality_rules.keep_good(df),
+        "keep_one": lambda: parity_join.keep_one(df),
+        "transform": lambda: fill_in_middle.transform(df),
+    }[operator]
+    out = call()
+    have = out.collect()
+    assert have or operator == "without_leaks"
+    if operator == "digest":
+        assert len(have) == len(rows)
+        return
+    lost = {"find_leaks": {"leaked_items"}}.get(operator, set())
+    for c in set(columns) - lost:
+        assert {r[c] for r in have} == ({columns.index(c)} if have else set()), c
+    if operator == "find_leaks":
+        leaks = {r["doc_id"]: [x["item_id"] for x in r["leaked_items"]] for r in have}
+        assert leaks[10] and None in leaks[12] and all(not leaks[i] for i in (4, 5, 6))
+
+
+def test_join_over_all_blocks_matches_brute_force(spark):
+    """All blocks lose no pair, whatever the sizes."""
+    rng = np.random.default_rng(31)
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 5000, n)]
+    docs = []
+    for n in (70, 90, 128, 131, 200, 257, 400, 700):
+        for _ in range(6):
+            text = words(n)
+            docs.append(text)
+            for edits in (1, n // 100 + 1, n // 60 + 1, n // 40):
+                other = list(text)
+                for at in rng.integers(0, n, edits):
+                    other[at] = "edited"
+                docs.append(other)
+    rows = [(k, " ".join(d)) for k, d in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.components(rows)
+    have = {r["doc_id"]: r["component_id"] for r in parity_join.join_similar(df, blocks=None).collect()}
+    assert have == want and len(set(want.values())) < len(rows)
+    for _, text in rows[::7]:
+        s = parity_join.shingle_set(text)
+        assert len(parity_join.block_keys(s, None)[0]) >= len(parity_join.block_keys(s)[0])
+
+
+def test_runs_delete_their_own_tables_only(spark):
+    from tessera.llm import common
+
+    other = common.written(spark.range(3))
+    with common.own_tables() as mine:
+        first, second = common.written(spark.range(5)), common.written(spark.range(7))
+        common.discard_but(second, mine)
+        assert second.count() == 7 and other.count() == 3 and id(first) not in common._paths
+    with pytest.raises(RuntimeError):
+        with common.own_tables() as mine:
+            third = common.written(spark.range(5))
+            raise RuntimeError
+    assert id(third) not in common._paths and second.count() == 7
+    common.discard(other, second)
