@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, parity_join, quality_rules, suffix_dedup
-from tessera.llm.common import discard_but, table, written, written_tables
+from tessera.llm.common import discard_but, own_tables, table, written
 from tessera.llm.queries import packed
 
 
@@ -42,8 +42,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over ``documents``; what each keeps is written before the next reads it, and tables that are
     read no more are deleted."""
-    docs, before = table(spark, sf_dir, "documents"), written_tables()
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
-        discard_but(docs, before)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    with own_tables() as mine:
+        for _, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir))
+            discard_but(docs, mine)
+        return STAGES[-1][1](spark, docs, sf_dir)
