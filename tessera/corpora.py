@@ -37,9 +37,9 @@ def doc_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors with the path and the first line of the document of the same number."""
+    """All vectors, with the path and the first line of the document of the same number where there is one."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.trim(F.split("text", "\n")[0]).alias("heading"))
-    return table(spark, sf_dir, "embeddings").join(docs, "vec_id").select(F.col("vec_id").alias("section_id"), "path", "heading", "embedding", F.lit("given_64").alias("namespace"))
+    return table(spark, sf_dir, "embeddings").join(docs, "vec_id", "left").select(F.col("vec_id").alias("section_id"), "path", "heading", "embedding", F.lit("given_64").alias("namespace"))
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

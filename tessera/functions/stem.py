@@ -77,16 +77,20 @@ def stem(word: str) -> str:
     return w
 
 
-def stem_vocabulary(words: DataFrame, word: str = "word") -> DataFrame:
-    """(word, stem) of the distinct words; null words are left out."""
+def with_stems(words: DataFrame, word: str = "word") -> DataFrame:
+    """Add stem to rows that have a word."""
 
     @F.pandas_udf("string")
     def stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(stem)
 
-    vocabulary = words.select(F.col(word).alias("word")).filter("word IS NOT NULL").distinct()
-    return vocabulary.withColumn("stem", stems("word"))
+    return words.withColumn("stem", stems(word))
+
+
+def stem_vocabulary(words: DataFrame, word: str = "word") -> DataFrame:
+    """(word, stem) of the distinct words; null words are left out."""
+    return with_stems(words.select(F.col(word).alias("word")).filter("word IS NOT NULL").distinct())
 
 
 def distinct_words(text: Column) -> Column:

@@ -16,12 +16,17 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\W+"), lambda t: F.length(t) >= SHORTEST_TERM)
 
 
+def section_lengths(sections: DataFrame, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+    """(section_id, h, c, dl) of the sections that are ranked: the terms of heading and content, and how many they are."""
+    return sections.filter(F.col("token_count") >= least_tokens).select("section_id", terms(F.col("heading")).alias("h"), terms(F.col("content")).alias("c")).withColumn("dl", F.size("h") + F.size("c"))
+
+
 def build_postings(sections: DataFrame, least_tokens: int = LEAST_TOKENS) -> dict[str, DataFrame]:
     """postings (term, section_id, tf, dl), term_stats (term, df) and stats (n_docs, avg_dl).
 
     tf weighs the heading's terms double; dl counts terms without weights; sections of few tokens are left out.
     """
-    some = sections.filter(F.col("token_count") >= least_tokens).select("section_id", terms(F.col("heading")).alias("h"), terms(F.col("content")).alias("c")).withColumn("dl", F.size("h") + F.size("c"))
+    some = section_lengths(sections, least_tokens)
     weighted = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
     rows = some.select("section_id", "dl", F.explode(F.concat(weighted("h", HEADING_WEIGHT), weighted("c", CONTENT_WEIGHT))).alias("x"))
     postings = rows.groupBy(F.col("x.term").alias("term"), "section_id", "dl").agg(F.sum("x.w").alias("tf")).select("term", "section_id", "tf", "dl")

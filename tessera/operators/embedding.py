@@ -61,7 +61,8 @@ def embedding_text(sections: DataFrame, documents: DataFrame) -> DataFrame:
     return own.select("section_id", "path", "heading", F.concat(head, F.lit("\n\n"), F.col("content")).alias("text"))
 
 
-def _eligible(exclude: list[str] | None) -> Column:
+def eligible(exclude: list[str] | None) -> Column:
+    """Sections of enough words, whose path no glob fits."""
     out = F.col("token_count") >= LEAST_TOKENS
     for glob in exclude or []:
         out &= ~path_matches(F.col("path"), glob)
@@ -72,7 +73,7 @@ def embedding_delta(sections: DataFrame, vectors: DataFrame, exclude: list[str]
     """``due``: eligible sections without a vector; ``stale``: vectors without an eligible section. Keyed by (section_id,
     content_hash), so that edited sections are due; by the id alone with ``parity``."""
     keys = ["section_id"] if parity else ["section_id", "content_hash"]
-    some = sections.filter(_eligible(exclude))
+    some = sections.filter(eligible(exclude))
     return {"due": some.join(vectors.select(*keys), keys, "left_anti"), "stale": vectors.join(some.select(*keys), keys, "left_anti")}
 
 
@@ -102,7 +103,7 @@ def embed(df: DataFrame, provider: Callable[[], EmbeddingProvider], batch_size:
 def embedding_cost(sections: DataFrame, price_per_million: float = 0.02) -> DataFrame:
     """(directory, files, sections, tokens, cost) of eligible sections, one row for each directory."""
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    own = sections.filter(_eligible(None)).groupBy(F.when(folder == "", ".").otherwise(folder).alias("directory"))
+    own = sections.filter(eligible(None)).groupBy(F.when(folder == "", ".").otherwise(folder).alias("directory"))
     return own.agg(F.count_distinct("path").alias("files"), F.count("*").alias("sections"), F.sum("token_count").alias("tokens")).withColumn("cost", F.col("tokens") * price_per_million / 1e6)
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions.stem import stem_vocabulary, text_words
-from tessera.operators import extract
+from tessera.operators import embedding, extract, vector_index
 from tessera.operators.bm25 import build_postings
+from tessera.operators.embedding import EmbeddingProvider
 from tessera.operators.links import resolve_links
-from tessera.sources.scratch import stored
+from tessera.sources.scratch import passing
 
 
 def fingerprints(corpus: DataFrame) -> DataFrame:
@@ -53,7 +56,11 @@ def index_corpus(corpus: DataFrame, folder: str, preamble: bool = False) -> dict
         df.write.parquet(f"{folder}/{name}.parquet")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}.parquet")
 
-    front = stored(extract.split_frontmatter(corpus))
+    with passing() as keep:
+        return _indexed(keep(extract.split_frontmatter(corpus)), kept, preamble)
+
+
+def _indexed(front: DataFrame, kept: Callable[..., DataFrame], preamble: bool) -> dict[str, DataFrame]:
     body = front.select("path", F.col("body").alias("text"))
     sections = kept("sections", extract.extract_sections(body, preamble=preamble))
     links = kept("links", resolve_links(extract.in_sections(extract.extract_links(body).drop("k"), sections)))
@@ -68,6 +75,16 @@ def index_corpus(corpus: DataFrame, folder: str, preamble: bool = False) -> dict
     return out
 
 
+def index_vectors(index: dict[str, DataFrame], provider: Callable[[], EmbeddingProvider], folder: str, exclude: list[str] | None = None) -> vector_index.VectorIndex:
+    """Embed the sections of an index (those with enough words, whose path no glob of ``exclude`` fits) and write the vectors
+    as an inverted-file index, which semantic and hybrid searches look up."""
+    some = index["sections"].filter(embedding.eligible(exclude)).select("section_id")
+    texts = embedding.embedding_text(index["sections"], index["documents"]).join(some, "section_id", "left_semi")
+    with passing() as keep:
+        made = keep(embedding.embed(texts, provider))
+        return vector_index.build(made.join(texts.select("section_id", "path", "heading"), "section_id"), folder)
+
+
 def apply_changes(tables: dict[str, DataFrame], changes: DataFrame, corpus: DataFrame, preamble: bool = False) -> dict[str, DataFrame]:
     """Tables less what belongs to changed and deleted paths, plus what changed and new paths give. Unchanged documents
     are not read again."""

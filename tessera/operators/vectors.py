@@ -1,8 +1,10 @@
-"""Vector search: exact and approximate, boosts, fusion with keyword ranks, re-ranking."""
+"""Vector search: exact, boosts, fusion with keyword ranks, re-ranking."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -13,9 +15,11 @@ from tessera.functions import text as tx
 from tessera.operators.bm25 import bm25_search, top
 from tessera.plans.patterns import path_matches
 
-#: The default similarity threshold, over-fetch, RRF constant, and hash tables of the quality modes.
+if TYPE_CHECKING:
+    from tessera.operators.vector_index import VectorIndex
+
+#: The default similarity threshold, over-fetch and RRF constant.
 THRESHOLD, OVERFETCH, RRF_K = 0.35, 2, 60
-TABLES = {"fast": 6, "balanced": 10, "thorough": 20}
 #: Queries that are broadcast at once; a longer table goes in blocks, or is joined.
 MOST_QUERIES = 4096
 
@@ -41,41 +45,68 @@ def nearest(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     return top(out, limit, "similarity")
 
 
+def unit_rows(series: pd.Series, dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where the vectors of ``dims`` dimensions that have a direction stand, and these as rows of length 1."""
+    at = np.flatnonzero(series.map(lambda v: v is not None and len(v) == dims))
+    if len(at):
+        rows = np.stack(series.to_numpy()[at]).astype(np.float64)
+        norm = np.linalg.norm(rows, axis=1)
+        at, rows, norm = at[norm > 0], rows[norm > 0], norm[norm > 0]
+        if len(at):
+            yield at, rows / norm[:, None]
+
+
+class Best:
+    """The ``limit`` best rows of each of some queries, in arrays; of equal similarities (to nine digits) the smaller ids."""
+
+    def __init__(self, queries: int, limit: int):
+        self.limit = limit
+        self.least = np.full(queries, -np.inf)  # what a row must have at least, once a query has ``limit`` rows
+        self.held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, object), np.zeros(0))] * queries
+
+    def add(self, asks: np.ndarray, ids: np.ndarray, similarity: np.ndarray) -> None:
+        """Rows (ids) by queries (asks)."""
+        order = np.argsort(ids, kind="stable")
+        ids, similarity = ids[order].astype(object), np.round(similarity[order], 12)
+        key = np.round(similarity, 9)
+        for j in np.flatnonzero((key >= self.least[asks]).any(axis=0)):
+            own, q = key[:, j], asks[j]
+            at = np.flatnonzero(own >= self.least[q])
+            if len(at) > self.limit:
+                least = np.partition(own[at], -self.limit)[-self.limit]
+                above, equal = at[own[at] > least], at[own[at] == least]
+                at = np.concatenate((above, equal[: self.limit - len(above)]))
+            names, values = np.concatenate((self.held[q][0], ids[at])), np.concatenate((self.held[q][1], similarity[at, j]))
+            best = sorted(range(len(names)), key=lambda i: (-round(values[i], 9), names[i]))[: self.limit]
+            self.held[q] = names[best], values[best]
+            if len(best) == self.limit:
+                self.least[q] = round(values[best[-1]], 9)
+
+    def rows(self, ids: list) -> Iterator[pd.DataFrame]:
+        for i, (names, values) in zip(ids, self.held):
+            if len(names):
+                yield pd.DataFrame({"query_id": i, "section_id": names.tolist(), "similarity": values})
+
+
 def _scored(shared, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, vectors = shared.value
-        best = [pd.DataFrame({"section_id": [], "similarity": []}) for _ in ids]
-        names = None
+        asked = pd.Series(vectors)
+        sides = {d: next(unit_rows(asked, d), None) for d in set(map(len, vectors)) - {0}}
+        best = Best(len(ids), k)
         for batch in batches:
-            batch = batch[batch["embedding"].notna()]
-            sizes = batch["embedding"].map(len).to_numpy()
-            for d in set(sizes.tolist()) - {0}:
-                own = batch[sizes == d]
-                m = np.stack(own["embedding"].to_numpy()).astype(np.float64)
-                norm = np.linalg.norm(m, axis=1)
-                own, m, norm = own[norm > 0], m[norm > 0], norm[norm > 0]
-                at = [i for i, v in enumerate(vectors) if len(v) == d and np.linalg.norm(v) > 0]
-                if not at or not len(own):
-                    continue
-                q = np.stack([vectors[i] / np.linalg.norm(vectors[i]) for i in at])
-                sims = np.round((m / norm[:, None]) @ q.T, 12)
-                for j, i in enumerate(at):
-                    new = pd.DataFrame({"section_id": own["section_id"].to_numpy(), "similarity": sims[:, j]})
-                    both = pd.concat([best[i], new]) if len(best[i]) else new
-                    both["r"] = -both["similarity"].round(9)
-                    best[i] = both.sort_values(["r", "section_id"], kind="stable").head(k)[["section_id", "similarity"]]
-        for i, b in zip(ids, best):
-            if len(b):
-                yield pd.DataFrame({"query_id": i, "section_id": b["section_id"], "similarity": b["similarity"]})
+            for d, side in sides.items():
+                if side:
+                    for at, rows in unit_rows(batch["embedding"], d):
+                        best.add(side[0], batch["section_id"].to_numpy()[at], rows @ side[1].T)
+        yield from best.rows(ids)
 
     return scored
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, threshold: float = THRESHOLD, quality: str | None = None) -> DataFrame:
-    """The ``limit`` nearest of each query, less those under the threshold. With ``quality``, candidates come from
-    random projections (modes fast, balanced, thorough) and are re-ranked exactly."""
-    near = nearest(vectors, queries, limit) if quality is None else _approximate(vectors, queries, limit, quality)
-    return near.filter(F.round("similarity", 9) >= threshold)
+def vector_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, threshold: float = THRESHOLD) -> DataFrame:
+    """The ``limit`` nearest of each query, less those under the threshold."""
+    return nearest(vectors, queries, limit).filter(F.round("similarity", 9) >= threshold)
 
 
 def vector_search_stats(vectors: DataFrame, queries: DataFrame, limit: int = 10, threshold: float = THRESHOLD) -> DataFrame:
@@ -85,18 +116,6 @@ def vector_search_stats(vectors: DataFrame, queries: DataFrame, limit: int = 10,
     return out.withColumn("suggested", F.greatest(F.lit(0.1), F.col("highest") - 0.05))
 
 
-def _approximate(vectors: DataFrame, queries: DataFrame, limit: int, quality: str) -> DataFrame:
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    unit = Normalizer(inputCol="v", outputCol="unit")
-    left = unit.transform(vectors.select("section_id", array_to_vector("embedding").alias("v")))
-    right = unit.transform(queries.select("query_id", array_to_vector("embedding").alias("v")))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=1.0, numHashTables=TABLES[quality], seed=11).fit(left)
-    pairs = model.approxSimilarityJoin(left, right, 1.3, "distance").select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.section_id").alias("section_id"), (1 - F.col("distance") ** 2 / 2).alias("similarity"))
-    return top(pairs, limit, "similarity")
-
-
 def rerank_boosted(results: DataFrame, queries: DataFrame, limit: int, path: str | None = None) -> DataFrame:
     """Results (query_id, section_id, path, heading, similarity) with boosts for headings and important files, sorted
     anew: boosted (at most 1), rank, and available (how many there were). A path glob drops results first."""
@@ -108,11 +127,16 @@ def rerank_boosted(results: DataFrame, queries: DataFrame, limit: int, path: str
     return top(out, limit, "boosted").drop("query")
 
 
-def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, threshold: float = THRESHOLD, path: str | None = None, filter_mode: str = "pre") -> DataFrame:
+def semantic_search(vectors: DataFrame | VectorIndex, queries: DataFrame, limit: int = 10, threshold: float = THRESHOLD, path: str | None = None, filter_mode: str = "pre", quality: str = "balanced") -> DataFrame:
     """Nearest sections (twice as many as asked for), threshold, path filter, boosts, limit. The path filter is applied
-    before the search unless ``filter_mode`` is "post"."""
-    pool = vectors if path is None or filter_mode == "post" else vectors.filter(path_matches(F.col("path"), path))
-    near = vector_search(pool, queries, limit * OVERFETCH, threshold)
+    before the search unless ``filter_mode`` is "post". A table is searched exactly, an index in the mode ``quality``."""
+    table = vectors if isinstance(vectors, DataFrame) else vectors.vectors
+    pool = table if path is None or filter_mode == "post" else table.filter(path_matches(F.col("path"), path))
+    if isinstance(vectors, DataFrame):
+        near = nearest(pool, queries, limit * OVERFETCH)
+    else:
+        near = replace(vectors, vectors=pool).nearest(queries, limit * OVERFETCH, quality)
+    near = near.filter(F.round("similarity", 9) >= threshold)
     known = near.join(pool.select("section_id", "path", "heading"), "section_id")
     return rerank_boosted(known, queries, limit, path if filter_mode == "post" else None)
 
@@ -129,13 +153,13 @@ def rrf(semantic: DataFrame, keyword: DataFrame, w_semantic: float = 1.0, w_keyw
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "section_id", "score", "rank", "sources")
 
 
-def hybrid_search(queries: DataFrame, vectors: DataFrame | None = None, index: dict[str, DataFrame] | None = None, mode: str = "hybrid", limit: int = 10, threshold: float = THRESHOLD, path: str | None = None, sections: DataFrame | None = None) -> DataFrame:
+def hybrid_search(queries: DataFrame, vectors: DataFrame | VectorIndex | None = None, index: dict[str, DataFrame] | None = None, mode: str = "hybrid", limit: int = 10, threshold: float = THRESHOLD, path: str | None = None, sections: DataFrame | None = None, quality: str = "balanced") -> DataFrame:
     """(query_id, section_id, score, rank, sources). A side that is missing is left out of mode hybrid. Each side fetches
     twice the limit; a path glob drops results but keeps their ranks in the lists."""
     if mode == "hybrid" and (vectors is None or index is None):
         mode = "semantic" if vectors is not None else "keyword"
     fits = (lambda df: df) if path is None else (lambda df: df.join(sections.filter(path_matches(F.col("path"), path)).select("section_id"), "section_id", "left_semi"))
-    near = fits(semantic_search(vectors, queries, limit * OVERFETCH, threshold)) if mode != "keyword" else None
+    near = fits(semantic_search(vectors, queries, limit * OVERFETCH, threshold, quality=quality)) if mode != "keyword" else None
     told = fits(bm25_search(index, queries, limit * OVERFETCH)) if mode != "semantic" else None
     if mode == "hybrid":
         return rrf(near, told, limit=limit)

@@ -77,10 +77,10 @@ bm AS (SELECT * FROM (SELECT query_id, section_id, score, row_number() OVER (PAR
 
 
 def nearest(k: int, important: bool = False) -> str:
-    """Exact neighbours of the vectors whose ids are divisible by 100, among those that have a document."""
+    """Exact neighbours of the vectors whose ids are divisible by 100, among all."""
     file = "CASE WHEN e.vec_id % 7 = 0 THEN '/README.md' ELSE '.md' END" if important else "'.md'"
     return f"""
-v AS (SELECT e.vec_id AS section_id, d.source || '/' || d.doc_id || {file} AS path, trim(string_split(d.text, chr(10))[1]) AS heading, CAST(e.embedding AS DOUBLE[]) AS x FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id),
+v AS (SELECT e.vec_id AS section_id, d.source || '/' || d.doc_id || {file} AS path, trim(string_split(d.text, chr(10))[1]) AS heading, CAST(e.embedding AS DOUBLE[]) AS x FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id),
 qv AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS y FROM embeddings WHERE vec_id % 100 = 0),
 sim AS (SELECT query_id, section_id, path, heading, list_cosine_similarity(x, y) AS similarity FROM v, qv),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, section_id) AS rank FROM sim) WHERE rank <= {k})"""

@@ -12,7 +12,7 @@ from tessera import schemas
 from tessera.corpora import conv_md, doc_plain, doc_vec, feed, page_links, rich_md, table
 from tessera.functions import stem as st
 from tessera.functions import text as tx
-from tessera.operators import bm25, context, duplicates, embedding, extract, filters, incremental, links, stats, vectors
+from tessera.operators import bm25, context, duplicates, embedding, extract, filters, incremental, links, stats, vector_index, vectors
 from tessera.plans import boolean, patterns
 from tessera.sources import corpus
 from tessera.sources.scratch import scratch
@@ -396,18 +396,36 @@ def vector_search_stats(spark, d):
     return vectors.vector_search_stats(doc_vec(spark, d), _asked_vectors(spark, d), NEAR, 0.9).withColumns({c: F.round(c, 9) for c in ("highest", "suggested")})
 
 
+def _vector_index(spark, d) -> vector_index.VectorIndex:
+    """The inverted-file index of all vectors, written once a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _vector_indexes:
+        _vector_indexes[key] = vector_index.build(doc_vec(spark, d), f"{scratch(spark)}/vectors", neighbours=NEAR)
+    return _vector_indexes[key]
+
+
+_vector_indexes: dict[tuple[str, str], vector_index.VectorIndex] = {}
+
+
 @query()
 def approximate_search(spark, d):
-    return vectors.vector_search(doc_vec(spark, d), _asked_vectors(spark, d), NEAR, quality="thorough")
+    return vector_index.search(_vector_index(spark, d), _asked_vectors(spark, d), NEAR, "thorough")
 
 
-@query("SELECT vec_id AS query_id, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+@query("SELECT mode, (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) AS queries, true AS recalled, true AS fewer FROM (VALUES ('fast'), ('balanced'), ('thorough')) m(mode)")
 def approximate_recall(spark, d):
-    """Whether nine in ten of what exact search tells of a vector, itself left out, are among the approximate results."""
-    exact = vectors.vector_search(doc_vec(spark, d), _asked_vectors(spark, d), NEAR).filter("section_id <> query_id").select("query_id", "section_id")
-    found = approximate_search(spark, d).select("query_id", "section_id", F.lit(1).alias("found"))
-    shares = exact.join(found, ["query_id", "section_id"], "left").groupBy("query_id").agg((F.count("found") >= 0.9 * F.count("*")).alias("enough"))
-    return _asked_vectors(spark, d).select("query_id").join(shares, "query_id", "left").select("query_id", F.coalesce("enough", F.lit(True)).alias("enough"))
+    """For each mode, whether it finds what it promises of the exact neighbours of every vector asked for, itself left out
+    (less a twentieth, which is chance), and whether it compares fewer vectors than the next mode."""
+    index, asked_ = _vector_index(spark, d), _asked_vectors(spark, d)
+    exact = vectors.nearest(doc_vec(spark, d), asked_, NEAR).filter("section_id <> query_id").select("query_id", "section_id")
+    modes = [*vector_index.RECALL, "exact"]
+    out, compared = None, {m: vector_index.compared_share(index, asked_, m).agg(F.sum("compared")).first()[0] for m in modes}
+    for mode, further in zip(modes, modes[1:]):
+        found = vector_index.search(index, asked_, NEAR, mode).select("query_id", "section_id", F.lit(1).alias("found"))
+        share = exact.join(found, ["query_id", "section_id"], "left").agg((F.count("found") / F.count("*")).alias("share"))
+        row = asked_.agg(F.count("*").alias("queries")).crossJoin(share).select(F.lit(mode).alias("mode"), "queries", (F.col("share") >= vector_index.RECALL[mode] - 0.05).alias("recalled"), F.lit(compared[mode] < compared[further]).alias("fewer"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 #: The texts that go with the vectors asked for, in turns.
@@ -509,12 +527,12 @@ def embedding_cost(spark, d):
     return embedding.embedding_cost(sections(spark, d)).withColumn("cost", F.round("cost", 9))
 
 
-@query("SELECT 'given_64' AS namespace, count(*) AS vectors, CAST(max(len(embedding)) AS INTEGER) AS dims FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id")
+@query("SELECT 'given_64' AS namespace, count(*) AS vectors, CAST(max(len(embedding)) AS INTEGER) AS dims FROM embeddings")
 def namespaces(spark, d):
     return embedding.namespaces(doc_vec(spark, d)).drop("updated")
 
 
-@query("SELECT 'given_64' AS namespace, count(*) AS vectors, CAST(max(len(embedding)) AS INTEGER) AS dims, CAST(sum(vec_id) AS BIGINT) AS tokens, round(sum(vec_id) * 0.02 / 1e6, 9) AS cost FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id")
+@query("SELECT 'given_64' AS namespace, count(*) AS vectors, CAST(max(len(embedding)) AS INTEGER) AS dims, CAST(sum(vec_id) AS BIGINT) AS tokens, round(sum(vec_id) * 0.02 / 1e6, 9) AS cost FROM embeddings")
 def vector_stats(spark, d):
     return embedding.vector_stats(doc_vec(spark, d).withColumn("tokens", F.col("section_id"))).withColumn("cost", F.round("cost", 9))
 
@@ -727,7 +745,7 @@ def index_round_trip(spark, d):
     return corpus.load_index(spark, f"{folder}/index")["sections"].select("section_id", "path", "number", "content")
 
 
-@query("SELECT vec_id AS section_id, [round(CAST(embedding[1] AS DOUBLE), 6), round(CAST(embedding[64] AS DOUBLE), 6)] AS ends FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id")
+@query("SELECT vec_id AS section_id, [round(CAST(embedding[1] AS DOUBLE), 6), round(CAST(embedding[64] AS DOUBLE), 6)] AS ends FROM embeddings")
 def vector_round_trip(spark, d):
     folder = f"{scratch(spark)}/store"
     corpus.save_vectors(doc_vec(spark, d), folder)
@@ -765,13 +783,25 @@ def stream_index(spark, d):
     return reindex.current(spark, _streamed(spark, d))[1]["sections"].select("path", "heading", "content")
 
 
+@query(
+    f"""WITH {o.bm25_documents([(i, w) for i, w in KEYWORD], TOP).replace("FROM documents)", "FROM (SELECT doc_id, 'doc' AS source, CASE WHEN doc_id % 10 = 1 THEN text || chr(10) || 'edited' ELSE text END AS text FROM documents WHERE doc_id % 10 > 0))")}
+SELECT query_id, section_id AS doc_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM bm"""
+)
+def stream_bm25(spark, d):
+    """BM25 over the streamed index: its postings and counts, summed over bursts, are those of the second version."""
+    index = reindex.current(spark, _streamed(spark, d))[1]
+    number = index["sections"].select("section_id", F.regexp_extract("path", r"/(\d+)\.md$", 1).cast("long").alias("doc_id"))
+    index["postings"] = index["postings"].join(number, "section_id").withColumn("section_id", F.col("doc_id"))
+    return bm25.bm25_search(index, asked(spark, KEYWORD), TOP).select("query_id", F.col("section_id").alias("doc_id"), F.round("score", 9).alias("score"), "rank")
+
+
 @query(
     """SELECT CAST(0 AS BIGINT) AS batch, count(*) FILTER (WHERE doc_id % 10 < 8) AS indexed, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS deleted, count(*) FILTER (WHERE doc_id % 10 < 8) AS total FROM documents
 UNION ALL SELECT 1, count(*) FILTER (WHERE doc_id % 10 IN (1, 8, 9)), 0, count(*) FILTER (WHERE doc_id % 10 = 0), count(*) FILTER (WHERE doc_id % 10 IN (1, 8, 9)) FROM documents"""
 )
 def stream_reports(spark, d):
     folder = _streamed(spark, d)
-    return spark.read.parquet(f"{folder}/v0/report.parquet", f"{folder}/v1/report.parquet").select("batch", "indexed", "skipped", "deleted", "total")
+    return reindex.reports(spark, folder).select("batch", "indexed", "skipped", "deleted", "total")
 
 
 # Searches of a saved index
@@ -848,12 +878,34 @@ def saved_bm25_search(spark, d):
     return found.join(index["sections"].select("section_id", "path"), "section_id").select("query_id", "path", F.round("score", 9).alias("score"))
 
 
-@query("SELECT true AS bm25, false AS vectors, 'keyword' AS recommended")
-def saved_modes(spark, d):
-    folder = saved(spark, d)["sections"].inputFiles()[0].rsplit("/", 2)[0]
-    return spark.createDataFrame([tuple(corpus.detect_modes(spark, folder).values())], "bm25 boolean, vectors boolean, recommended string")
+def saved_vectors(spark: SparkSession, d: str) -> vector_index.VectorIndex:
+    """The vectors of the saved index, by the hashing provider, beside its other tables."""
+    key = (spark.sparkContext.applicationId, d, "saved")
+    if key not in _vector_indexes:
+        _vector_indexes[key] = incremental.index_vectors(saved(spark, d), embedding.HashingProvider, f"{_folder(saved(spark, d))}/{corpus.VECTOR_INDEX}")
+    return _vector_indexes[key]
+
+
+def _folder(index: dict[str, DataFrame]) -> str:
+    return index["sections"].inputFiles()[0].rsplit("/", 2)[0]
+
 
+@query(
+    f"""WITH {o.SEC}, {o.PLAIN}, {_EMBEDDED}, e1 AS (SELECT path, ordinal, text FROM et JOIN sec USING (section_id) WHERE {o.tokens("sec.content")} >= 10
+UNION ALL SELECT path, 0, heading || chr(10) || regexp_extract(path, '/([0-9]+)[.]md$', 1) || chr(10) || chr(10) || content FROM plain WHERE {o.tokens("content")} >= 10), e2 AS (SELECT path || '#' || ordinal AS place, text FROM e1), {o.hashed_vectors("ev", "e2", "place", "text")},
+qt AS (SELECT query_id, trim(regexp_replace(regexp_replace(lower(query), '[^a-zA-Z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM (VALUES {', '.join(f'({i}, {o.q(w)})' for i, w in KEYWORD)}) v(query_id, query)), {o.hashed_vectors("qe", "qt", "query_id", "text")},
+sim AS (SELECT query_id, place, list_cosine_similarity(ev.x, qe.x) AS similarity FROM ev, qe WHERE list_sum(list_transform(ev.x, lambda a: a * a)) > 0 AND list_sum(list_transform(qe.x, lambda a: a * a)) > 0)
+SELECT query_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC) AS rank FROM sim) WHERE rank <= {TOP}"""
+)
+def saved_vector_search(spark, d):
+    """The similarities of the best sections of the saved index, by its own vectors, over all cells."""
+    ask = asked(spark, KEYWORD).select(F.col("query_id").alias("section_id"), tx.preprocess_query(F.col("query")).alias("text"))
+    queries = embedding.embed(ask, embedding.HashingProvider).withColumnRenamed("section_id", "query_id")
+    return vector_index.search(saved_vectors(spark, d), queries, TOP, "exact").select("query_id", F.round("similarity", 6).alias("similarity"))
 
-#: Names that whole queries had beside cut ones, which are gone.
-for _name in ("identities", "query_normal_forms", "extract_code_blocks", "vector_search", "vector_search_stats", "semantic_search", "rank_fusion"):
-    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]
+
+@query(f"WITH {o.SEC}, {o.PLAIN} SELECT true AS bm25, true AS vectors, 'hybrid' AS recommended, (SELECT count(*) FROM sec) + (SELECT count(*) FROM plain) AS sections")
+def saved_modes(spark, d):
+    saved_vectors(spark, d)
+    found = corpus.detect_modes(spark, _folder(saved(spark, d)))
+    return saved(spark, d)["sections"].agg(F.count("*").alias("n")).select(*(F.lit(v).alias(k) for k, v in found.items()), F.col("n").alias("sections"))

@@ -98,12 +98,16 @@ def load_vectors(spark: SparkSession, folder: str, namespace: str, dims: int) ->
     return df
 
 
+#: Where an index folder has its vectors, as vector_index.build writes them.
+VECTOR_INDEX = "vectors"
+
+
 def detect_modes(spark: SparkSession, folder: str) -> dict[str, object]:
     """Which of postings and vectors an index folder has, and the mode to use."""
 
     def exists(name: str) -> bool:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
         return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
-    bm25, vectors = exists("postings"), exists("vectors")
+    bm25, vectors = exists("postings.parquet"), exists("vectors.parquet") or exists(f"{VECTOR_INDEX}/centroids/_SUCCESS")
     return {"bm25": bm25, "vectors": vectors, "recommended": "hybrid" if bm25 and vectors else "semantic" if vectors else "keyword"}

@@ -7,6 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import schemas
 from tessera.operators import context, incremental, vectors
 from tessera.operators.embedding import HashingProvider, embed
 from tessera.sources import corpus
@@ -88,25 +89,11 @@ def test_stream_equals_batch(spark, tmp_path):
         reindex.stream_index(source, str(tmp_path / "index"), str(tmp_path / "checkpoint"), {"availableNow": True}, on_index=seen.append).awaitTermination()
     version, tables = reindex.current(spark, str(tmp_path / "index"))
     assert (version, seen) == (1, [0, 1])
-    assert tables_of(tables) == tables_of(incremental.build_tables(new))
+    assert tables_of({k: tables[k] for k in schemas.TABLES}) == tables_of(incremental.build_tables(new))
     again = reindex.apply_burst(second, 1, str(tmp_path / "index")).first()  # the same burst once more changes nothing
     assert (again["batch"], again["indexed"], again["deleted"]) == (1, 2, 1)
 
 
-def test_a_burst_rewrites_its_own_buckets_alone(spark, tmp_path):
-    schema, folder = "path string, text string, mtime timestamp, op string", str(tmp_path / "index")
-    rows = [(f"{i}.md", f"# T{i}\ntext", T0, "add") for i in range(200)]
-    burst = lambda rows, batch: reindex.apply_burst(spark.createDataFrame(rows, schema), batch, folder).first()
-    burst(rows, 0)
-    for k in range(1, 4):
-        report = burst([("7.md", f"# New {k}", T0 + dt.timedelta(minutes=k), "change")], k)
-        assert (report["indexed"], report["deleted"], report["total"]) == (1, 0, 1)
-    version, tables = reindex.current(spark, folder)
-    assert version == 3 and {r.path: r.heading for r in tables["sections"].select("path", "heading").collect()} == {r[0]: "New 3" if r[0] == "7.md" else r[1][2:].split("\n")[0] for r in rows}
-    assert len(list((tmp_path / "index" / "v3" / "sections.parquet").glob("bucket=*"))) == 1
-    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["v0", "v2", "v3"]  # v1 isn't needed any more
-
-
 def test_packing_stays_in_budget_and_grows_with_it(spark):
     items = spark.createDataFrame([("q", i, t, t // 3) for i, t in enumerate((60, 70, 40, 5, 90, 30))], "query_id string, place int, tokens int, brief_tokens int")
     last = -1
@@ -140,13 +127,3 @@ def test_embedding_is_deterministic_and_tried_again(spark):
 
     one = embed(texts, HashingProvider).orderBy("section_id").collect()
     assert one == embed(texts, Flaky, wait=0.0).orderBy("section_id").collect()
-
-
-def test_approximate_search_has_recall(spark, data):
-    from tessera.corpora import table
-
-    v = table(spark, data, "embeddings").select(F.col("vec_id").alias("section_id"), "embedding")
-    q = table(spark, data, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    exact = {(r.query_id, r.section_id) for r in vectors.nearest(v, q, 1).collect()}
-    found = {(r.query_id, r.section_id) for r in vectors.vector_search(v, q, 1, 0.0, "thorough").collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
