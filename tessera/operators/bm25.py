@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ K1, B = 1.2, 0.75
 HEADING_WEIGHT, CONTENT_WEIGHT, SHORTEST_TERM, LEAST_TOKENS = 2.0, 1.0, 3, 10
 #: Distinct query terms that are looked up by a filter, and rows of query terms that are broadcast, at most.
 MOST_LOOKED_UP, MOST_BROADCAST = 500, 100_000
+#: Queries that are searched in two rounds, at most; levels of impact, the length that they refer to, and what sums may err by.
+MOST_PLANNED, LEVELS, REFERENCE, SLACK = 2_000, 16, 256, 1e-7
 
 
 def terms(text: Column) -> Column:
@@ -33,11 +38,86 @@ def build_postings(sections: DataFrame, least_tokens: int = LEAST_TOKENS) -> dic
     return {"postings": postings, "term_stats": postings.groupBy("term").agg(F.count("*").alias("df")), "stats": some.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))}
 
 
+def with_levels(postings: DataFrame) -> DataFrame:
+    """Postings with the level of their impact, 0 being the highest: how near a posting's gain is to the most that a term
+    can give, for a section of ``REFERENCE`` terms on average. It depends on the posting alone, so levels of tables that are
+    merged stay what they are."""
+    share = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / REFERENCE))
+    return postings.withColumn("level", F.least(F.lit(LEVELS - 1), F.floor((1 - share) * LEVELS)).cast("int"))
+
+
+def impact_blocks(postings: DataFrame) -> DataFrame:
+    """(term, level, n, max_tf, min_dl): the postings of each term and level, and what bounds their gains whatever the
+    average length is."""
+    return postings.groupBy("term", "level").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+
+
+def gain(tf, dl, avg_dl):
+    """What a posting gives for one idf; of columns or numbers."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_dl))
+
+
+@dataclass
+class Plan:
+    """What a search knows before it reads postings: by query and (term, level), the bound and the number of postings."""
+
+    idf: dict[str, float]
+    avg_dl: float
+    blocks: dict[str, dict[int, tuple[float, int]]]
+
+    def first(self, terms: list[str], limit: int) -> list[tuple[str, int]]:
+        """The blocks of highest bounds that hold ``limit`` postings, of each term."""
+        out = []
+        for t in terms:
+            held = 0
+            for level, (_, n) in sorted(self.blocks.get(t, {}).items(), key=lambda b: -b[1][0]):
+                if held >= limit:
+                    break
+                out.append((t, level))
+                held += n
+        return out
+
+    def idle(self, terms: list[str], least: float) -> dict[str, tuple[set[int], float]]:
+        """For each term the blocks of lowest bounds, and the highest of these, so that a section whose postings all lie in
+        such blocks can't reach ``least``. What spares most postings for its bound comes first."""
+        order = {t: sorted(self.blocks.get(t, {}).items(), key=lambda b: b[1][0]) for t in terms}
+        out: dict[str, tuple[set[int], float]] = {t: (set(), 0.0) for t in terms}
+        while True:
+            best = None
+            for t in terms:
+                levels, bound = out[t]
+                if len(levels) < len(order[t]):
+                    level, (more, n) = order[t][len(levels)]
+                    if sum(b for _, b in out.values()) - bound + more < least - SLACK and (best is None or (more - bound) * best[0] < n * best[1]):
+                        best = n, more - bound, t, level, more
+            if best is None:
+                return out
+            _, _, t, level, more = best
+            out[t] = (out[t][0] | {level}, more)
+
+
+def planned(index: dict[str, DataFrame], terms: list[str]) -> Plan:
+    """The bounds of some terms' blocks; a few rows for each term."""
+    known = index["term_stats"].filter(F.col("term").isin(terms)).crossJoin(F.broadcast(index["stats"])).collect()
+    idf = {r["term"]: math.log(1 + (r["n_docs"] - r["df"] + 0.5) / (r["df"] + 0.5)) for r in known}
+    avg_dl = known[0]["avg_dl"] if known else 1.0
+    blocks: dict[str, dict[int, tuple[float, int]]] = {}
+    for r in index["impacts"].filter(F.col("term").isin(list(idf))).collect():
+        blocks.setdefault(r["term"], {})[r["level"]] = idf[r["term"]] * gain(r["max_tf"], r["min_dl"], avg_dl), r["n"]
+    return Plan(idf, avg_dl, blocks)
+
+
 def bm25_search(index: dict[str, DataFrame], queries: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, section_id, score, rank): the best sections of each query, ties by section_id.
 
-    The postings of the queries' terms alone are looked up; of a broadcast size at most MOST_BROADCAST terms.
+    The postings of the queries' terms alone are looked up; of a broadcast size at most MOST_BROADCAST terms. An index with
+    ``impacts`` is searched in two rounds, see ``_in_rounds``, if the queries are few.
     """
+    if "impacts" in index:
+        rows = queries.select("query_id", F.array_distinct(terms(F.col("query"))).alias("terms")).limit(MOST_PLANNED + 1).collect()
+        words = sorted({t for r in rows for t in r["terms"]})
+        if len(rows) <= MOST_PLANNED and len(words) <= MOST_LOOKED_UP:
+            return _in_rounds(index, queries, {r["query_id"]: r["terms"] for r in rows}, words, limit)
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     few = [r["term"] for r in asked.select("term").distinct().limit(MOST_LOOKED_UP + 1).collect()]
     if len(few) <= MOST_LOOKED_UP:  # a filter that reaches the scan: of postings in order of the term few row groups are read
@@ -47,11 +127,48 @@ def bm25_search(index: dict[str, DataFrame], queries: DataFrame, limit: int = 10
         small = F.broadcast(asked) if asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else asked
     known = small.join(index["term_stats"], "term").crossJoin(F.broadcast(index["stats"]))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    scores = index["postings"].join(F.broadcast(known) if small is not asked else known, "term").groupBy("query_id", "section_id").agg(F.sum(idf * gain).alias("score"))
+    worth = idf * gain(F.col("tf"), F.col("dl"), F.col("avg_dl"))
+    scores = index["postings"].join(F.broadcast(known) if small is not asked else known, "term").groupBy("query_id", "section_id").agg(F.sum(worth).alias("score"))
     return top(scores, limit)
 
 
+def _in_rounds(index: dict[str, DataFrame], queries: DataFrame, asked: dict, words: list[str], limit: int) -> DataFrame:
+    """Two rounds. The first scores the blocks of highest impact alone; the ``limit``-th of these scores is what a section
+    must reach at least. So the blocks of lowest impact can be left idle: a section that is in no other block falls short.
+    The second round scores the other blocks, drops sections that fall short even with the most that idle blocks can add,
+    and looks up what these add to the few that are left. The results are those of scoring every posting.
+    """
+    spark, plan = queries.sparkSession, planned(index, words)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    asked = {q: [t for t in own if t in plan.idf] for q, own in asked.items()}
+    postings = index["postings"]
+
+    def scored(blocks: list[tuple]) -> DataFrame:
+        """(query_id, section_id, worth, most) of postings; blocks are (query, term, level, idf, the most that the term's idle
+        blocks give)."""
+        some = sorted({b[1] for b in blocks})
+        side = spark.createDataFrame(blocks, f"query_id {kind}, term string, level int, idf double, most double")
+        rows = postings.filter(F.col("term").isin(some)).join(F.broadcast(side), ["term", "level"])
+        return rows.select("query_id", "section_id", (F.col("idf") * gain(F.col("tf"), F.col("dl"), F.lit(plan.avg_dl))).alias("worth"), "most")
+
+    first = [(q, t, level, plan.idf[t], 0.0) for q, own in asked.items() for t, level in plan.first(own, limit)]
+    if not first:
+        return top(spark.createDataFrame([], f"query_id {kind}, section_id {postings.schema['section_id'].dataType.simpleString()}, score double"), limit)
+    begun = top(scored(first).groupBy("query_id", "section_id").agg(F.sum("worth").alias("score")), limit).filter(F.col("rank") == limit)
+    least = {r["query_id"]: r["score"] for r in begun.collect()}  # a row a query; where there are fewer sections, all blocks are scored
+    idle = {q: plan.idle(own, least.get(q, 0.0)) for q, own in asked.items()}
+    busy = [(q, t, level, plan.idf[t], idle[q][t][1]) for q, own in asked.items() for t in own for level in plan.blocks.get(t, {}) if level not in idle[q][t][0]]
+    rest = [(q, t, level, plan.idf[t], 0.0) for q, own in asked.items() for t in own for level in idle[q][t][0]]
+    bounds = [(q, float(least.get(q, 0.0)), float(sum(b for _, b in idle[q].values()))) for q in asked]
+    bounds = spark.createDataFrame(bounds, f"query_id {kind}, least double, idle double")
+    found = scored(busy).groupBy("query_id", "section_id").agg(F.sum("worth").alias("score"), F.sum("most").alias("met")).join(F.broadcast(bounds), "query_id")
+    found = found.filter(F.col("score") + F.col("idle") - F.col("met") >= F.col("least") - SLACK).select("query_id", "section_id", "score")
+    if rest:
+        more = scored(rest).join(found.select("query_id", "section_id"), ["query_id", "section_id"], "left_semi").select("query_id", "section_id", F.col("worth").alias("score"))
+        found = found.unionByName(more).groupBy("query_id", "section_id").agg(F.sum("score").alias("score"))
+    return top(found, limit)
+
+
 def top(scores: DataFrame, limit: int, score: str = "score", key: str = "section_id") -> DataFrame:
     """The best of each query with their rank from 1; equal scores (to nine digits) in order of the key."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round(score, 9)), key)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions.stem import distinct_words, stem, stem_vocabulary, text_words
+from tessera.operators.lookups import DELETIONS, looked_up, meeting
 from tessera.plans.boolean import boolean_match
 from tessera.plans.patterns import check_regex, heading_regex, path_matches
 
@@ -91,16 +92,23 @@ def _split(query: str) -> list[str]:
     return [w for w in dict.fromkeys(re.split(r"[\W_]+", query.lower(), flags=re.ASCII)) if w]
 
 
-def fuzzy_match(df: DataFrame, query: str, key: str = "section_id", text: str = "content", distance: int | None = 2, stems: bool = True, words: DataFrame | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
+def fuzzy_match(df: DataFrame, query: str, key: str = "section_id", text: str = "content", distance: int | None = 2, stems: bool = True, words: DataFrame | None = None, vocabulary: DataFrame | None = None, lookups: DataFrame | None = None) -> DataFrame:
     """Rows in whose text every query word has an equal word, one of the same stem, or one within the distance.
 
     Without stems this is a filter, and nothing is shuffled. Stems are worked out once for each distinct word; an index has
-    ``words`` (key, word) and their ``vocabulary`` (word, stem), which are then looked up instead of the texts.
+    ``words`` (key, word) and their ``vocabulary`` (word, stem), which are then looked up instead of the texts, and
+    ``lookups`` of the vocabulary, of which distances up to lookups.DELETIONS read a few keys.
     """
     asked = _split(query)
+    if not asked:
+        return df.limit(0)
     if not stems and words is None:
         own = distinct_words(F.col(text))
-        return df.filter(F.forall(_asked(asked), lambda q: F.exists(own, lambda w: _meets(w, q, distance)))) if asked else df.limit(0)
+        return df.filter(F.forall(_asked(asked), lambda q: F.exists(own, lambda w: _meets(w, q, distance))))
+    if words is not None and lookups is not None and (distance or 0) <= DELETIONS:
+        hits = looked_up(words, meeting(lookups, asked, distance, stems))
+        full = hits.groupBy(key).agg(F.count_distinct("query_word").alias("n")).filter(F.col("n") == len(asked))
+        return df.join(full.select(key), key, "left_semi")
     words = text_words(df, text, key) if words is None else words
     vocabulary = (stem_vocabulary(words) if stems else words.select("word").distinct()) if vocabulary is None else vocabulary
     meet = _meeting(vocabulary, asked, distance, stems)

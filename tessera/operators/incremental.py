@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.functions.stem import stem_vocabulary, text_words
 from tessera.operators import embedding, extract, vector_index
-from tessera.operators.bm25 import build_postings
+from tessera.operators.bm25 import build_postings, impact_blocks, with_levels
 from tessera.operators.embedding import EmbeddingProvider
 from tessera.operators.links import resolve_links
+from tessera.operators.lookups import lookup_rows
 from tessera.sources.scratch import passing
 
 
@@ -67,11 +68,13 @@ def _indexed(front: DataFrame, kept: Callable[..., DataFrame], preamble: bool) -
     code = kept("code_blocks", extract.in_sections(extract.extract_code_blocks(body).withColumn("line", F.col("start_line")), sections).drop("line"))
     documents = kept("documents", extract.document_stats(front, sections, links, code).join(front.select("path", "frontmatter", "tags", "mtime"), "path"))
     made = build_postings(sections)
-    out = {"documents": documents, "sections": sections, "links": links, "code_blocks": code, "postings": kept("postings", made["postings"], "term", "section_id")}
+    out = {"documents": documents, "sections": sections, "links": links, "code_blocks": code, "postings": kept("postings", with_levels(made["postings"]), "term", "level", "section_id")}
+    out["impacts"] = kept("impacts", impact_blocks(out["postings"]), "term")
     out["term_stats"] = kept("term_stats", out["postings"].groupBy("term").agg(F.count("*").alias("df")), "term")
     out["stats"] = kept("stats", made["stats"])
     out["words"] = kept("words", text_words(sections, "content", "section_id").select("word", "section_id"), "word", "section_id")
     out["vocabulary"] = kept("vocabulary", stem_vocabulary(out["words"]))
+    out["lookups"] = kept("lookups", lookup_rows(out["vocabulary"]), "key", "word")
     return out
 
 

@@ -12,7 +12,7 @@ from tessera import schemas
 from tessera.corpora import conv_md, doc_plain, doc_vec, feed, page_links, rich_md, table
 from tessera.functions import stem as st
 from tessera.functions import text as tx
-from tessera.operators import bm25, context, duplicates, embedding, extract, filters, incremental, links, stats, vector_index, vectors
+from tessera.operators import bm25, context, duplicates, embedding, extract, filters, incremental, links, lookups, stats, vector_index, vectors
 from tessera.plans import boolean, patterns
 from tessera.sources import corpus
 from tessera.sources.scratch import scratch
@@ -860,13 +860,13 @@ def saved_regex_search(spark, d):
 @query(SQL["fuzzy_search"])
 def saved_fuzzy_search(spark, d):
     index = saved(spark, d)
-    return filters.fuzzy_match(in_documents(index["sections"]), "idiots the", distance=2, stems=False, words=index["words"], vocabulary=index["vocabulary"]).select("path")
+    return filters.fuzzy_match(in_documents(index["sections"]), "idiots the", distance=2, stems=False, words=index["words"], lookups=index["lookups"]).select("path")
 
 
 @query(SQL["stem_search"])
 def saved_stem_search(spark, d):
     index = saved(spark, d)
-    return filters.fuzzy_match(in_documents(index["sections"]), "idiots stupidity", distance=None, words=index["words"], vocabulary=index["vocabulary"]).select("path")
+    return filters.fuzzy_match(in_documents(index["sections"]), "idiots stupidity", distance=None, words=index["words"], lookups=index["lookups"]).select("path")
 
 
 @query(
@@ -878,6 +878,15 @@ def saved_bm25_search(spark, d):
     return found.join(index["sections"].select("section_id", "path"), "section_id").select("query_id", "path", F.round("score", 9).alias("score"))
 
 
+@query(SQL["fuzzy_words"])
+def saved_fuzzy_words(spark, d):
+    """The words of the documents within two edits of a query word, by the keys of the saved index."""
+    index = saved(spark, d)
+    own = in_documents(index["sections"]).select("section_id")
+    met = lookups.looked_up(index["words"], lookups.meeting(index["lookups"], ["idiot", "that"], 2, False))
+    return met.join(own, "section_id", "left_semi").select("word", "query_word").distinct()
+
+
 def saved_vectors(spark: SparkSession, d: str) -> vector_index.VectorIndex:
     """The vectors of the saved index, by the hashing provider, beside its other tables."""
     key = (spark.sparkContext.applicationId, d, "saved")

@@ -9,4 +9,4 @@ CODE_BLOCKS = "path string, section_id string, language string, content string,
 VECTORS = "section_id string, path string, heading string, embedding array<float>, namespace string"
 TABLES = {"documents": DOCUMENTS, "sections": SECTIONS, "links": LINKS, "code_blocks": CODE_BLOCKS}
 #: What searches look up instead of the texts.
-SEARCH_TABLES = {"postings": "term string, section_id string, tf double, dl int", "term_stats": "term string, df bigint", "stats": "n_docs bigint, avg_dl double", "words": "word string, section_id string", "vocabulary": "word string, stem string"}
+SEARCH_TABLES = {"postings": "term string, level int, section_id string, tf double, dl int", "impacts": "term string, level int, n bigint, max_tf double, min_dl int", "term_stats": "term string, df bigint", "stats": "n_docs bigint, avg_dl double", "words": "word string, section_id string", "vocabulary": "word string, stem string", "lookups": "key string, word string"}
