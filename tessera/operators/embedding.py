@@ -77,6 +77,18 @@ def embedding_delta(sections: DataFrame, vectors: DataFrame, exclude: list[str]
     return {"due": some.join(vectors.select(*keys), keys, "left_anti"), "stale": vectors.join(some.select(*keys), keys, "left_anti")}
 
 
+def asked_again(provider: EmbeddingProvider, texts: list[str], tries: int, wait: float) -> tuple[list[list[float]], int]:
+    """What a provider says; a failed request is tried again after twice the wait."""
+    for attempt in range(tries):
+        try:
+            return provider.embed(texts)
+        except (ConnectionError, TimeoutError):
+            if attempt == tries - 1:
+                raise
+            time.sleep(wait * 2**attempt)
+    raise ValueError("at least one try is needed")
+
+
 def embed(df: DataFrame, provider: Callable[[], EmbeddingProvider], batch_size: int = BATCH, tries: int = TRIES, wait: float = 0.5) -> DataFrame:
     """(section_id, embedding, tokens) of (section_id, text). ``provider`` makes a provider once in each task; a failed
     request is tried again after twice the wait. A batch's tokens stand in its first row."""
@@ -86,14 +98,7 @@ def embed(df: DataFrame, provider: Callable[[], EmbeddingProvider], batch_size:
         for pdf in batches:
             for first in range(0, len(pdf), batch_size):
                 part = pdf.iloc[first : first + batch_size]
-                for attempt in range(tries):
-                    try:
-                        vectors, tokens = own.embed(part["text"].tolist())
-                        break
-                    except (ConnectionError, TimeoutError):
-                        if attempt == tries - 1:
-                            raise
-                        time.sleep(wait * 2**attempt)
+                vectors, tokens = asked_again(own, part["text"].tolist(), tries, wait)
                 yield pd.DataFrame({"section_id": part["section_id"], "embedding": vectors, "tokens": [tokens] + [0] * (len(part) - 1)})
 
     kind = df.schema["section_id"].dataType.simpleString()

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from re import _constants as sre
 from re import _parser as syntax
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The longest pattern taken, and what is ignored by default.
@@ -107,7 +109,7 @@ def _explodes(sequence) -> bool:
 
 def check_regex(pattern: str) -> str:
     """The pattern, unless it is too long, invalid, or repeats what can be read in several ways, which may backtrack
-    without end. It is judged by its syntax tree."""
+    without end. It is judged by its syntax tree as Python reads it, so what Java alone knows (``\\p{Lu}``) is invalid here."""
     if len(pattern) > MOST_REGEX:
         raise ValueError(f"a pattern has at most {MOST_REGEX} characters, this one {len(pattern)}")
     try:
@@ -119,6 +121,24 @@ def check_regex(pattern: str) -> str:
     return pattern
 
 
+def judged_patterns(df: DataFrame, pattern: str = "pattern") -> DataFrame:
+    """Add safe and reason (null if safe) to a table of patterns, by ``check_regex``; a null pattern isn't safe."""
+
+    @F.pandas_udf("string")
+    def wrong(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in batches:
+            out = []
+            for p in series:
+                try:
+                    out.append(None if check_regex(p) == p else "")
+                except ValueError as e:
+                    out.append(str(e))
+            yield pd.Series(out, dtype="object")
+
+    reason = F.when(F.col(pattern).isNull(), "no pattern").otherwise(wrong(F.coalesce(pattern, F.lit(""))))
+    return df.withColumn("reason", reason).withColumn("safe", F.col("reason").isNull())
+
+
 def ignore_regex(rule: str) -> tuple[str, bool, bool]:
     """Of one gitignore rule: the regular expression of the paths it names, whether it takes back (``!``), and whether it
     names folders alone."""

@@ -12,7 +12,7 @@ from tessera import schemas
 from tessera.corpora import conv_md, doc_plain, doc_vec, feed, page_links, rich_md, table
 from tessera.functions import stem as st
 from tessera.functions import text as tx
-from tessera.operators import bm25, context, duplicates, embedding, extract, filters, incremental, links, lookups, stats, vector_index, vectors
+from tessera.operators import bm25, context, duplicates, embed_store, embedding, extract, filters, incremental, links, lookups, stats, vector_index, vectors
 from tessera.plans import boolean, patterns
 from tessera.sources import corpus
 from tessera.sources.scratch import scratch
@@ -522,6 +522,15 @@ def embed(spark, d):
     return embedding.embed(own, embedding.HashingProvider).select("section_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
 
 
+@query(SQL["embed"])
+def embed_once(spark, d):
+    """The same through a store, which holds every third section when it is asked for all."""
+    own, folder = sections(spark, d).select("section_id", F.col("content").alias("text")), scratch(spark)
+    embed_store.fill(own.filter("pmod(crc32(section_id), 3) = 0"), embedding.HashingProvider, folder, "hashing_64")
+    made = embed_store.embed_once(own, embedding.HashingProvider, folder, "hashing_64")
+    return made.select("section_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
+
+
 @query(f"WITH {o.SEC} SELECT 'conv' AS directory, count(DISTINCT path) AS files, count(*) AS sections, CAST(sum(token_count) AS BIGINT) AS tokens, round(sum(token_count) * 0.02 / 1e6, 9) AS cost FROM sec WHERE token_count >= 10")
 def embedding_cost(spark, d):
     return embedding.embedding_cost(sections(spark, d)).withColumn("cost", F.round("cost", 9))
@@ -753,6 +762,26 @@ def vector_round_trip(spark, d):
     return corpus.load_vectors(spark, folder, "given_64", 64).select("section_id", F.array(end(0), end(63)).alias("ends"))
 
 
+@query("SELECT source || '/' || doc_id || '.md' AS path, text FROM documents WHERE text IS NOT NULL AND lang IS DISTINCT FROM 'de'")
+def directory_scan(spark, d):
+    """The documents as a folder of Markdown files, read without what its ignore file and the caller exclude."""
+    folder = f"{scratch(spark)}/notes"
+    docs = doc_plain(spark, d).join(table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "lang"), "path")
+    corpus.write_folder(docs.filter("text IS NOT NULL").withColumn("path", F.when(F.col("lang").eqNullSafe(F.lit("de")), F.concat(F.lit("drafts/"), "path")).otherwise(F.col("path"))), folder)
+    corpus.write_folder(spark.createDataFrame([(".gitignore", "drafts/\n"), ("node_modules/x.md", "x"), ("notes.txt", "x")], "path string, text string"), folder)
+    return corpus.read_corpus(spark, folder).select("path", "text")
+
+
+@query("""SELECT doc_id, doc_id % 3 = 0 AS safe, CASE doc_id % 3 WHEN 1 THEN 'the pattern may backtrack without end' WHEN 2 THEN 'not a pattern' END AS reason FROM documents WHERE regexp_matches(text, '[a-z]')""")
+def regex_guard(spark, d):
+    """A pattern made of a word of each document, with what is safe, may backtrack without end, or is no pattern around it."""
+    word = F.regexp_extract("text", "[a-z]+", 0)
+    forms = [F.concat(word, F.lit("+")), F.concat(F.lit("((?:"), word, F.lit(")+)+$")), F.concat(F.lit("("), word)]
+    rest = F.col("doc_id") % 3
+    own = table(spark, d, "documents").filter(F.col("text").rlike("[a-z]")).select("doc_id", F.when(rest == 0, forms[0]).when(rest == 1, forms[1]).otherwise(forms[2]).alias("pattern"))
+    return patterns.judged_patterns(own).select("doc_id", "safe", F.regexp_extract("reason", "^[^:]*", 0).alias("reason"))
+
+
 @query("SELECT source || '/' || doc_id || '.md' AS path, 'ValueError: not wanted' AS error FROM documents WHERE contains(text, 'idiot')")
 def extraction_errors(spark, d):
     def parse(text: str) -> int:

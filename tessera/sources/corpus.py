@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +16,15 @@ IGNORE_FILES, MOST_RULES = (".gitignore", ".mdmignore"), 1 << 20
 
 
 def read_corpus(spark: SparkSession, roots: str | list[str], exclude: list[str] | None = None, ignore_files: tuple[str, ...] = IGNORE_FILES) -> DataFrame:
-    """(path, text, mtime) of every .md and .mdx file below the roots; hidden files and folders are left out.
+    """(path, text, mtime) of every .md and .mdx file below the roots; hidden files and folders, and files
+    without a byte, are left out.
 
     ``path`` is relative to its root. Later rules outrank earlier: built-in ones, those of the root's ``ignore_files`` in
     their order, then ``exclude``.
     """
     found = None
     for root in [roots] if isinstance(roots, str) else roots:
-        files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,mdx}").text(root)
+        files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,mdx}").text(root, wholetext=True)
         full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
         base = root.split("://", 1)[-1].rstrip("/")
         part = files.select(F.regexp_replace(full, f"^.*?{_literal(base)}/", "").alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("mtime"))
@@ -30,6 +34,29 @@ def read_corpus(spark: SparkSession, roots: str | list[str], exclude: list[str]
     return found
 
 
+def write_folder(corpus: DataFrame, folder: str) -> None:
+    """Write each (path, text) as a file below a folder that the driver and all tasks share; a null text is an empty file."""
+    import pyarrow.fs
+
+    store, root = pyarrow.fs.FileSystem.from_uri(folder)
+
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        to = pyarrow.fs.FileSystem.from_uri(folder)[0]
+        made = set()
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"]):
+                name = f"{root}/{path}"
+                if (parent := name.rpartition("/")[0]) not in made:
+                    to.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with to.open_output_stream(name) as out:
+                    out.write((text or "").encode("utf-8"))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    store.create_dir(root, recursive=True)
+    corpus.select("path", "text").mapInPandas(written, "n long").agg(F.sum("n")).collect()
+
+
 def _rules(spark: SparkSession, file: str) -> list[str]:
     """The lines of a small file of rules; none where there is no such file."""
     path = spark._jvm.org.apache.hadoop.fs.Path(file)
