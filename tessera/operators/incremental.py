@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera import schemas
 from tessera.functions import text as tx
 from tessera.functions.stem import stem_vocabulary, text_words
 from tessera.operators import embedding, extract, vector_index
@@ -46,14 +48,13 @@ def build_tables(corpus: DataFrame, preamble: bool = False) -> dict[str, DataFra
 def index_corpus(corpus: DataFrame, folder: str, preamble: bool = False) -> dict[str, DataFrame]:
     """Write all tables of an index from (path, text, mtime), search tables included, and return them as they are read back.
 
-    Each table is made from those written before it, so a text is parsed once. Postings and words lie in order of the term,
-    so that a search reads the row groups of its own terms.
+    Each table is made from those written before it, so a text is parsed once. Tables that don't need each other are written
+    side by side, so that the few tasks at a job's end leave no cores idle. Postings and words lie in order of the term, and
+    lookups in order of the key within each file, so that a search reads the row groups of its own terms.
     """
     spark = corpus.sparkSession
 
-    def kept(name: str, df: DataFrame, *order: str) -> DataFrame:
-        if order:
-            df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    def kept(name: str, df: DataFrame) -> DataFrame:
         df.write.parquet(f"{folder}/{name}.parquet")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}.parquet")
 
@@ -61,21 +62,39 @@ def index_corpus(corpus: DataFrame, folder: str, preamble: bool = False) -> dict
         return _indexed(keep(extract.split_frontmatter(corpus)), kept, preamble)
 
 
-def _indexed(front: DataFrame, kept: Callable[..., DataFrame], preamble: bool) -> dict[str, DataFrame]:
+def _in_order(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows over all tasks in order; a frequent value of the first column is dealt over several."""
+    return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+
+
+def _indexed(front: DataFrame, kept: Callable[[str, DataFrame], DataFrame], preamble: bool) -> dict[str, DataFrame]:
     body = front.select("path", F.col("body").alias("text"))
-    sections = kept("sections", extract.extract_sections(body, preamble=preamble))
-    links = kept("links", resolve_links(extract.in_sections(extract.extract_links(body).drop("k"), sections)))
-    code = kept("code_blocks", extract.in_sections(extract.extract_code_blocks(body).withColumn("line", F.col("start_line")), sections).drop("line"))
-    documents = kept("documents", extract.document_stats(front, sections, links, code).join(front.select("path", "frontmatter", "tags", "mtime"), "path"))
-    made = build_postings(sections)
-    out = {"documents": documents, "sections": sections, "links": links, "code_blocks": code, "postings": kept("postings", with_levels(made["postings"]), "term", "level", "section_id")}
-    out["impacts"] = kept("impacts", impact_blocks(out["postings"]), "term")
-    out["term_stats"] = kept("term_stats", out["postings"].groupBy("term").agg(F.count("*").alias("df")), "term")
-    out["stats"] = kept("stats", made["stats"])
-    out["words"] = kept("words", text_words(sections, "content", "section_id").select("word", "section_id"), "word", "section_id")
-    out["vocabulary"] = kept("vocabulary", stem_vocabulary(out["words"]))
-    out["lookups"] = kept("lookups", lookup_rows(out["vocabulary"]), "key", "word")
-    return out
+    out = {"sections": kept("sections", extract.extract_sections(body, preamble=preamble))}
+    sections = out["sections"]
+
+    def structure() -> None:
+        out["links"] = kept("links", resolve_links(extract.in_sections(extract.extract_links(body).drop("k"), sections)))
+        out["code_blocks"] = kept("code_blocks", extract.in_sections(extract.extract_code_blocks(body).withColumn("line", F.col("start_line")), sections).drop("line"))
+        stats = extract.document_stats(front, sections, out["links"], out["code_blocks"])
+        out["documents"] = kept("documents", stats.join(front.select("path", "frontmatter", "tags", "mtime"), "path"))
+
+    def ranking() -> None:
+        made = build_postings(sections)
+        out["postings"] = kept("postings", _in_order(with_levels(made["postings"]), "term", "level", "section_id"))
+        out["impacts"] = kept("impacts", _in_order(impact_blocks(out["postings"]), "term"))
+        out["term_stats"] = kept("term_stats", _in_order(out["impacts"].groupBy("term").agg(F.sum("n").alias("df")), "term"))
+        out["stats"] = kept("stats", made["stats"])
+
+    def vocabulary() -> None:
+        out["words"] = kept("words", _in_order(text_words(sections, "content", "section_id").select("word", "section_id"), "word", "section_id"))
+        out["vocabulary"] = kept("vocabulary", stem_vocabulary(out["words"]))
+        # keys are made once: a key has few words, and so needs no ranges, whose borders would be sampled first
+        out["lookups"] = kept("lookups", lookup_rows(out["vocabulary"]).repartition("key").sortWithinPartitions("key", "word"))
+
+    with ThreadPoolExecutor(3) as side_by_side:
+        for job in [side_by_side.submit(f) for f in (structure, ranking, vocabulary)]:
+            job.result()
+    return {k: out[k] for k in (*schemas.TABLES, *schemas.SEARCH_TABLES)}
 
 
 def index_vectors(index: dict[str, DataFrame], provider: Callable[[], EmbeddingProvider], folder: str, exclude: list[str] | None = None) -> vector_index.VectorIndex:
