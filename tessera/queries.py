@@ -17,6 +17,7 @@ from tessera.plans import boolean, patterns
 from tessera.sources import corpus
 from tessera.sources.scratch import scratch
 from tessera.streaming import reindex
+from tessera.streaming.folder import FolderFeed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -792,14 +793,19 @@ def extraction_errors(spark, d):
     return extract.split_errors(doc_plain(spark, d), parse, "int")[1]
 
 
-def _streamed(spark: SparkSession, d: str) -> str:
-    """An index folder after two bursts of a change feed through Structured Streaming."""
-    folder = scratch(spark)
+def _bursts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two bursts of changes: what makes the first version of the documents, and what makes the second of it."""
     one, two = feed(spark, d)
     gone = one.join(two.select("path"), "path", "left_anti").select("path", F.lit(None).cast("string").alias("text"), F.timestamp_seconds(F.lit(60)).alias("mtime"), F.lit("delete").alias("op"))
     edits = two.filter(F.col("mtime") > F.timestamp_seconds(F.lit(0))).withColumn("op", F.lit("change"))
     added = two.join(one.select("path"), "path", "left_anti").withColumn("op", F.lit("add"))
-    for burst in (one.withColumn("op", F.lit("add")), edits.unionByName(added).unionByName(gone)):
+    return one.withColumn("op", F.lit("add")), edits.unionByName(added).unionByName(gone)
+
+
+def _streamed(spark: SparkSession, d: str) -> str:
+    """An index folder after two bursts of a change feed through Structured Streaming."""
+    folder = scratch(spark)
+    for burst in _bursts(spark, d):
         burst.write.mode("append").parquet(f"{folder}/feed")
         source = spark.readStream.schema("path string, text string, mtime timestamp, op string").parquet(f"{folder}/feed")
         reindex.stream_index(source, f"{folder}/index", f"{folder}/progress", {"availableNow": True}, preamble=True).awaitTermination()
@@ -833,6 +839,18 @@ def stream_reports(spark, d):
     return reindex.reports(spark, folder).select("batch", "indexed", "skipped", "deleted", "total")
 
 
+@query(SQL["apply_changes"])
+def folder_index(spark, d):
+    """The index of a watched folder, written from the first version of the documents and edited to the second."""
+    base = scratch(spark)
+    spark.dataSource.register(FolderFeed)
+    for burst in _bursts(spark, d):
+        corpus.write_folder(burst, f"{base}/notes")
+        source = spark.readStream.format("markdown_folder").option("path", f"{base}/notes").option("state", f"{base}/manifests").load()
+        reindex.stream_index(source, f"{base}/index", f"{base}/progress", {"availableNow": True}, preamble=True).awaitTermination()
+    return reindex.current(spark, f"{base}/index")[1]["sections"].select("path", "heading", "content")
+
+
 # Searches of a saved index
 
 _saved: dict[tuple[str, str], dict[str, DataFrame]] = {}

@@ -35,7 +35,10 @@ def read_corpus(spark: SparkSession, roots: str | list[str], exclude: list[str]
 
 
 def write_folder(corpus: DataFrame, folder: str) -> None:
-    """Write each (path, text) as a file below a folder that the driver and all tasks share; a null text is an empty file."""
+    """Write each (path, text) as a file below a folder that the driver and all tasks share; a null text is an empty file.
+
+    With a column ``op``, files of rows whose op is delete are deleted instead.
+    """
     import pyarrow.fs
 
     store, root = pyarrow.fs.FileSystem.from_uri(folder)
@@ -44,8 +47,11 @@ def write_folder(corpus: DataFrame, folder: str) -> None:
         to = pyarrow.fs.FileSystem.from_uri(folder)[0]
         made = set()
         for batch in batches:
-            for path, text in zip(batch["path"], batch["text"]):
+            for path, text, op in zip(batch["path"], batch["text"], batch["op"]):
                 name = f"{root}/{path}"
+                if op == "delete":
+                    to.delete_file(name)
+                    continue
                 if (parent := name.rpartition("/")[0]) not in made:
                     to.create_dir(parent, recursive=True)
                     made.add(parent)
@@ -54,7 +60,8 @@ def write_folder(corpus: DataFrame, folder: str) -> None:
             yield pd.DataFrame({"n": [len(batch)]})
 
     store.create_dir(root, recursive=True)
-    corpus.select("path", "text").mapInPandas(written, "n long").agg(F.sum("n")).collect()
+    op = F.col("op") if "op" in corpus.columns else F.lit("add")
+    corpus.select("path", "text", op.alias("op")).mapInPandas(written, "n long").agg(F.sum("n")).collect()
 
 
 def _rules(spark: SparkSession, file: str) -> list[str]:
