@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.functions.stem import distinct_words, stem, stem_vocabulary, text_words
 from tessera.operators.lookups import DELETIONS, looked_up, meeting
+from tessera.operators.trigrams import narrowed
 from tessera.plans.boolean import boolean_match
 from tessera.plans.patterns import check_regex, heading_regex, path_matches
+from tessera.plans.trigrams import of_pattern, of_query
 
 ORDER = ("path", "start_line")
 
@@ -31,9 +33,10 @@ def search_sections(sections: DataFrame, heading: str | None = None, path: str |
     return out if limit is None else out.orderBy(*ORDER).limit(limit)
 
 
-def content_search(sections: DataFrame, query: str) -> DataFrame:
-    """Sections whose content satisfies a boolean query."""
-    return sections.filter(boolean_match(F.col("content"), query))
+def content_search(sections: DataFrame, query: str, trigrams: DataFrame | None = None) -> DataFrame:
+    """Sections whose content satisfies a boolean query. With ``trigrams`` of the sections, those alone are read that hold
+    what the query needs."""
+    return narrowed(sections, trigrams, of_query(query)).filter(boolean_match(F.col("content"), query))
 
 
 def section_lines(sections: DataFrame) -> DataFrame:
@@ -41,10 +44,10 @@ def section_lines(sections: DataFrame) -> DataFrame:
     return sections.select("section_id", "path", "start_line", F.posexplode(F.split("content", "\n")).alias("k", "text")).select("section_id", "path", (F.col("start_line") + F.col("k")).alias("line"), "text")
 
 
-def regex_search(sections: DataFrame, pattern: str) -> DataFrame:
-    """Sections with a line that fits the pattern, case aside."""
+def regex_search(sections: DataFrame, pattern: str, trigrams: DataFrame | None = None) -> DataFrame:
+    """Sections with a line that fits the pattern, case aside; ``trigrams`` as in content_search."""
     rule = f"(?i){check_regex(pattern)}"
-    return sections.filter(F.exists(F.split("content", "\n"), lambda line: line.rlike(rule)))
+    return narrowed(sections, trigrams, of_pattern(pattern)).filter(F.exists(F.split("content", "\n"), lambda line: line.rlike(rule)))
 
 
 def match_context(lines: DataFrame, matches: Column, before: int = 1, after: int = 1, key: str = "section_id") -> DataFrame:

@@ -12,7 +12,7 @@ from tessera import schemas
 from tessera.corpora import conv_md, doc_plain, doc_vec, feed, page_links, rich_md, table
 from tessera.functions import stem as st
 from tessera.functions import text as tx
-from tessera.operators import bm25, context, duplicates, embed_store, embedding, extract, filters, incremental, links, lookups, stats, vector_index, vectors
+from tessera.operators import bm25, context, duplicates, embed_store, embedding, extract, filters, incremental, links, lookups, stats, trigrams, vector_index, vectors
 from tessera.plans import boolean, patterns
 from tessera.sources import corpus
 from tessera.sources.scratch import scratch
@@ -925,6 +925,33 @@ def saved_bm25_search(spark, d):
     return found.join(index["sections"].select("section_id", "path"), "section_id").select("query_id", "path", F.round("score", 9).alias("score"))
 
 
+def saved_trigrams(spark: SparkSession, d: str) -> DataFrame:
+    """The trigrams of the saved index, beside its other tables."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _trigrams:
+        _trigrams[key] = trigrams.index_trigrams(saved(spark, d)["sections"], _folder(saved(spark, d)))
+    return _trigrams[key]
+
+
+_trigrams: dict[tuple[str, str], DataFrame] = {}
+
+
+@query(SQL["boolean_search"])
+def trigram_boolean_search(spark, d):
+    return filters.content_search(in_documents(saved(spark, d)["sections"]), '(idiot OR "the of") NOT "er the"', saved_trigrams(spark, d)).select("path")
+
+
+@query(SQL["regex_search"])
+def trigram_regex_search(spark, d):
+    return filters.regex_search(in_documents(saved(spark, d)["sections"]), r"^the\b.*\bof\b", saved_trigrams(spark, d)).select("path")
+
+
+@query(f"WITH {o.SEC}, {o.PLAIN}, t AS (SELECT path, content FROM sec UNION ALL SELECT path, content FROM plain) SELECT path FROM t WHERE regexp_matches(lower(content), '(stupid|moron)[a-z]* .*idiot|tion thing er')")
+def trigram_branches(spark, d):
+    """A pattern with branches over all sections of the saved index."""
+    return filters.regex_search(saved(spark, d)["sections"], r"(stupid|moron)[a-z]* .*idiot|tion thing er", saved_trigrams(spark, d)).select("path")
+
+
 @query(SQL["fuzzy_words"])
 def saved_fuzzy_words(spark, d):
     """The words of the documents within two edits of a query word, by the keys of the saved index."""
