@@ -946,7 +946,7 @@ def trigram_regex_search(spark, d):
     return filters.regex_search(in_documents(saved(spark, d)["sections"]), r"^the\b.*\bof\b", saved_trigrams(spark, d)).select("path")
 
 
-@query(f"WITH {o.SEC}, {o.PLAIN}, t AS (SELECT path, content FROM sec UNION ALL SELECT path, content FROM plain) SELECT path FROM t WHERE regexp_matches(lower(content), '(stupid|moron)[a-z]* .*idiot|tion thing er')")
+@query(f"WITH {o.SEC}, {o.PLAIN}, every AS (SELECT path, content FROM sec UNION ALL SELECT path, content FROM plain) SELECT path FROM every WHERE regexp_matches(lower(content), '(stupid|moron)[a-z]* .*idiot|tion thing er')")
 def trigram_branches(spark, d):
     """A pattern with branches over all sections of the saved index."""
     return filters.regex_search(saved(spark, d)["sections"], r"(stupid|moron)[a-z]* .*idiot|tion thing er", saved_trigrams(spark, d)).select("path")
