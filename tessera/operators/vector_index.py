@@ -8,6 +8,7 @@ the share of them which the mode promises. Vectors in clusters need few cells; v
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -16,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.operators.bm25 import top
 from tessera.operators.vectors import MOST_QUERIES, Best, nearest, unit_rows
@@ -109,7 +111,8 @@ def build(vectors: DataFrame, folder: str, neighbours: int = NEIGHBOURS, sample_
     index.probes |= _calibrated(index, neighbours, calibration_rows)
     rows = [(k, c.tolist(), int(n)) for k, (c, n) in enumerate(zip(centroids, index.sizes))]
     spark.createDataFrame(rows, "cell int, centroid array<double>, vectors long").coalesce(1).write.parquet(f"{folder}/centroids")
-    spark.createDataFrame(list(index.probes.items()), "mode string, probes int").coalesce(1).write.parquet(f"{folder}/modes")
+    modes = [(mode, n, assigned.schema.json()) for mode, n in index.probes.items()]  # without vectors no file tells the columns
+    spark.createDataFrame(modes, "mode string, probes int, columns string").coalesce(1).write.parquet(f"{folder}/modes")
     return index
 
 
@@ -132,8 +135,9 @@ def _calibrated(index: VectorIndex, neighbours: int, rows: int) -> dict[str, int
 def load(spark: SparkSession, folder: str) -> VectorIndex:
     """An index as ``build`` wrote it."""
     cells = spark.read.parquet(f"{folder}/centroids").orderBy("cell").collect()  # MOST_CELLS at most
-    modes = {r["mode"]: r["probes"] for r in spark.read.parquet(f"{folder}/modes").collect()}
-    return VectorIndex(spark.read.parquet(f"{folder}/cells"), np.array([r["centroid"] for r in cells]), np.array([r["vectors"] for r in cells]), modes)
+    modes = spark.read.parquet(f"{folder}/modes").collect()
+    vectors = spark.read.schema(StructType.fromJson(json.loads(modes[0]["columns"]))).parquet(f"{folder}/cells")
+    return VectorIndex(vectors, np.array([r["centroid"] for r in cells]), np.array([r["vectors"] for r in cells]), {r["mode"]: r["probes"] for r in modes})
 
 
 def _blocks(queries: DataFrame, dims: int) -> Iterator[tuple[list, np.ndarray]]:
