@@ -112,3 +112,23 @@ def test_hybrid_search_on_a_saved_index(spark, tmp_path):
         options = dict(limit=6, threshold=0.1, path=path, sections=index["sections"])
         assert rows(vectors.hybrid_search(queries, loaded, index, quality="exact", **options)) == rows(vectors.hybrid_search(queries, table, index, **options))
     assert rows(vectors.hybrid_search(queries, loaded, index, limit=6, threshold=0.1))
+
+
+def test_best_rows_hold_a_tile_of_products(monkeypatch):
+    """However many queries and rows there are, and in whatever order they come."""
+    monkeypatch.setattr(vectors, "TILE", 600)
+    monkeypatch.setattr(vectors, "HELD", 500)
+    rng = np.random.default_rng(4)
+    rows, queries = rng.integers(-1, 2, size=(700, 6)).astype(float), rng.integers(-1, 2, size=(90, 6)).astype(float)
+    ids, seen = np.array([f"s{i:03d}" for i in rng.permutation(700)], object), []
+    best = vectors.Best(90, 8)
+    add = best.add
+    monkeypatch.setattr(best, "add", lambda asks, own, similarity: (seen.append(similarity.size), add(asks, own, similarity)))
+    for k in range(0, 700, 350):
+        best.compare(np.arange(90), ids[k : k + 350], rows[k : k + 350], queries)
+    assert max(seen) <= 600
+    found = best.frame(list(range(100, 190)))
+    assert len(found) == 90 * 8
+    for q, own in found.groupby("query_id"):
+        want = sorted(zip(-(rows @ queries[q - 100]), ids))[:8]
+        assert list(zip(-own["similarity"], own["section_id"])) == want
