@@ -114,6 +114,26 @@ def test_hybrid_search_on_a_saved_index(spark, tmp_path):
     assert rows(vectors.hybrid_search(queries, loaded, index, limit=6, threshold=0.1))
 
 
+def test_fitting_sends_the_driver_a_row_a_cell(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    def never(*args):
+        raise AssertionError("KMeans of Spark ML sends the driver a row for each two centroids")
+
+    monkeypatch.setattr(KMeans, "fit", never)
+    table = spark.createDataFrame(clustered(900, centers=6), SCHEMA)
+    found = vector_index._fitted(table, 24, 600, 12)
+    assert found.shape == (12, 24) and np.allclose(np.linalg.norm(found, axis=1), 1)
+    sums = vector_index._sums(table.repartition(3), found).collect()
+    unit = np.array([v for _, v in clustered(900, centers=6)])
+    unit = unit.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    cell = (unit @ found.T).argmax(axis=1)
+    assert sorted(r.cell for r in sums) == sorted(set(cell.tolist()))
+    assert all(np.allclose(np.frombuffer(r.total), unit[cell == r.cell].sum(axis=0)) for r in sums)
+    assert (unit * found[cell]).sum(axis=1).mean() > 0.9  # the clusters were found
+
+
 def test_best_rows_hold_a_tile_of_products(monkeypatch):
     """However many queries and rows there are, and in whatever order they come."""
     monkeypatch.setattr(vectors, "TILE", 600)
