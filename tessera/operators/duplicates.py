@@ -16,8 +16,10 @@ from tessera.sources.scratch import stored
 #: The shortest content that counts, locations told of a group, and the similarity of near duplicates.
 MIN_LENGTH, MAX_LOCATIONS, SIMILAR = 50, 3, 0.85
 MEMBER = ("path", "start_line", "section_id", "heading")
-#: Vectors that are multiplied with as many others in one task.
-BLOCK = 4096
+#: Vectors of a block at least and at most, and blocks where a table has enough vectors for so many but not for more.
+BLOCK, MOST_OF_BLOCK, BLOCKS = 1024, 65_536, 12
+#: Rows of each side that are multiplied at once.
+SIDE = 1024
 
 
 def hashed(sections: DataFrame, min_length: int = MIN_LENGTH, path: str | None = None) -> DataFrame:
@@ -86,11 +88,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = SIMILAR) -> DataFrame
     """(a, b, similarity) of vectors whose cosine is at least the threshold, a < b. Equal vectors meet as one, by their
     smallest id; vector_classes() has who they are. Zero vectors and ones of another dimension have no similarity.
 
-    Exact: vectors are dealt into blocks, and each two blocks are multiplied in one task, so all tasks are alike.
+    Exact: vectors are dealt into blocks, and each two blocks are multiplied in one task, so all tasks are alike. A vector is
+    shuffled once for each block; these are ``BLOCKS`` until a block has ``MOST_OF_BLOCK`` vectors, so what is shuffled grows
+    with the table, and a task holds two blocks and a tile of products.
     """
     some = vectors.filter(F.col("embedding").isNotNull())
     once = some.groupBy("embedding").agg(F.min("section_id").alias("section_id"))
-    blocks = -(-vectors.count() // BLOCK) or 1
+    n = vectors.count()
+    blocks = max(1, min(BLOCKS, -(-n // BLOCK)), -(-n // MOST_OF_BLOCK))
     own, other = F.pmod(F.xxhash64("section_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
     dealt = once.withColumn("own", own).select("section_id", "embedding", "own", other)
     dealt = dealt.select("section_id", "embedding", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -107,13 +112,15 @@ def _near(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
             norm = np.linalg.norm(m, axis=1) if m.shape[1] else np.zeros(len(m))
             ids, own, m = same["section_id"].to_numpy()[norm > 0], same["own"].to_numpy()[norm > 0], m[norm > 0] / norm[norm > 0][:, None]
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            for k in range(0, len(left), 256):  # what is held at once is 256 rows of the products
-                some = left[k : k + 256]
-                sims = m[some] @ m[right].T
-                x, y = np.nonzero(sims >= threshold - 1e-12)
-                p, q, sims = ids[some[x]], ids[right[y]], sims[x, y]
-                kept = p < q if i == j else np.ones(len(p), bool)
-                found.append(pd.DataFrame({"a": np.where(p < q, p, q)[kept], "b": np.where(p < q, q, p)[kept], "similarity": sims[kept]}))
+            for k in range(0, len(left), SIDE):
+                for l in range(0, len(right), SIDE):
+                    some, others = left[k : k + SIDE], right[l : l + SIDE]
+                    sims = m[some] @ m[others].T
+                    x, y = np.nonzero(sims >= threshold - 1e-12)
+                    p, q, sims = ids[some[x]], ids[others[y]], sims[x, y]
+                    kept = p < q if i == j else np.ones(len(p), bool)
+                    if kept.any():
+                        found.append(pd.DataFrame({"a": np.where(p < q, p, q)[kept], "b": np.where(p < q, q, p)[kept], "similarity": sims[kept]}))
         return pd.concat(found)
 
     return near

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 
@@ -32,6 +34,21 @@ def test_near_duplicates_lose_no_pair_and_no_copy(spark, monkeypatch, block):
     assert classes == {i: (i - 200, 2) if 200 <= i < 230 else (230, 2) if i in (230, 231) else (i, 2 if i < 30 else 1) for i in (*range(232), 900)}
 
 
+def test_near_duplicates_shuffle_a_vector_once_a_block(spark, monkeypatch):
+    """The blocks don't grow with the table, so what is shuffled grows no faster than it."""
+    monkeypatch.setattr(duplicates, "BLOCK", 4)
+    dealt = []
+    for n in (100, 1000):
+        own = spark.range(n).selectExpr("id AS section_id", "array(cast(sin(id) AS float), cast(cos(id) AS float)) AS embedding")
+        found = duplicates.near_duplicates(own, 0.9999).collect()
+        unit = np.array([r.embedding for r in own.orderBy("section_id").collect()])
+        unit /= np.linalg.norm(unit, axis=1)[:, None]
+        assert {(r.a, r.b) for r in found} == {(a, b) for a, b in zip(*map(lambda x: x.tolist(), np.nonzero(unit @ unit.T >= 0.9999))) if a < b}
+        plan = duplicates.near_duplicates(own)._jdf.queryExecution().optimizedPlan().toString()
+        dealt.append(re.sub(r"#\d+", "", plan.split("explode(")[1].split("]")[0]))
+    assert dealt[0] == dealt[1]
+
+
 @pytest.mark.parametrize("name", ["vector_search", "vector_search_stats", "approximate_search", "semantic_search", "rank_fusion"])
 def test_every_hundredth_vector_is_searched_for(spark, data, name):
     want = {r.vec_id for r in table(spark, data, "embeddings").filter("vec_id % 100 = 0").collect()}
