@@ -127,3 +127,16 @@ def test_embedding_is_deterministic_and_tried_again(spark):
 
     one = embed(texts, HashingProvider).orderBy("section_id").collect()
     assert one == embed(texts, Flaky, wait=0.0).orderBy("section_id").collect()
+
+
+def test_many_files_are_read_in_few_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"d{i % 3}" / "in ner").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"d{i % 3}" / "in ner" / f"n+{i}%.md").write_bytes(b"\xff text %d" % i)
+    (tmp_path / ".hidden").mkdir()
+    for name in (".hidden/x.md", "_x.md", "empty.md", "x.txt"):
+        (tmp_path / name).write_text("" if name == "empty.md" else "x")
+    found = corpus.read_corpus(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    rows = {r.path: bytes(r.raw) for r in found.selectExpr("path", "cast(text AS binary) AS raw").collect()}
+    assert rows == {f"d{i % 3}/in ner/n+{i}%.md": b"\xff text %d" % i for i in range(300)}
