@@ -152,3 +152,31 @@ def test_best_rows_hold_a_tile_of_products(monkeypatch):
     for q, own in found.groupby("query_id"):
         want = sorted(zip(-(rows @ queries[q - 100]), ids))[:8]
         assert list(zip(-own["similarity"], own["section_id"])) == want
+
+
+def test_a_search_keeps_rows_for_each_core_however_many_files_it_reads(spark, built, monkeypatch):
+    table, index = built
+    monkeypatch.setattr(vector_index, "top", lambda scores, *_: scores)
+    for c in ("maxPartitionBytes", "openCostInBytes"):
+        spark.conf.set(f"spark.sql.files.{c}", "4k")
+    try:
+        cores, queries = spark.sparkContext.defaultParallelism, asked(table)
+        assert index.vectors.rdd.getNumPartitions() > 4 * cores
+        scores = index.nearest(queries, 5, "thorough")
+        assert scores.rdd.getNumPartitions() <= cores and scores.count() <= cores * 5 * queries.count()
+    finally:
+        for c in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{c}")
+
+
+def test_building_works_vectors_out_twice(spark, tmp_path):
+    told = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<float>")
+    def seen(c):
+        told.add(len(c))
+        return c
+
+    table = spark.createDataFrame(clustered(600), SCHEMA).withColumn("embedding", seen("embedding"))
+    index = vector_index.build(table, str(tmp_path / "index"), neighbours=10)
+    assert told.value <= 2 * 600 and index.vectors.count() == 600
