@@ -38,7 +38,7 @@ def build_tables(corpus: DataFrame, preamble: bool = False) -> dict[str, DataFra
     """All tables of an index from (path, text, mtime)."""
     front = extract.split_frontmatter(corpus)
     body = front.select("path", F.col("body").alias("text"))
-    sections = extract.extract_sections(body, preamble=preamble)
+    sections = extract.extract_sections(_bodies(front), preamble=preamble)
     links = resolve_links(extract.in_sections(extract.extract_links(body).drop("k"), sections))
     code = extract.in_sections(extract.extract_code_blocks(body).withColumn("line", F.col("start_line")), sections).drop("line")
     stats = extract.document_stats(front, sections, links, code)
@@ -46,6 +46,11 @@ def build_tables(corpus: DataFrame, preamble: bool = False) -> dict[str, DataFra
     return {"documents": documents, "sections": sections, "links": links, "code_blocks": code}
 
 
+def _bodies(front: DataFrame) -> DataFrame:
+    """(path, text) of bodies; a null text has none, unlike an empty one."""
+    return front.select("path", F.when(F.col("text").isNotNull(), F.col("body")).alias("text"))
+
+
 #: What an index has beside its sections, by part; each part can be written by itself.
 PARTS = {"structure": ("links", "code_blocks", "documents"), "ranking": ("postings", "impacts", "term_stats", "stats"), "vocabulary": ("words", "vocabulary", "lookups")}
 
@@ -84,7 +89,7 @@ def _kept(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def _sections(front: DataFrame, folder: str, preamble: bool) -> dict[str, DataFrame]:
-    return {"sections": _kept(extract.extract_sections(front.select("path", F.col("body").alias("text")), preamble=preamble), folder, "sections")}
+    return {"sections": _kept(extract.extract_sections(_bodies(front), preamble=preamble), folder, "sections")}
 
 
 def _parts(front: DataFrame, sections: DataFrame, folder: str, parts: tuple[str, ...]) -> dict[str, DataFrame]:
