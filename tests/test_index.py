@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import schemas
+from tessera import queries, schemas
 from tessera.operators import context, incremental, vectors
 from tessera.operators.embedding import HashingProvider, embed
 from tessera.sources import corpus
 from tessera.streaming import reindex
+from tests.compare import same
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -140,3 +142,23 @@ def test_many_files_are_read_in_few_tasks(spark, tmp_path):
     assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     rows = {r.path: bytes(r.raw) for r in found.selectExpr("path", "cast(text AS binary) AS raw").collect()}
     assert rows == {f"d{i % 3}/in ner/n+{i}%.md": b"\xff text %d" % i for i in range(300)}
+
+
+def test_files_without_a_byte_are_read_if_asked_for(spark, tmp_path):
+    for name, text in {"a.md": "# A", "b c/empty.mdx": "", "empty.txt": "", ".hidden/e.md": "", "_e.md": "", "drafts/e.md": ""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    told = lambda df: sorted((r.path, r.text, r.mtime is None) for r in df.collect())
+    want = [("a.md", "# A", False), ("b c/empty.mdx", "", False)]
+    assert told(corpus.read_corpus(spark, str(tmp_path), ["drafts/"], empty=True)) == want
+    assert told(corpus.read_corpus(spark, str(tmp_path), ["drafts/"])) == want[:1]
+    by_spark = corpus._read_by_spark(spark, f"file://{tmp_path}", empty=True)  # of a store that Arrow doesn't know
+    assert told(corpus.filter_ignored(by_spark, ["drafts/"])) == want
+
+
+def test_an_empty_document_is_scanned(spark, data, tmp_path):
+    own = spark.read.parquet(f"{data}/documents.parquet").filter("doc_id < 20")
+    own.selectExpr("doc_id", "CASE doc_id WHEN 10 THEN '' WHEN 11 THEN NULL ELSE text END AS text", "CASE doc_id WHEN 10 THEN 'en' ELSE lang END AS lang", "source").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same(queries.directory_scan(spark, str(tmp_path)), queries.SQL["directory_scan"], con)
